@@ -96,7 +96,8 @@ def orbit_class_by_axis(a: Column) -> Column:
 def age_hours(ts: Column, reference: Column, fallback: float = 12.0) -> Column:
     """Hours from ``ts`` to ``reference``, not below zero; fallback where ``ts`` is missing."""
     micros = F.unix_micros(reference.cast("timestamp")) - F.unix_micros(ts.cast("timestamp"))
-    return F.coalesce(F.greatest(F.lit(0.0), micros / 3.6e9), F.lit(fallback))
+    # ``greatest`` skips nulls, so a missing time is handled first.
+    return F.when(micros.isNull(), fallback).otherwise(F.greatest(F.lit(0.0), micros / 3.6e9))
 
 
 # --- policy -----------------------------------------------------------------------------

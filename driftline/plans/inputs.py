@@ -83,3 +83,71 @@ def windows20(spark: SparkSession, sf: str, step: int = 1) -> DataFrame:
     return sliding_windows(events(spark, sf), "user_id", "ts", ["value"], ["event_id"], step=step).withColumnRenamed(
         "value_w", "v"
     )
+
+
+BOARD_SQL = """b AS (SELECT *, CASE WHEN role = 'suspect' AND reliable THEN c_nation END AS asset_norad,
+    CASE WHEN pair_risk >= 0.75 THEN 'CRITICAL' WHEN pair_risk >= 0.55 THEN 'ELEVATED' WHEN pair_risk >= 0.35 THEN 'WATCH' ELSE 'LOW' END AS risk_level
+  FROM (SELECT c_custkey AS norad_id, c_name AS name, c_nationkey::BIGINT AS c_nation,
+    CASE c_custkey % 3 WHEN 0 THEN 'baseline' WHEN 1 THEN 'suspect' ELSE 'asset' END AS role,
+    'N' || c_nationkey AS country, lower(c_mktsegment) AS purpose,
+    CASE c_custkey % 4 WHEN 0 THEN 'GEO' WHEN 1 THEN 'MEO' ELSE 'LEO' END AS orbit_class,
+    (c_acctbal + 1000)/11000 AS score,
+    CASE WHEN c_custkey % 5 <> 0 THEN (c_acctbal + 1000)/11000 * (0.7 + (c_custkey % 7)/10.0::DOUBLE) END AS prev_score,
+    c_custkey % 11 <> 0 AS reliable, ((c_custkey*37) % 101)/100.0::DOUBLE AS pair_risk,
+    ((c_custkey*53) % 900)::DOUBLE AS pair_dist FROM customer))"""
+
+
+def board(spark: SparkSession, sf: str) -> DataFrame:
+    """Scored objects in board shape, one per customer."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    score = (F.col("c_acctbal") + 1000) / 11000
+    b = c.select(
+        k.alias("norad_id"),
+        F.col("c_name").alias("name"),
+        F.col("c_nationkey").cast("bigint").alias("c_nation"),
+        role(k).alias("role"),
+        F.concat(F.lit("N"), F.col("c_nationkey").cast("string")).alias("country"),
+        F.lower("c_mktsegment").alias("purpose"),
+        F.when(k % 4 == 0, "GEO").when(k % 4 == 1, "MEO").otherwise("LEO").alias("orbit_class"),
+        score.alias("score"),
+        F.when(k % 5 != 0, score * (F.lit(0.7) + (k % 7) / 10.0)).alias("prev_score"),
+        (k % 11 != 0).alias("reliable"),
+        (((k * 37) % 101) / 100.0).alias("pair_risk"),
+        ((k * 53) % 900).cast("double").alias("pair_dist"),
+    )
+    risk = F.col("pair_risk")
+    return b.withColumn(
+        "asset_norad", F.when((F.col("role") == "suspect") & F.col("reliable"), F.col("c_nation"))
+    ).withColumn(
+        "risk_level",
+        F.when(risk >= 0.75, "CRITICAL").when(risk >= 0.55, "ELEVATED").when(risk >= 0.35, "WATCH").otherwise("LOW"),
+    )
+
+
+STATUS_SQL = BOARD_SQL + """, r AS (SELECT *, score >= 0.5 AS outlier,
+    coalesce(score - prev_score >= 0.08 AND score >= 0.45*0.85, false) AS change, risk_level = 'CRITICAL' AS hot FROM b),
+  st AS (SELECT *, CASE WHEN NOT reliable THEN 'UNRELIABLE_DATA' WHEN role = 'baseline' THEN 'CALIBRATION_BASELINE'
+     WHEN role = 'suspect' THEN CASE WHEN hot AND NOT outlier THEN 'PAIR_ELEVATED' WHEN outlier THEN 'ANOMALY'
+        WHEN change THEN 'CHANGE_RELEVANT' ELSE 'NOMINAL' END
+     ELSE CASE WHEN outlier OR change THEN 'ASSET_REGIME_NOISE' ELSE 'NOMINAL' END END AS status,
+     reliable AND role = 'suspect' AND (outlier OR change OR hot) AS is_detection,
+     reliable AND role = 'asset' AND (outlier OR change) AS is_health_flag FROM r),
+  sb AS (SELECT *, is_detection OR is_health_flag AS is_anomaly, role = 'baseline' AS is_calibration,
+     CASE WHEN reliable THEN least(1, greatest(0, 0.45*score + 0.55*pair_risk)) ELSE score END AS attention FROM st)"""
+
+
+def status_board(spark: SparkSession, sf: str) -> DataFrame:
+    """Board rows with status, flags and attention."""
+    b = board(spark, sf)
+    outlier = F.col("score") >= 0.5
+    change = F.coalesce(
+        (F.col("score") - F.col("prev_score") >= 0.08) & (F.col("score") >= 0.45 * 0.85), F.lit(False)
+    )
+    st = X.status(F.col("role"), F.col("reliable"), outlier, change, F.col("risk_level") == "CRITICAL")
+    att = F.when(
+        F.col("reliable"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("score") * 0.45 + F.col("pair_risk") * 0.55))
+    ).otherwise(F.col("score"))
+    return b.withColumn("outlier", outlier).withColumn("change", change).withColumn("st", st).select(
+        "*", "st.*", att.alias("attention")
+    ).drop("st")
