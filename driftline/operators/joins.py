@@ -141,8 +141,8 @@ def greedy_pairs(pred: np.ndarray, truth: np.ndarray, tol: int) -> int:
 def match_counts(pred: DataFrame, truth: DataFrame, key: str, classes: Sequence[str], i: str, tol: int) -> DataFrame:
     """True/false positives and false negatives per key by greedy one-to-one matching.
 
-    Items further apart than ``tol`` cannot interact, so each run of close items is matched in its
-    own small group; runs are numbered with two-level scans.
+    Items further apart than ``tol`` cannot interact, so runs of close items are independent. Runs
+    are found with two-level scans; a group holds the runs that start in one block of positions.
     """
     both = pred.withColumn("kind", F.lit(0)).unionByName(truth.withColumn("kind", F.lit(1)))
     group = [key, *classes]
@@ -160,6 +160,7 @@ def match_counts(pred: DataFrame, truth: DataFrame, key: str, classes: Sequence[
         t = np.sort(pdf.loc[pdf["kind"] == 1, i].to_numpy())
         return pd.DataFrame({key: [pdf[key].iloc[0]], "tp": [greedy_pairs(p, t, tol)], "n_pred": [len(p)], "n_truth": [len(t)]})
 
-    per = runs.select(*group, "__run", i, "kind").groupBy(*group, "__run").applyInPandas(match, schema)
+    cell = F.floor(F.col("__run") / skew.BLOCK_ROWS).alias("__cell")
+    per = runs.select(*group, cell, i, "kind").groupBy(*group, "__cell").applyInPandas(match, schema)
     tot = per.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_truth")])
     return tot.select(key, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))

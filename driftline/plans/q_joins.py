@@ -89,14 +89,14 @@ def c7(spark, sf):
 
 @query(
     "c8_fold_assignment",
-    f"""WITH {CASES_SQL}, f AS (SELECT id, norad_id, t_peak, unnest(generate_series(t_start::TIMESTAMP, t_end::TIMESTAMP, INTERVAL 3 DAY)) AS asof FROM cases),
+    f"""WITH {CASES_SQL}, f AS (SELECT id, norad_id, t_peak, unnest(generate_series(t_start::TIMESTAMP, t_end::TIMESTAMP, INTERVAL 3 DAY)) AS as_of FROM cases),
     ev AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS pos FROM events),
     w AS (SELECT user_id, ts, pos FROM ev WHERE pos >= 20),
-    cuts AS (SELECT DISTINCT asof FROM f),
-    tr AS (SELECT asof, count(*) AS n_train FROM cuts JOIN w ON w.ts < asof - INTERVAL 1 DAY AND w.user_id % 3 <> 1 AND (w.pos - 20) % 3 = 0 GROUP BY 1),
-    tg AS (SELECT norad_id, asof, max(pos) AS target_pos FROM (SELECT DISTINCT norad_id, asof FROM f) JOIN w ON w.user_id = norad_id AND w.ts <= asof GROUP BY ALL)
-    SELECT id, norad_id, strftime(asof, '%Y-%m-%d') AS asof, coalesce(n_train, 0) AS n_train, target_pos
-    FROM f LEFT JOIN tr USING (asof) LEFT JOIN tg USING (norad_id, asof)""",
+    cuts AS (SELECT DISTINCT as_of FROM f),
+    tr AS (SELECT as_of, count(*) AS n_train FROM cuts JOIN w ON w.ts < as_of - INTERVAL 1 DAY AND w.user_id % 3 <> 1 AND (w.pos - 20) % 3 = 0 GROUP BY 1),
+    tg AS (SELECT norad_id, as_of, max(pos) AS target_pos FROM (SELECT DISTINCT norad_id, as_of FROM f) JOIN w ON w.user_id = norad_id AND w.ts <= as_of GROUP BY ALL)
+    SELECT id, norad_id, strftime(as_of, '%Y-%m-%d') AS asof, coalesce(n_train, 0) AS n_train, target_pos
+    FROM f LEFT JOIN tr USING (as_of) LEFT JOIN tg USING (norad_id, as_of)""",
 )
 def c8(spark, sf):
     from driftline.operators.windows import numbered
@@ -198,7 +198,7 @@ def k2(spark, sf):
 
 @query(
     "k3_missing_ids",
-    "SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "SELECT c_custkey AS id FROM customer EXCEPT SELECT user_id FROM events",
 )
 def k3(spark, sf):
-    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(table(spark, sf, "orders").select("o_custkey"))
+    return table(spark, sf, "customer").select(F.col("c_custkey").alias("id")).subtract(events(spark, sf, "user_id"))
