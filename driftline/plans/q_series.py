@@ -353,17 +353,16 @@ def i21(spark, sf):
 
 @query(
     "i22_short_window_twin",
-    f"""WITH {W20_SQL}, t AS (SELECT user_id, pos, v, v[9:20] AS s FROM w),
-    d AS (SELECT user_id, pos, list_transform(range(1, 12), lambda i: s[i+1] - s[i]) AS d FROM t),
+    f"""WITH {W20_SQL}, t AS (SELECT user_id, pos, v, v[11:20] AS s FROM w),
+    d AS (SELECT user_id, pos, list_transform(range(1, 10), lambda i: s[i+1] - s[i]) AS d FROM t),
     e AS (SELECT user_id, pos, unnest(d) AS x, list_min(d) AS lo, list_max(d) AS hi FROM d),
     b AS (SELECT user_id, pos, CASE WHEN hi <= lo THEN 0 ELSE least(floor((x-lo)/(hi-lo)*10), 9) END AS bin FROM e),
-    c AS (SELECT user_id, pos, bin, count(*)/11.0::DOUBLE AS p FROM b GROUP BY ALL)
+    c AS (SELECT user_id, pos, bin, count(*)/9.0::DOUBLE AS p FROM b GROUP BY ALL)
     SELECT user_id, pos, round(sum(-p*log2(p)), 6) AS entropy_short, 0.5::DOUBLE AS dfa_short, 0.0::DOUBLE AS dfa_gap
     FROM c GROUP BY ALL""",
 )
 def i22(spark, sf):
     n_short = min(12, max(8, 20 // 2))
-    n_short = 12
     w = windows20(spark, sf).select(*KEYS, F.slice("v", -n_short, n_short).alias("s"), "v")
     full, short = S.dfa_exponent(S.diffs(F.col("v")), 19), S.dfa_exponent(S.diffs(F.col("s")), n_short - 1)
     return w.select(

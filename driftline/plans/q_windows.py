@@ -143,18 +143,11 @@ def e11(spark, sf):
     return ranked(last.select("user_id", "event_id", "value"), "value")
 
 
-def ranked(df, value: str, bins: int = 1000):
-    """Global rank (ties share) without one ordering task.
-
-    Rows are spread over value bins (bounds from a sketch); a bin's offset is the number of rows in
-    higher bins.
-    """
-    bounds = df.agg(F.percentile_approx(value, [i / bins for i in range(1, bins)], 10000)).scalar()
-    b = df.select("*", bounds.alias("__q")).withColumn(
-        "__bin", F.aggregate("__q", F.lit(0), lambda a, x: a + (F.col(value) > x).cast("int"))
-    ).drop("__q")
+def ranked(df, value: str):
+    """Global rank (ties share) without one ordering task; see ``skew.value_bins``."""
     from pyspark.sql import Window
 
+    b = skew.value_bins(df, value)
     counts = b.groupBy("__bin").agg(F.count("*").alias("__n"))
     above = counts.select("__bin", (F.sum("__n").over(Window.orderBy(F.desc("__bin"))) - F.col("__n")).alias("__above"))
     w = Window.partitionBy("__bin").orderBy(F.desc(value))
