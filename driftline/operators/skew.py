@@ -177,8 +177,8 @@ def exact_quantiles(
     """Exact linear-interpolated quantiles per key, plus ``n``.
 
     A mergeable sketch brackets each quantile; ranks below the bracket are only counted, and
-    just the values inside it (about ``4 n / accuracy``) are ordered. The whole group never
-    meets in one task.
+    just the values inside it (about ``4 n / accuracy``) are ordered. Groups of up to
+    ``4 * accuracy`` rows are ordered whole. A large group never meets in one task.
     """
     keys = list(keys)
     data = df.select(*keys, F.col(value).alias("__v")).where(
@@ -193,6 +193,8 @@ def exact_quantiles(
         sketch.alias("__q"),
     )
     k = len(names)
+    # Below this size neighbouring ranks can be further apart than the sketch's bracket.
+    small = F.col("__n") <= 4 * accuracy
     brackets = ranges.select(
         *keys, "__n",
         F.array(
@@ -200,8 +202,8 @@ def exact_quantiles(
                 F.struct(
                     F.lit(p).alias("p"),
                     F.lit(float(probs[p])).alias("f"),
-                    (F.col("__min") if probs[p] <= eps else F.col("__q")[i]).alias("lo"),
-                    (F.col("__max") if probs[p] >= 1 - eps else F.col("__q")[k + i]).alias("hi"),
+                    (F.col("__min") if probs[p] <= eps else F.when(small, F.col("__min")).otherwise(F.col("__q")[i])).alias("lo"),
+                    (F.col("__max") if probs[p] >= 1 - eps else F.when(small, F.col("__max")).otherwise(F.col("__q")[k + i])).alias("hi"),
                 )
                 for i, p in enumerate(names)
             ]

@@ -108,7 +108,8 @@ def separation(scores: DataFrame, block: str, full: str, key: list[str]) -> Data
         F.count("*").alias("n"),
         (F.avg(F.when(hi, F.col("score"))) - F.avg(F.when(lo, F.col("score")))).alias("sep"),
         (F.avg(F.when(hi, F.col("s0"))) - F.avg(F.when(lo, F.col("s0")))).alias("full_sep"),
-        F.corr("score", "s0").alias("corr"),
+        # A constant block has no correlation.
+        (F.covar_pop("score", "s0") / F.nullif(F.stddev_pop("score") * F.stddev_pop("s0"), F.lit(0.0))).alias("corr"),
     )
     return per.select(
         block, "n", F.round("sep", 6).alias("separation"), F.round(F.col("full_sep") - F.col("sep"), 6).alias("separation_drop"), F.round("corr", 6).alias("corr_with_full")

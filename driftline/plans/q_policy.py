@@ -105,7 +105,7 @@ def b6(spark, sf):
     )
 
 
-LABEL_SQL = """f AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, (l_quantity*7) % 300 AS dist, (l_extendedprice % 600)/100 AS dl,
+LABEL_SQL = """f AS (SELECT l_orderkey, l_linenumber::BIGINT AS line, l_suppkey, (l_quantity*7) % 300 AS dist, (l_extendedprice % 600)/100 AS dl,
       (l_partkey % 100)/100.0::DOUBLE AS dfa, (l_suppkey % 12)/10.0::DOUBLE AS lz, l_discount*10 AS cusum, l_tax*2 AS coint,
       l_linenumber % 4 AS ch, (l_partkey % 30)/10.0::DOUBLE AS sh, (l_orderkey % 10)/10.0::DOUBLE AS sc,
       CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS storm, (l_suppkey % 40)::DOUBLE AS ap, 100 + (l_partkey % 100)::DOUBLE AS f107 FROM lineitem),
@@ -116,7 +116,7 @@ def label_inputs(spark, sf):
     li = table(spark, sf, "lineitem")
     c = F.col
     return li.select(
-        "l_orderkey", c("l_linenumber").cast("bigint").alias("line"), ((c("l_quantity") * 7) % 300).alias("dist"),
+        "l_orderkey", c("l_linenumber").cast("bigint").alias("line"), "l_suppkey", ((c("l_quantity") * 7) % 300).alias("dist"),
         ((c("l_extendedprice") % 600) / 100).alias("delta"), ((c("l_partkey") % 100) / 100.0).alias("dfa"),
         ((c("l_suppkey") % 12) / 10.0).alias("lz"), (c("l_discount") * 10).alias("cusum"), (c("l_tax") * 2).alias("coint"),
         (c("l_linenumber") % 4).alias("changes"), ((c("l_partkey") % 30) / 10.0).alias("shannon"),
@@ -368,7 +368,7 @@ def h6(spark, sf):
     return board(spark, sf).select("norad_id", F.round(X.half_kelly(F.col("score"), X.severity(purpose)), 9).alias("kelly"))
 
 
-RISK_SQL = LABEL_SQL + """, q AS (SELECT l_orderkey, line, dist, coint, (lz - 0.5) AS dcca, dfa, exp(-dist/400) AS prox,
+RISK_SQL = LABEL_SQL + """, q AS (SELECT l_orderkey, line, l_suppkey, dist, coint, (lz - 0.5) AS dcca, dfa, exp(-dist/400) AS prox,
       CASE WHEN coint < 0.05 THEN least(1, 1 - coint + 0.25) ELSE greatest(0, 1 - coint) END AS cs,
       CASE WHEN coint < 0.05 AND dfa > 0.65 THEN 1 ELSE 0 END AS coh FROM g),
     r1 AS (SELECT *, least(1, 0.5*prox + 0.3*cs + 0.1*greatest(dcca, 0) + 0.1*coh) AS r FROM q),
