@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from driftline.operators import skew
 from driftline.operators.windows import steps
+from driftline.session import materialize
 
 
 def alarm_count(z: np.ndarray, k: float, h: float, refractory: int) -> int:
@@ -31,10 +32,12 @@ def series_regime_count(rows: DataFrame, key: str, value: str, k: float = 0.5, h
     sides for ``refractory`` rows no earlier alarm matters. The series is cut there, and pieces are
     counted independently.
     """
-    d = steps(rows, key, value)
+    # Each scan reads its input twice, so inputs used again are written once.
+    d = materialize(steps(rows, key, value).select(key, "i", "step"), "steps")
     n = d.groupBy(key).agg(F.max("i").alias("last_i"))
     base = d.join(n, key).where(F.col("i") < F.col("last_i"))
     med = skew.exact_quantiles(base, [key], "step", {"med": 0.5}).select(key, "med")
+    med = materialize(med, "median")
     dev = base.join(med, key).withColumn("dev", F.abs(F.col("step") - F.col("med")))
     mad = skew.exact_quantiles(dev, [key], "dev", {"mad": 0.5}).select(key, "mad")
     std = base.groupBy(key).agg(F.stddev_pop("step").alias("sd"))
@@ -42,15 +45,18 @@ def series_regime_count(rows: DataFrame, key: str, value: str, k: float = 0.5, h
     core = F.col("mad") * 1.4826
     sigma = F.greatest(F.when(core < 1e-12, F.greatest("sd", F.lit(1e-9))).otherwise(core), F.lit(floor))
     z = d.join(stats, key).where(F.col("last_i") >= 7).select(key, "i", ((F.col("step") - F.col("med")) / sigma).alias("z")).withColumn("pos", F.col("i") + 1)
+    z = materialize(z, "innovations")
     for side, sign in (("up", 1.0), ("dn", -1.0)):
         z = skew.running(z, [key], "pos", F.col("z") * sign - k, f"{side}_s", "sum")
-        z = skew.running(z, [key], "pos", F.col(f"{side}_s"), f"{side}_m", "min")
+        z = materialize(z, "sums")
+        z = materialize(skew.running(z, [key], "pos", F.col(f"{side}_s"), f"{side}_m", "min"), "mins")
     quiet = (F.col("up_s") <= F.least(F.lit(0.0), F.col("up_m"))) & (F.col("dn_s") <= F.least(F.lit(0.0), F.col("dn_m")))
     q = z.withColumn("quiet", quiet.cast("int"))
     w = skew.block_window([key]).rowsBetween(-refractory, -1)
     cuts = skew.owned(skew.halo_blocks(q, before=refractory).withColumn("calm", F.sum("quiet").over(w)))
     start = F.when((F.col("pos") == 1) | (F.col("calm") == refractory), F.col("pos"))
-    pieces = skew.running(cuts, [key], "pos", start, "piece", "last")
+    cuts = materialize(cuts.withColumn("start", start), "cuts")
+    pieces = materialize(skew.running(cuts, [key], "pos", F.col("start"), "piece", "last"), "pieces")
     schema = T.StructType([rows.schema[key], T.StructField("c", T.LongType())])
     # Quiet pieces without any alarm-sized sum are dropped before Python sees them.
     peak = pieces.groupBy(key, "piece").agg(
