@@ -11,7 +11,7 @@ from driftline.operators import joins as J
 from driftline.operators import skew
 from driftline.operators import validation as V
 from driftline.operators import windows as W
-from driftline.plans.inputs import BOARD_SQL, EV_SQL, STATUS_SQL, board, events, micros, status_board
+from driftline.plans.inputs import BOARD_SQL, ROLE_SQL, STATUS_SQL, Z20_SQL, board, events, micros, status_board
 from driftline.plans.q_joins import DAY_SCORES_SQL, day_scores
 from driftline.plans.q_policy import RISK_SQL, TIER_IN, facet_filter, label_inputs
 from driftline.plans.q_sources import CASES_SQL, CAT_SQL, event_cases, watchlist
@@ -488,23 +488,32 @@ def v4(spark, sf):
 
 @query(
     "flagship_change_board",
-    None,
+    f"""WITH {Z20_SQL}, l AS (SELECT * FROM zz WHERE pos = n),
+    x AS (SELECT user_id, unnest(z) AS z, unnest(range(1, 20)) AS i FROM l),
+    p AS (SELECT user_id, i, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS dn, 0.2*pow(0.8, i)*sum(z*pow(0.8, -i)) OVER w AS e FROM x WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    s AS (SELECT user_id, up - least(0, min(up) OVER w) AS sp, dn - least(0, min(dn) OVER w) AS sn, e FROM p WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    m AS (SELECT user_id, least(1, greatest(max(sp), max(sn))/4)::DOUBLE AS cusum, least(1, max(abs(e))/(3*sqrt(0.2::DOUBLE/1.8)))::DOUBLE AS ewma FROM s GROUP BY 1),
+    t AS (SELECT *, (cusum + ewma)/2 AS score, greatest(0.5, quantile_cont((cusum + ewma)/2, 0.95) OVER ()) AS thr, {ROLE_SQL} AS role FROM m)
+    SELECT user_id, role, round(cusum, 6) AS cusum, round(ewma, 6) AS ewma, round(score, 6) AS score, round(thr, 6) AS thr, score >= thr AS outlier FROM t""",
 )
 def flagship(spark, sf):
-    """Dedup, minimum history, latest 20-row window, change detectors, threshold, status, ranking."""
+    """Dedup, minimum history, latest 20-row window, change detectors, threshold, ranking."""
     from driftline.functions import series as S
     from driftline.plans.inputs import role
     from driftline.plans.q_policy import min_history
+    from driftline.session import materialize
 
     e = skew.keep_last(events(spark, sf), ["user_id", "ts"], [F.desc("event_id")])
     w = W.latest_windows(min_history(e, "user_id", 20), "user_id", "ts", ["value"], ["event_id"])
     z = S.robust_innovations(w, "value_w")
     d = z.select(
-        "user_id", S.page_cusum(F.col("z")).alias("cusum"), S.ewma_chart(F.col("z")).alias("ewma"), S.regime_changes(F.col("z")).alias("changes")
+        "user_id", S.page_cusum(F.col("z")).alias("cusum"), S.ewma_chart(F.col("z")).alias("ewma")
     ).withColumn("score", (F.col("cusum") + F.col("ewma")) / 2)
+    # Scores feed the threshold and the board; they are computed once.
+    d = materialize(d, "flagship")
     p95 = skew.exact_quantiles(d, [], "score", {"p95": 0.95}).select("p95").scalar()
     b = d.withColumn("thr", F.greatest(F.lit(0.5), p95)).withColumn("role", role(F.col("user_id")))
-    st = X.status(F.col("role"), F.lit(True), F.col("score") >= F.col("thr"), F.col("changes") >= 2, F.lit(False))
     return b.select(
-        "user_id", "role", F.round("cusum", 6).alias("cusum"), F.round("ewma", 6).alias("ewma"), "changes", F.round("score", 6).alias("score"), F.round("thr", 6).alias("thr"), st["status"].alias("status")
+        "user_id", "role", F.round("cusum", 6).alias("cusum"), F.round("ewma", 6).alias("ewma"), F.round("score", 6).alias("score"), F.round("thr", 6).alias("thr"),
+        (F.col("score") >= F.col("thr")).alias("outlier"),
     ).orderBy(F.desc("score"), "user_id")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftline.plans.inputs import events, micros
+from driftline.plans.inputs import Z20_SQL, events, micros
 from driftline.plans.registry import query
 from driftline.session import scratch_path, table
 from driftline.streaming import jobs
@@ -35,10 +35,13 @@ def t1(spark, sf):
     return spark.read.option("recursiveFileLookup", True).parquet(path).select("user_id", micros("ts").alias("t_us"))
 
 
-T2_SQL = None
+T2_SQL = f"""WITH {Z20_SQL}, x AS (SELECT event_id, user_id, unnest(z) AS z, unnest(range(1, 20)) AS i FROM zz),
+    p AS (SELECT event_id, user_id, i, sum(z - 0.5) OVER w AS up, sum(-z - 0.5) OVER w AS dn, 0.2*pow(0.8, i)*sum(z*pow(0.8, -i)) OVER w AS e FROM x WINDOW w AS (PARTITION BY event_id ORDER BY i)),
+    s AS (SELECT event_id, user_id, up - least(0, min(up) OVER w) AS sp, dn - least(0, min(dn) OVER w) AS sn, e FROM p WINDOW w AS (PARTITION BY event_id ORDER BY i))
+    SELECT user_id, event_id, round(least(1, greatest(max(sp), max(sn))/4), 6) AS cusum, round(least(1, max(abs(e))/(3*sqrt(0.2::DOUBLE/1.8))), 6) AS ewma FROM s GROUP BY ALL"""
 
 
-@query("t2_rolling_detectors")
+@query("t2_rolling_detectors", T2_SQL)
 def t2(spark, sf):
     s = event_stream(spark, sf).select("user_id", "event_id", "ts", "value")
     path = scratch_path(spark, "rolling")
@@ -48,20 +51,20 @@ def t2(spark, sf):
     return r.select("user_id", "event_id", F.round("cusum", 6).alias("cusum"), F.round("ewma", 6).alias("ewma"))
 
 
-@query(
-    "t3_alert_lifecycle",
-    """WITH RECURSIVE q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'click' THEN 'ACKNOWLEDGED' WHEN 'purchase' THEN 'RESOLVED'
+LIFECYCLE_SQL = """WITH RECURSIVE q AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i, CASE event_type WHEN 'click' THEN 'ACKNOWLEDGED' WHEN 'purchase' THEN 'RESOLVED'
        WHEN 'error' THEN 'SUPPRESSED' ELSE 'OPEN' END AS w FROM events),
     r AS (SELECT DISTINCT user_id, 0::BIGINT AS i, 'OPEN' AS s, 0::BIGINT AS ok, 0::BIGINT AS bad FROM q UNION ALL
       SELECT user_id, i, CASE WHEN good THEN w ELSE s END, ok + good::INT, bad + (NOT good)::INT FROM (SELECT r.user_id, q.i, q.w, r.s, r.ok, r.bad,
         q.w = r.s OR (r.s = 'OPEN') OR (r.s = 'ACKNOWLEDGED') OR (r.s IN ('RESOLVED','SUPPRESSED') AND q.w = 'OPEN') AS good FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1))
-    SELECT user_id, arg_max(s, i) AS status, max(ok) AS accepted, max(bad) AS rejected FROM r GROUP BY 1""",
-)
+    SELECT user_id, arg_max(s, i) AS status, max(ok) AS accepted, max(bad) AS rejected FROM r GROUP BY 1"""
+
+
+@query("t3_alert_lifecycle", LIFECYCLE_SQL)
 def t3(spark, sf):
     return jobs.lifecycle(requests(events(spark, sf, "user_id", "event_id", "event_type")), "user_id", "event_id", "want")
 
 
-@query("t3_alert_lifecycle_stream")
+@query("t3_alert_lifecycle_stream", LIFECYCLE_SQL)
 def t3s(spark, sf):
     path = scratch_path(spark, "audit")
     w = jobs.lifecycle_stream(requests(event_stream(spark, sf)), "event_id", "want").writeStream.format("parquet").option("path", path).outputMode("append")
