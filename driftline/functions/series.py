@@ -81,33 +81,33 @@ def pop_std(arr: Column) -> Column:
 # --- change detectors -------------------------------------------------------------------
 
 
-def robust_innovations(df: DataFrame, v: str, out: str = "z", floor: float = 0.05) -> DataFrame:
-    """Add robustly standardised differences of ``v``; fewer than 8 differences give ``[]``.
+def robust_z(v: Column, floor: float = 0.05) -> Column:
+    """Robustly standardised differences of ``v``; fewer than 8 differences give ``[]``.
 
     The baseline leaves out the last difference, so a jump cannot widen its own scale.
     """
-    base = F.slice(F.col("__d"), F.lit(1), F.size("__d") - 1)
-    dev = median(with_const(F.col("__base"), F.col("__med"), lambda x, m: F.abs(x - m)))
-    sigma = F.when(
-        F.col("__mad") * 1.4826 < 1e-12, F.greatest(pop_std(F.col("__base")), F.lit(1e-9))
-    ).otherwise(F.col("__mad") * 1.4826)
-    z = with_const(
-        F.col("__d"),
-        F.struct(F.col("__med").alias("m"), F.col("__sigma").alias("s")),
-        lambda x, c: (x - c["m"]) / c["s"],
-    )
-    return (
-        df.withColumn("__d", diffs(F.col(v)))
-        .withColumn("__base", F.when(F.size("__d") >= 8, base))
-        .withColumn("__med", median(F.col("__base")))
-        .withColumn("__mad", dev)
-        .withColumn("__sigma", F.greatest(sigma, F.lit(float(floor))))
-        .withColumn(
-            out,
-            F.when(F.size("__d") >= 8, z).otherwise(F.array().cast("array<double>")),
-        )
-        .drop("__d", "__base", "__med", "__mad", "__sigma")
-    )
+
+    def scale(b, m):
+        dev = median(F.transform(b, lambda x: F.abs(x - m)))
+        core = lambda mad: F.when(
+            mad * 1.4826 < 1e-12, F.greatest(pop_std(b), F.lit(1e-9))
+        ).otherwise(mad * 1.4826)
+        return F.greatest(let(dev, core), F.lit(float(floor)))
+
+    def standardise(d, b, m):
+        return let(scale(b, m), lambda s: F.transform(d, lambda x: (x - m) / s))
+
+    def run(d):
+        base = F.slice(d, F.lit(1), F.size(d) - 1)
+        z = let(base, lambda b: let(median(b), lambda m: standardise(d, b, m)))
+        return F.when(F.size(d) >= 8, z).otherwise(F.array().cast("array<double>"))
+
+    return let(diffs(v), run)
+
+
+def robust_innovations(df: DataFrame, v: str, out: str = "z", floor: float = 0.05) -> DataFrame:
+    """Add ``robust_z`` of column ``v`` as ``out``."""
+    return df.withColumn(out, robust_z(F.col(v), floor))
 
 
 def page_cusum(z: Column, k: float = 0.5, h: float = 4.0) -> Column:
@@ -298,28 +298,23 @@ def jensen_shannon(d: Column) -> Column:
     return F.when(F.size(d) >= 3, clip(jsd / top, 0, 1)).otherwise(0.0)
 
 
-def hill_tail(df: DataFrame, v: str, out: str, q: float = 0.85) -> DataFrame:
-    """Add the tail rank of the last absolute difference above the ``q`` quantile (else 0)."""
-    ok = (F.size(v) >= 15) & F.col("__thr").isNotNull() & (F.col("__thr") > 1e-15)
-    logs = with_const(
-        F.col("__a"), F.col("__thr"), lambda x, t: F.when(x >= t, F.ln(x / t))
-    )
-    logs = F.filter(logs, lambda x: x.isNotNull())
-    k, s, last = F.size("__logs"), F.col("__s"), F.element_at("__a", -1)
-    tail = F.lit(1.0) - F.pow(last / F.col("__thr"), -(k / s))
-    return (
-        df.withColumn("__a", F.transform(diffs(F.col(v)), lambda x: F.abs(x)))
-        .withColumn("__thr", quantile(F.col("__a"), q))
-        .withColumn("__logs", F.when(ok, logs))
-        .withColumn("__s", total(F.col("__logs")))
-        .withColumn(
-            out,
-            F.when(
-                ok & (k >= 3) & (s >= 1e-9) & (last >= F.col("__thr")), clip(tail, 0, 1)
-            ).otherwise(0.0),
-        )
-        .drop("__a", "__thr", "__logs", "__s")
-    )
+def hill_tail(v: Column, q: float = 0.85) -> Column:
+    """Tail rank of the last absolute difference above the ``q`` quantile (else 0)."""
+
+    def rank(a, t, logs):
+        k, last = F.size(logs), F.element_at(a, -1)
+        tail = lambda s: F.when(
+            (k >= 3) & (s >= 1e-9) & (last >= t), clip(F.lit(1.0) - F.pow(last / t, -(k / s)), 0, 1)
+        ).otherwise(0.0)
+        return let(total(logs), tail)
+
+    def above(a, t):
+        ok = (F.size(a) >= 14) & t.isNotNull() & (t > 1e-15)
+        logs = F.transform(F.filter(a, lambda x: x >= t), lambda x: F.ln(x / t))
+        return F.when(ok, let(logs, lambda l: rank(a, t, l))).otherwise(0.0)
+
+    mags = F.transform(diffs(v), lambda x: F.abs(x))
+    return let(mags, lambda a: let(quantile(a, q), lambda t: above(a, t)))
 
 
 def kernel_smooth(v: Column, n: int, bandwidth: float = 1.5) -> Column:

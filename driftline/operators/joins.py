@@ -28,9 +28,7 @@ def asof_day(rows: DataFrame, daily: DataFrame, day: str, defaults: dict[str, fl
         day, F.explode("__days")
     ).drop("__days")
     j = rows.join(dense, day, "left")
-    for c, v in defaults.items():
-        j = j.withColumn(c, F.coalesce(c, F.lit(v)))
-    return j
+    return j.withColumns({c: F.coalesce(c, F.lit(v)) for c, v in defaults.items()})
 
 
 def previous_day(scores: DataFrame, key: str, day: str, score: str) -> DataFrame:

@@ -232,7 +232,7 @@ def i13(spark, sf):
        THEN greatest(0, least(1, 1 - pow(a[19]/thr, -(k/s)))) ELSE 0 END, 6) AS tail FROM s""",
 )
 def i14(spark, sf):
-    return S.hill_tail(windows20(spark, sf), "v", "tail").select(*KEYS, r6("tail").alias("tail"))
+    return windows20(spark, sf).select(*KEYS, r6(S.hill_tail(F.col("v"))).alias("tail"))
 
 
 @query("i15_unit_root")
@@ -320,27 +320,23 @@ def i20(spark, sf):
 def shift_probe(w, key: str, v: str, deltas, margin: float = 0.05):
     """Inject each level shift into each window and report which detectors react."""
 
-    def metrics(df, arr, tag):
-        z = S.robust_innovations(df, arr, f"__z{tag}")
-        c = F.col(f"__z{tag}")
-        return z.withColumn(f"cusum{tag}", S.page_cusum(c)).withColumn(
-            f"ewma{tag}", S.ewma_chart(c)
-        ).withColumn(f"changes{tag}", S.regime_changes(c))
+    def metrics(z):
+        return F.named_struct(
+            F.lit("cusum"), S.page_cusum(z), F.lit("ewma"), S.ewma_chart(z), F.lit("changes"), S.regime_changes(z)
+        )
 
     grid = F.explode(F.array(*[F.lit(float(x)) for x in deltas]))
-    base = metrics(w.select(key, v), v, "0").withColumn("delta", grid)
-    hot = metrics(base.withColumn("__v1", S.inject_shift(F.col(v), F.col("delta"))), "__v1", "1")
-    dc, de = F.col("cusum1") - F.col("cusum0"), F.col("ewma1") - F.col("ewma0")
+    base = w.select(key, v, S.let(S.robust_z(F.col(v)), metrics).alias("a"), grid.alias("delta"))
+    hot = base.select(
+        key, "delta", "a", S.let(S.robust_z(S.inject_shift(F.col(v), F.col("delta"))), metrics).alias("b")
+    )
+    up = lambda f, m: F.col(f"b.{f}") > F.col(f"a.{f}") + m
     return hot.select(
         key,
         "delta",
-        F.round(dc, 4).alias("delta_cusum"),
-        F.round(de, 4).alias("delta_ewma"),
-        (
-            (F.col("cusum1") > F.col("cusum0") + margin)
-            | (F.col("ewma1") > F.col("ewma0") + margin)
-            | (F.col("changes1") > F.col("changes0"))
-        ).alias("fired"),
+        F.round(F.col("b.cusum") - F.col("a.cusum"), 4).alias("delta_cusum"),
+        F.round(F.col("b.ewma") - F.col("a.ewma"), 4).alias("delta_ewma"),
+        (up("cusum", margin) | up("ewma", margin) | up("changes", 0.0)).alias("fired"),
     )
 
 
