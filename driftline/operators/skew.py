@@ -125,19 +125,20 @@ def running(
         .orderBy(pos)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = agg(F.col("__v")).over(inside)
-    if how == "sum":
-        merged = F.coalesce(F.col("__c"), F.lit(0.0)) + local
-    elif how == "min":
-        merged = F.least("__c", "__l")
-    elif how == "max":
-        merged = F.greatest("__c", "__l")
-    else:
-        merged = F.coalesce("__l", "__c")
+    zero = F.lit(0.0)
+    merged = {
+        "sum": F.when(
+            F.col("__c").isNotNull() | F.col("__l").isNotNull(),
+            F.coalesce("__c", zero) + F.coalesce("__l", zero),
+        ),
+        "min": F.least("__c", "__l"),
+        "max": F.greatest("__c", "__l"),
+        "last": F.coalesce("__l", "__c"),
+    }[how]
     return (
         blocks.join(carry, [*keys, "__b"])
-        .withColumn("__l", local)
-        .withColumn(name, merged if how != "sum" else F.coalesce(F.col("__c"), F.lit(0.0)) + F.col("__l"))
+        .withColumn("__l", agg(F.col("__v")).over(inside))
+        .withColumn(name, merged)
         .drop("__v", "__b", "__c", "__l")
     )
 
