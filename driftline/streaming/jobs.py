@@ -138,16 +138,24 @@ def lifecycle(log: DataFrame, key: str, order: str, want: str) -> DataFrame:
             ),
         )
 
-    maps = runs.select(key, "__blk", F.array(*[fold(s) for s in names]).alias("m"))
-    chain = maps.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__blk", "m"))).alias("b"))
-    pos = lambda s: sum((F.when(s == n, i + 1).otherwise(0) for i, n in enumerate(names[1:], 1)), F.when(s == names[0], 1).otherwise(0))
-    zero = F.struct(F.lit("OPEN").alias("s"), F.lit(0).cast("bigint").alias("ok"), F.lit(0).cast("bigint").alias("bad"))
+    def state(s: Column | str) -> Column:
+        s = F.lit(s) if isinstance(s, str) else s
+        none = F.lit(0).cast("bigint")
+        return F.struct(s.alias("s"), none.alias("ok"), none.alias("bad"))
+
+    number = F.create_map(*[F.lit(x) for i, n in enumerate(names) for x in (n, i + 1)])
 
     def link(a, x):
-        m = F.element_at(x["m"], pos(a["s"]))
+        m = F.element_at(x["m"], F.element_at(number, a["s"]))
         return F.struct(m["s"].alias("s"), (a["ok"] + m["ok"]).alias("ok"), (a["bad"] + m["bad"]).alias("bad"))
 
-    return chain.select(key, F.aggregate("b", zero, link).alias("f")).select(
+    in_order = F.array_sort(F.collect_list(F.struct("__blk", "m"))).alias("b")
+    maps = runs.select(key, "__blk", F.array(*[fold(s) for s in names]).alias("m"))
+    # Neighbouring blocks are composed once more, so the last chain is short even for a huge key.
+    groups = maps.groupBy(key, F.floor(F.col("__blk") / skew.BLOCK_ROWS).alias("__g")).agg(in_order)
+    wide = groups.select(key, F.col("__g").alias("__blk"), F.array(*[F.aggregate("b", state(s), link) for s in names]).alias("m"))
+    chain = wide.groupBy(key).agg(in_order)
+    return chain.select(key, F.aggregate("b", state("OPEN"), link).alias("f")).select(
         key, F.col("f.s").alias("status"), F.col("f.ok").alias("accepted"), F.col("f.bad").alias("rejected")
     )
 
