@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from driftline.functions.series import clip
 from driftline.operators import skew
+from driftline.session import materialize
 
 
 def asof_day(rows: DataFrame, daily: DataFrame, day: str, defaults: dict[str, float]) -> DataFrame:
@@ -143,6 +144,8 @@ def match_counts(pred: DataFrame, truth: DataFrame, key: str, classes: Sequence[
     are found with two-level scans; a group holds the runs that start in one block of positions.
     """
     both = pred.withColumn("kind", F.lit(0)).unionByName(truth.withColumn("kind", F.lit(1)))
+    # Both scans below read their input twice, so it is written once.
+    both = materialize(both, "match-input")
     group = [key, *classes]
     rows = both.withColumn("__blk", F.floor(F.col(i) / skew.BLOCK_ROWS))
     edge = rows.groupBy(*group, "__blk").agg(F.max(i).alias("__e"))
@@ -150,7 +153,8 @@ def match_counts(pred: DataFrame, truth: DataFrame, key: str, classes: Sequence[
     w = Window.partitionBy(*group, "__blk").orderBy(i, "kind")
     prev = rows.join(carry, [*group, "__blk"]).withColumn("__prev", F.coalesce(F.lag(i).over(w), F.col("__pe")))
     start = F.when(F.col("__prev").isNull() | (F.col(i) - F.col("__prev") > tol), F.col(i))
-    runs = skew.running(prev.withColumn("__p", F.col(i) + 1), group, "__p", start, "__run", how="last")
+    marked = prev.select(*group, i, "kind", (F.col(i) + 1).alias("__p"), start.alias("__start"))
+    runs = skew.running(materialize(marked, "match-runs"), group, "__p", F.col("__start"), "__run", how="last")
     schema = T.StructType([pred.schema[key], T.StructField("tp", T.LongType()), T.StructField("n_pred", T.LongType()), T.StructField("n_truth", T.LongType())])
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import series as S
 from driftline.operators import skew
+from driftline.session import materialize
 
 WINDOW = 20
 
@@ -272,12 +273,12 @@ def candidate_peaks(df: DataFrame, key: str, value: str, pos: str = "pos", facto
     Candidates further apart than the gap never affect each other, so the greedy choice runs
     inside chains of close candidates, not over a whole series.
     """
-    d = steps(df, key, value, pos).withColumn("d", F.abs("step"))
+    # The steps feed the median and the filter; candidates feed two scans. Each is written once.
+    d = materialize(steps(df, key, value, pos).select(key, "i", F.abs("step").alias("d")), "steps")
     med = skew.exact_quantiles(d, [key], "d", {"med": 0.5})
     thr = F.greatest(F.col("med") * factor, F.lit(1e-6))
     cand = d.join(med.select(key, "med"), key).where((F.col("i") >= 1) & (F.col("d") >= thr))
-    # Chain starts: no candidate in the gap before. Numbering uses the dense difference index.
-    return _greedy_gap(cand, key, "i", min_gap)
+    return _greedy_gap(materialize(cand.select(key, "i"), "candidates"), key, "i", min_gap)
 
 
 def _greedy_gap(cand: DataFrame, key: str, i: str, min_gap: int) -> DataFrame:
