@@ -41,7 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: ``spark.checkpoint.dir`` of the session.
 
-    A temporary folder is set only where the setting is missing (tests, local mode).
+    A temporary folder is made only where the setting is missing (tests, local mode); it is
+    kept for the session as the context's checkpoint folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
@@ -49,8 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
     if not configured:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
-        configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        configured = spark.sparkContext.getCheckpointDir()
+        if not configured:
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+            configured = spark.sparkContext.getCheckpointDir()
     return configured.rstrip("/")
 
 
