@@ -5,16 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftline.llm.decontamination import decontaminate
 from driftline.llm.packing import pack
 from driftline.session import materialize, table
 
 
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share ten consecutive words with a benchmark item go."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents in sequences of 1024 tokens; ``tokens`` are the ids."""
     return pack(docs).withColumnRenamed("ids", "tokens")
 
 
-STAGES = (("packing", packing),)
+STAGES = (("decontamination", decontamination), ("packing", packing),)
 
 ORACLE_SQL = None
 
