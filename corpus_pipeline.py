@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 
 from driftline.llm.decontamination import decontaminate
 from driftline.llm.packing import pack
+from driftline.llm.toxicity import keep_clean
 from driftline.session import materialize, table
 
 
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents predicted toxic go."""
+    return keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share ten consecutive words with a benchmark item go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
@@ -20,7 +26,7 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack(docs).withColumnRenamed("ids", "tokens")
 
 
-STAGES = (("decontamination", decontamination), ("packing", packing),)
+STAGES = (("toxicity", toxicity), ("decontamination", decontamination), ("packing", packing),)
 
 ORACLE_SQL = None
 

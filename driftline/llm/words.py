@@ -12,6 +12,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Words of digits, letters and characters beyond ASCII.
@@ -88,10 +89,28 @@ def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = 3_000_0
     """The rows again, about ``size`` bytes of text at a time."""
     for batch in batches:
         column = batch.column(text)
-        sizes = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(column), 0), np.int64))
+        sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
         at = 0
         while at < batch.num_rows:
             before = sizes[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+
+
+def prefixes(texts: list[str | None], words: Words, sizes: tuple[int, ...]) -> np.ndarray:
+    """A row per size with the hash of every word's first bytes; 0 for words that aren't longer.
+
+    ``texts`` are those that gave ``words``, cut at :data:`ALNUM`.
+    """
+    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(b" ".join([*raw, b""]).translate(FOLD), np.uint8)
+    edge = np.flatnonzero(np.diff(ALNUM[data], prepend=False, append=False))
+    start, length = edge[::2], edge[1::2] - edge[::2]
+    out = np.zeros((len(sizes), len(start)), np.uint64)
+    code = np.zeros(len(start), np.uint64)
+    for k in range(max(sizes)):
+        code = code * np.uint64(BASE) + data[np.minimum(start + k, len(data) - 1)] + np.uint64(1)
+        if k + 1 in sizes:
+            out[sizes.index(k + 1)] = np.where(length > k + 1, mix(code + np.uint64(k + 1)), 0)
+    return out
