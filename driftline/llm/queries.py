@@ -1,4 +1,4 @@
 """Loads every query module of this folder."""
 
 from driftline.llm.registry import ORACLES, QUERIES  # noqa: F401
-from driftline.llm import q_decontamination, q_html, q_language, q_line_dedup, q_packing, q_pii, q_sharding, q_toxicity  # noqa: F401
+from driftline.llm import q_decontamination, q_html, q_language, q_line_dedup, q_ngram_join, q_packing, q_pii, q_sharding, q_toxicity  # noqa: F401
