@@ -14,7 +14,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.components import components
@@ -24,8 +24,10 @@ from driftline.session import materialize
 
 BUCKET_BITS = 18
 BLOCK = 256
-BITMAP, WIDE = 8, 32  # 64-bit words of a row's bitmap, which has every fourth shingle, and of a tree's
+BITMAP, WIDE = 8, 32  # 64-bit words of a row's bitmap and of a tree's
 LEAF = 8
+#: Documents per shingle from which trees are merged first, by so many of each component, dealt so often at most.
+CROWD, SPEAKERS, DEALS = 16, 3, 4
 
 
 class Rule(NamedTuple):
@@ -65,6 +67,11 @@ def _bitmap(hashes: np.ndarray, longs: int) -> np.ndarray:
     return np.packbits(bits, bitorder="little").view(np.uint64)
 
 
+def _thinned(n):
+    """A row's bitmap has the shingles whose hash begins with so many zero bits, about 256 of ``n``."""
+    return np.ceil(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
+
+
 def _frequencies(docs: DataFrame, rule: Rule) -> np.ndarray:
     """How many shingles of the corpus fall in each of a fixed number of hash buckets."""
 
@@ -100,8 +107,9 @@ def _described(docs: DataFrame, rule: Rule) -> DataFrame:
                 k = min(rule.prefix(len(s)), len(s))
                 rare = s[np.argpartition(order, k - 1)[:k]] if k < len(s) else s
                 marks = np.array([s.sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).view(np.int64)
-                some = mix(s)
-                rows.append((len(s), *marks.tolist(), rare.view(np.int64), _bitmap(some[some >> np.uint64(62) == 0], BITMAP).tobytes()))
+                some, few = mix(s), int(_thinned(len(s)))
+                some = some[some >> np.uint64(64 - few) == 0] if few else some
+                rows.append((len(s), *marks.tolist(), rare.view(np.int64), _bitmap(some, BITMAP).tobytes()))
             n, f1, f2, rare, bits = zip(*rows) if rows else ([],) * 5
             yield pa.record_batch(
                 [block.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(list(rare), pa.list_(pa.int64())), pa.array(list(bits), pa.binary())],
@@ -231,6 +239,13 @@ def _within_blocks(texts: DataFrame, rule: Rule) -> DataFrame:
     return texts.repartition("block").sortWithinPartitions("block").mapInArrow(step, LINKS)
 
 
+def _linked(anchors: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
+    """Links inside the trees of (``token``, ``m``, ``id``), each cut into blocks if its ``m`` rows are too many."""
+    block = F.xxhash64("token", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / (BLOCK // 2)))))
+    blocked = sized(materialize(anchors.select("id", block.alias("block")), "ngram-blocks"))
+    return materialize(_within_blocks(docs.join(blocked, "id").select("block", "id", "text"), rule), "ngram-links")
+
+
 def _across(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components that sizes and bitmaps leave open, per group of (``pair``, ``side``)."""
 
@@ -238,7 +253,7 @@ def _across(rows: DataFrame, rule: Rule) -> DataFrame:
         for table in _groups(batches, 0, 2_000_000):
             key, side, ids, part, n = (table.column(k).to_numpy() for k in range(5))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)
-            pairs = []
+            pairs, thin = [], _thinned(n)
             longest = max((b - a for a, b in _runs_of(key)), default=0)
             for shift in range(1, longest):
                 x = np.arange(len(key) - shift)
@@ -251,6 +266,7 @@ def _across(rows: DataFrame, rule: Rule) -> DataFrame:
                 lost_x = np.bitwise_count(bits[x] ^ both).sum(axis=1, dtype=np.int64)
                 lost_y = np.bitwise_count(bits[y] ^ both).sum(axis=1, dtype=np.int64)
                 good = (lost_x <= n[x] - need) & (lost_y <= n[y] - need)
+                good |= thin[x] != thin[y]  # bitmaps of different shingles say nothing
                 pairs += zip(np.minimum(ids[x], ids[y])[good].tolist(), np.maximum(ids[x], ids[y])[good].tolist())
             yield _link_batch(list(set(pairs)))
 
@@ -288,11 +304,22 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shared = materialize(tokens.join(shared, "token"), "ngram-tokens")
     # First the trees of every document's most shared rare shingle, in blocks dealt by its hash.
     anchor = shared.groupBy("id").agg(F.max(F.struct("m", "token")).alias("x")).select("id", "x.*")
-    block = F.xxhash64("token", F.when(F.col("m") > BLOCK, F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / (BLOCK // 2)))))
-    anchors = sized(materialize(anchor.select("id", block.alias("block")), "ngram-anchors"))
-    inside = plain.join(anchors, "id").select("block", "id", "text")
-    first = materialize(_within_blocks(inside, rule), "ngram-links")
-    parts = materialize(components(first), "ngram-parts")
+    anchor = materialize(anchor, "ngram-anchors")
+    links = _linked(anchor, plain, rule)
+    parts = materialize(components(links), "ngram-parts")
+    # Blocks and trees are merged by a few documents of each of their components, dealt anew.
+    large, before = shared.where(F.col("m") > CROWD), None
+    for deal in range(DEALS):
+        held = large.join(parts, large.id == parts.node, "left").select("token", "id", F.coalesce("component", "id").alias("part"))
+        by_hash = Window.partitionBy("token", "part").orderBy(F.xxhash64("id", F.lit(deal)))
+        speakers = held.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SPEAKERS)
+        count = speakers.groupBy("token").agg(F.count("*").alias("m"), F.countDistinct("part").alias("parts")).where("parts > 1")
+        speakers = materialize(speakers.join(count, "token").select("id", "m", "token"), "ngram-speakers")
+        n = speakers.count()
+        if not n or before and n > 0.9 * before:
+            break
+        before, links = n, materialize(links.union(_linked(speakers, plain, rule)), "ngram-links")
+        parts = materialize(components(links), "ngram-parts")
     # Then, per rare shingle, the blocks that hold more than one component.
     rows = shared.join(parts, shared.id == parts.node, "left").select("token", "m", "id", F.coalesce("component", "id").alias("part"))
     mixed = rows.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
@@ -315,7 +342,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     sides = pairs.select("token", F.xxhash64("token", "blk_a", "blk_b").alias("pair"), F.inline(side))
     open_pairs = materialize(_across(rows.join(sides, ["token", "blk"]), rule), "ngram-open")
     second = materialize(_checked(open_pairs, plain.where("id is not null"), rule), "ngram-links")
-    whole = components(first.union(second))
+    whole = components(links.union(second))
     # Copies of a class follow its first document.
     named = classes.join(whole, classes.id == whole.node, "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     out = described.join(named, ["f1", "f2", "n"], "left")
