@@ -347,3 +347,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     named = classes.join(whole, classes.id == whole.node, "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     out = described.join(named, ["f1", "f2", "n"], "left")
     return out.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", rule: Rule = Rule()) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component, with their columns; rows without an id stay."""
+    groups = near_groups(docs, id_column, text_column, rule)
+    later = groups.where(F.col("component_id") != F.col(id_column)).select(F.col(id_column).alias("__later")).distinct()
+    later = sized(materialize(later, "ngram-later"))
+    return docs.join(later, F.col(f"`{id_column}`") == F.col("__later"), "left_anti")
