@@ -132,15 +132,17 @@ def fit(pages: DataFrame, html_column: str = "html", sample: int = 5000) -> dict
 
 
 def weigh(key: str, inside: int = 0, outside: int = 0) -> float:
-    """Log-odds of content with the prior's counts; words beside the article and all tags stay below zero."""
+    """Log-odds of content with the prior's counts; only words outside the side parts may score above zero.
+
+    What stands beside the article is left out of its text in any case, so it costs little to step over it.
+    """
     kind, name = key.split(" ", 1)
     if kind == "tag" and name in CONTENT:
         return -LIMIT
-    a, b = {"side": (0.5, 5.0), "words": (3.0, 2.0), "tag": (1.0, 1.2)}[kind]
+    a, b = (1.0, 2.0) if key.endswith(" link") else {"side": (0.5, 5.0), "words": (3.0, 1.0), "tag": (1.0, 1.2)}[kind]
     odds = max(-LIMIT, min(LIMIT, math.log((inside + a) / (outside + b))))
-    if kind == "tag":  # a list or table in an article has many tags and few words
-        return max(-1.0, min(odds, -0.02))
-    return odds if kind == "words" else min(odds, -0.02)
+    least, most = {"words": (-LIMIT, LIMIT), "side": (-0.1, -0.02), "tag": (-1.0, -0.02)}[kind]
+    return max(least, min(most, odds))
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:

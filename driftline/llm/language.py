@@ -142,12 +142,13 @@ def phrases(model: Model, texts: list[str]) -> np.ndarray:
         symbol = grid[k, :m][None, :]
         step = flat[state[:, :m] * width + symbol]
         stuck = step < 0
-        # The phrase ends before this symbol; the next begins with it. Unseen symbols stay at the root.
+        # A phrase begins at the root, or with the symbol that the one before could not take. A symbol
+        # never seen in training is a phrase, too, and leads back to the root.
         again = flat[roots[:, :m] * width + symbol]
-        count[:, :m] += stuck
+        count[:, :m] += stuck | (state[:, :m] == roots[:, :m])
         state[:, :m] = np.where(stuck, np.where(again < 0, roots[:, :m], again), step)
     for j in range(len(model.languages)):
-        out[:, j] = np.bincount(owner, count[j] + 1, minlength=len(texts)).astype(np.int64)
+        out[:, j] = np.bincount(owner, count[j], minlength=len(texts)).astype(np.int64)
     return out
 
 

@@ -79,7 +79,8 @@ def _base(text: Column, kind: str) -> Column:
 def _tokens(text: Column, base: Column) -> Column:
     """Tokens that could be identifiers: place, shape, the word before, and the base kind they touch."""
     core = lambda v: F.regexp_extract(v, r"[\p{L}\p{N}](?:\S*[\p{L}\p{N}])?", 0)
-    shape = lambda v: F.regexp_replace(F.regexp_replace(F.lower(v), r"\p{L}+", "a"), "[0-9]+", "9")
+    # Only the coarsest shape: identifiers of a form not known are the ones to find.
+    shape = lambda v: F.when(v.contains("@"), "@").when(v.rlike("\\p{L}"), "a9").otherwise("9")
 
     def token(x):
         start = x["start"] + F.greatest(F.instr(x["value"], core(x["value"])) - 1, F.lit(0))
