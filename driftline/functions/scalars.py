@@ -36,10 +36,10 @@ STOP_WORDS = (
 ).split()
 
 # Name prefixes of the weather group.
-WEATHER_PREFIXES = (
-    "NOAA GOES METEOSAT METOP FENGYUN FY- HIMAWARI ELECTRO-L DMSP GOMS INSAT KALPANA "
-    "GEO-KOMPSAT ARSAT"
-).split()
+WEATHER_PREFIXES = [
+    "NOAA", "GOES", "METEOSAT", "METOP", "FENGYUN", "FY-", "HIMAWARI", "ELECTRO-L", "DMSP", "GOMS",
+    "INSAT", "KALPANA", "GEO-KOMPSAT", "ARSAT",
+]
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

@@ -71,11 +71,15 @@ def exact_tail(n: int, m: int, u: int) -> float:
     return sum(ways[n][m][u:]) / math.comb(n + m, n)
 
 
-def upper_p(n: int, m: int, u: float, ties: float) -> float:
-    """One-sided p: exact for a small group without ties, else normal with tie and continuity correction."""
+def upper_p(n: int, m: int, u: float, ties: float, exact: bool | None = None) -> float:
+    """One-sided p, exact or normal with tie and continuity correction.
+
+    ``exact`` picks the method; left open, it is exact where one group has eight rows or fewer and no
+    value is tied. With ties it is always the normal one.
+    """
     if min(n, m) < 1:
         return float("nan")
-    if ties == 0 and min(n, m) <= 8 and n * m <= 4000:
+    if ties == 0 and (min(n, m) <= 8 if exact is None else exact):
         return exact_tail(n, m, math.ceil(u))
     total = n + m
     var = n * m / 12.0 * (total + 1 - ties / (total * (total - 1)))

@@ -66,10 +66,10 @@ def case_edges(cases: DataFrame, k: int = 3) -> DataFrame:
     return valid.unionByName(same)
 
 
-def document_edges(cases: DataFrame, k: int = 3) -> DataFrame:
+def document_edges(cases: DataFrame) -> DataFrame:
     """mentions and validatedBy links from source documents to cases."""
-    d = cases.select("id", F.explode(F.slice("sources", 1, k)).alias("source")).select(
-        F.concat(F.lit("doc:"), F.substring(slug(F.col("source")), 1, 48)).alias("src"), oid("case", "id").alias("dst")
+    d = cases.select("id", F.explode("sources").alias("source")).select(
+        F.concat(F.lit("doc:"), slug(F.col("source"))).alias("src"), oid("case", "id").alias("dst")
     )
     return d.distinct().select("src", "dst", F.explode(F.array(F.lit("mentions"), F.lit("validatedBy"))).alias("type"))
 
@@ -90,9 +90,9 @@ def nodes(board: DataFrame, cases: DataFrame) -> DataFrame:
         )
     )
     case = cases.select(oid("case", "id").alias("id"), F.lit("case").alias("kind"), F.col("id").alias("label")).dropDuplicates(["id"])
-    docs = cases.select(F.explode(F.slice("sources", 1, 3)).alias("source")).groupBy(
-        F.concat(F.lit("doc:"), F.substring(slug(F.col("source")), 1, 48)).alias("id")
-    ).agg(F.min(F.substring("source", 1, 160)).alias("label"))
+    docs = cases.select(F.explode("sources").alias("source")).groupBy(
+        F.concat(F.lit("doc:"), slug(F.col("source"))).alias("id")
+    ).agg(F.min("source").alias("label"))
     return own.unionByName(case).unionByName(docs.select("id", F.lit("document").alias("kind"), "label"))
 
 

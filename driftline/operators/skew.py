@@ -228,8 +228,10 @@ def exact_quantiles(
     h = (F.col("__n") - 1) * F.col("f")
     fl, ce = F.floor(h), F.ceil(h)
     at = lambda idx: F.max(F.when((F.col("__lo") <= idx) & (idx < F.col("__hi")), F.col("__v")))
+    # A rank that fell on the collapsed row was outside its bracket; that must not pass for a null.
+    sure = lambda v: F.coalesce(v, F.raise_error(F.lit("quantile outside its bracket; raise the accuracy")).cast("double"))
     picked = ranked.groupBy(*keys, "p").agg(
-        F.first("__n").alias("n"), at(fl).alias("__a"), at(ce).alias("__b"), F.first(h - fl).alias("__w")
+        F.first("__n").alias("n"), sure(at(fl).cast("double")).alias("__a"), sure(at(ce).cast("double")).alias("__b"), F.first(h - fl).alias("__w")
     ).withColumn("__val", F.col("__a") + (F.col("__b") - F.col("__a")) * F.col("__w"))
     out = (picked.groupBy(*keys) if keys else picked.groupBy()).agg(
         F.first("n").alias("n"),

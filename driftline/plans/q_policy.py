@@ -407,15 +407,15 @@ TOK = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]{{3,}}'),
 @query(
     "h9_keyword_retrieval",
     f"""WITH {CHUNK_SQL}, q AS (SELECT list_distinct({TOK('text')}) AS q FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
-    s AS (SELECT path, chunk_no, len(list_intersect(list_distinct({TOK("heading || ' ' || body[1:1800]")}), q)) AS ov, len(list_intersect(list_distinct({TOK('heading')}), q)) > 0 AS hh
-      FROM ch, q WHERE length(body) >= 40)
-    SELECT path, chunk_no, ov + CASE WHEN hh THEN 2 ELSE 0 END AS score FROM s WHERE ov > 0 ORDER BY score DESC, path, chunk_no LIMIT 20""",
+    s AS (SELECT path, chunk_no, part, len(list_intersect(list_distinct({TOK("heading || ' ' || body[part*1800 + 1 : part*1800 + 1800]")}), q)) AS ov, len(list_intersect(list_distinct({TOK('heading')}), q)) > 0 AS hh
+      FROM (SELECT *, unnest(range(0, (length(body) - 1) // 1800 + 1)) AS part FROM ch WHERE length(body) >= 40), q)
+    SELECT path, chunk_no, part, ov + CASE WHEN hh THEN 2 ELSE 0 END AS score FROM s WHERE ov > 0 ORDER BY score DESC, path, chunk_no, part LIMIT 20""",
 )
 def h9(spark, sf):
     b = table(spark, sf, "benchmark")
     q = b.agg(F.min_by("text", "item_id").alias("t")).select(F.array_distinct(X.tokens(F.col("t")))).scalar()
     hits = TX.retrieve(TX.markdown_chunks(marked_documents(spark, sf), "path", "text"), q, "path", "heading", "text")
-    return hits.orderBy(F.desc("score"), "path", "chunk_no").limit(20).select("path", "chunk_no", F.col("score").cast("bigint").alias("score"))
+    return hits.orderBy(F.desc("score"), "path", "chunk_no", "part").limit(20).select("path", "chunk_no", "part", F.col("score").cast("bigint").alias("score"))
 
 
 @query(

@@ -298,7 +298,7 @@ def a16(spark, sf):
       round(CASE WHEN p_partkey % 3 = 0 THEN -1 ELSE 1 END * (10000 + p_partkey)/1e5::DOUBLE * 1e-4::DOUBLE, 9) AS bstar,
       round(30 + p_size + 0.25::DOUBLE, 4) AS inc, round((p_partkey*7) % 360 + 0.5::DOUBLE, 4) AS raan,
       round((1000 + p_partkey)/1e7::DOUBLE, 7) AS ecc, round(10 + p_size/10.0::DOUBLE, 8) AS mean_motion
-    FROM part WHERE p_partkey % 11 <> 0 AND p_partkey < 90000""",
+    FROM (SELECT p_name, p_size, p_partkey % 90000 AS p_partkey FROM part) WHERE p_partkey % 11 <> 0""",
 )
 def a17(spark, sf):
     return X.parse_element_records(record_lines(spark, sf)).select(
@@ -311,10 +311,11 @@ def a17(spark, sf):
 def record_lines(spark, sf):
     """Element records as text lines: per part a name line (mostly), line 1 and line 2.
 
-    Ids fit the format's five digits up to 90 000; every eleventh record has a short second line.
+    The format has five digits for an id, so ids start again after 90 000; every eleventh record has a
+    short second line.
     """
-    p = table(spark, sf, "part").where("p_partkey < 90000")
-    k, s = F.col("p_partkey"), F.col("p_size")
+    p = table(spark, sf, "part")
+    k, s = F.col("p_partkey") % 90000, F.col("p_size")
     l1 = F.format_string(
         "1 %05dU 20001A   %02d%03d.%s  .00000000  00000-0 %s 0  9990", k, (s + 30) % 100, (k % 365 + 1).cast("int"),
         F.element_at(F.array(F.lit("00000000"), F.lit("25000000"), F.lit("50000000"), F.lit("75000000")), (s % 4 + 1).cast("int")),
@@ -326,7 +327,7 @@ def record_lines(spark, sf):
     l2 = F.when(k % 11 == 0, F.substring(l2, 1, 30)).otherwise(l2)
     name = F.when(k % 5 != 0, F.col("p_name")).otherwise(F.lit("# comment"))
     lines = p.select(
-        (k % 3).alias("file"), k.alias("g"), F.posexplode(F.array(name, l1, l2)).alias("i", "line")
+        (k % 3).alias("file"), F.col("p_partkey").alias("g"), F.posexplode(F.array(name, l1, l2)).alias("i", "line")
     )
     return positions(lines, ["file"], ["g", "i"], F.floor(F.col("g") / 1000), "line_no")
 
@@ -548,11 +549,12 @@ CHUNK_SQL = """doc AS (SELECT doc_id::VARCHAR AS path, unnest(regexp_split_to_ar
 
 @query(
     "a25_markdown_chunks",
-    f"""WITH {CHUNK_SQL} SELECT path, chunk_no, md5(heading) AS heading, md5(body[1:1800]) AS text FROM ch WHERE length(body) >= 40""",
+    f"""WITH {CHUNK_SQL} SELECT path, chunk_no, part, md5(heading) AS heading, md5(body[part*1800 + 1 : part*1800 + 1800]) AS text
+    FROM (SELECT *, unnest(range(0, (length(body) - 1) // 1800 + 1)) AS part FROM ch WHERE length(body) >= 40)""",
 )
 def a25(spark, sf):
     c = X.markdown_chunks(marked_documents(spark, sf), "path", "text")
-    return c.select("path", "chunk_no", F.md5("heading").alias("heading"), F.md5("text").alias("text"))
+    return c.select("path", "chunk_no", "part", F.md5("heading").alias("heading"), F.md5("text").alias("text"))
 
 
 @query(

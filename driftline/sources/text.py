@@ -107,7 +107,10 @@ def parse_element_records(df: DataFrame, file: str = "file", line_no: str = "lin
 
 
 def markdown_chunks(df: DataFrame, path: str, text: str, min_chars: int = 40, cap: int = 1800) -> DataFrame:
-    """Sections between headings; bodies under ``min_chars`` are dropped, excerpts end at ``cap``."""
+    """Sections between headings; bodies under ``min_chars`` are dropped.
+
+    A body longer than ``cap`` becomes consecutive parts of that length, numbered from 0 in ``part``.
+    """
     parts = F.split(F.concat(F.lit("# "), F.col(path), F.lit("\n"), F.col(text)), r"(?m)^[ \t]*#{1,4}[ \t]+(?=\S)")
     secs = df.select(path, F.posexplode(parts).alias("chunk_no", "s")).where("chunk_no > 0")
     body = F.regexp_replace(F.regexp_replace("s", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
@@ -115,7 +118,9 @@ def markdown_chunks(df: DataFrame, path: str, text: str, min_chars: int = 40, ca
         path, F.col("chunk_no").cast("bigint").alias("chunk_no"),
         F.trim(F.substring_index("s", "\n", 1)).alias("heading"), body.alias("body"),
     )
-    return out.where(F.length("body") >= min_chars).select(path, "chunk_no", "heading", F.substring("body", 1, cap).alias("text"))
+    return out.where(F.length("body") >= min_chars).select(
+        path, "chunk_no", "heading", "body", F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / cap).cast("int"))).alias("part")
+    ).select(path, "chunk_no", "part", "heading", F.substring(F.col("body"), F.col("part") * cap + 1, F.lit(cap)).alias("text"))
 
 
 def retrieve(chunks: DataFrame, query_tokens: Column, key: str, heading: str, text: str) -> DataFrame:
