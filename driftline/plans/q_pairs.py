@@ -277,7 +277,8 @@ def pair_scores(spark, sf):
 @query("j7_pairs_report")
 def j7(spark, sf):
     """Top three assets per suspect, highest risk first."""
-    return P.top_pairs(pair_scores(spark, sf), "suspect_id", "pair_risk", "distance_km", "asset_id")
+    top = P.top_pairs(pair_scores(spark, sf), "suspect_id", "pair_risk", "distance_km", "asset_id")
+    return top.orderBy(F.desc("pair_risk"), "distance_km", "suspect_id", "asset_id")
 
 
 DCCA_SQL = f"""WITH s AS (SELECT user_id AS suspect_id, ts, event_id, value FROM events
