@@ -19,15 +19,16 @@ from pyspark.sql import functions as F
 
 from driftline.llm.components import components
 from driftline.llm.joins import sized
-from driftline.llm.words import NOT_SPACE, blocks, cut, mix, runs
+from driftline.llm.words import NOT_SPACE, blocks, cut, mix, runs, small_batches
 from driftline.session import materialize
 
 BUCKET_BITS = 18
 BLOCK = 256
 BITMAP, WIDE = 8, 32  # 64-bit words of a row's bitmap and of a tree's
 LEAF = 8
-#: Documents per shingle from which trees are merged first, by so many of each component, dealt so often at most.
-CROWD, SPEAKERS, DEALS = 16, 3, 4
+#: Documents per shingle from which trees are merged first; the size of the components that are merged;
+#: so many of each speak for it, dealt so often at most.
+CROWD, GROWN, SPEAKERS, DEALS = 16, 4, 3, 4
 
 
 class Rule(NamedTuple):
@@ -228,7 +229,7 @@ def _within_blocks(texts: DataFrame, rule: Rule) -> DataFrame:
     """Links inside every block of (``block``, ``id``, ``text``)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 0, 3_000_000):
+        for table in _groups(batches, 0, 1_000_000):
             ids, sets = table.column(1).to_pylist(), shingles(table.column(2).to_pylist(), rule.words)
             pairs = []
             for a, b in _runs_of(table.column(0).to_numpy()):
@@ -250,7 +251,7 @@ def _across(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components that sizes and bitmaps leave open, per group of (``pair``, ``side``)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, 0, 2_000_000):
+        for table in _groups(batches, 0, 1_000_000):
             key, side, ids, part, n = (table.column(k).to_numpy() for k in range(5))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)
             pairs, thin = [], _thinned(n)
@@ -295,6 +296,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     shingles and are linked with nothing; rows of one id count as one document where they link; a null
     id has a null component and no links; an empty table gives no rows; other columns are ignored.
     """
+    small_batches(docs.sparkSession)
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     described = _described(plain, rule)
     usable = described.where("n > 0 and id is not null")
@@ -310,10 +312,15 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     # Blocks and trees are merged by a few documents of each of their components, dealt anew.
     large, before = shared.where(F.col("m") > CROWD), None
     for deal in range(DEALS):
-        held = large.join(parts, large.id == parts.node, "left").select("token", "id", F.coalesce("component", "id").alias("part"))
+        grown = parts.groupBy("component").agg(F.count("*").alias("k")).where(F.col("k") >= GROWN).select("component")
+        held = large.join(parts.join(grown, "component"), large.id == parts.node).select("token", "id", F.col("component").alias("part"))
+        met = held.groupBy("token").agg(F.countDistinct("part").alias("parts")).where("parts > 1")
+        held = held.join(met, "token")
+        # Each component speaks under one shingle, the one that most components share.
+        chosen = held.groupBy("part").agg(F.max(F.struct("parts", F.xxhash64("token", F.lit(deal)), "token")).alias("x")).select("part", "x.token")
         by_hash = Window.partitionBy("token", "part").orderBy(F.xxhash64("id", F.lit(deal)))
-        speakers = held.withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SPEAKERS)
-        count = speakers.groupBy("token").agg(F.count("*").alias("m"), F.countDistinct("part").alias("parts")).where("parts > 1")
+        speakers = held.join(chosen, ["part", "token"]).withColumn("r", F.row_number().over(by_hash)).where(F.col("r") <= SPEAKERS)
+        count = speakers.groupBy("token").agg(F.count("*").alias("m"))
         speakers = materialize(speakers.join(count, "token").select("id", "m", "token"), "ngram-speakers")
         n = speakers.count()
         if not n or before and n > 0.9 * before:

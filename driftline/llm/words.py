@@ -68,7 +68,7 @@ def cut(texts: list[str | None], word_bytes: np.ndarray) -> Words:
     first, end = np.searchsorted(start, ends - lengths), np.searchsorted(start, ends)
     if not len(start):
         return Words(np.zeros(0, np.uint64), first, end)
-    up, down = _tables(max(22, int(len(data)).bit_length()))
+    up, down = _tables(max(20, int(len(data)).bit_length()))
     values = (data.astype(np.uint64) + np.uint64(1)) * up[: len(data)]
     values[~inside] = 0
     sums = np.add.reduceat(values, start) * down[start]
@@ -85,7 +85,14 @@ def runs(hashes: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = 3_000_000) -> Iterator[pa.RecordBatch]:
+def small_batches(spark, rows: int = 1000) -> None:
+    """Texts reach Python ``rows`` at a time at most: ten thousand whole texts can be more than a task should hold."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows again, about ``size`` bytes of text at a time."""
     for batch in batches:
         column = batch.column(text)
