@@ -29,6 +29,8 @@ LEAF = 8
 #: Documents per shingle from which trees are merged first; the size of the components that are merged;
 #: so many of each speak for it, dealt so often at most.
 CROWD, GROWN, SPEAKERS, DEALS = 16, 4, 3, 4
+#: Tasks among which the shingles of one component are dealt.
+ROUTES = 4
 
 
 class Rule(NamedTuple):
@@ -247,14 +249,36 @@ def _linked(anchors: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     return materialize(_within_blocks(docs.join(blocked, "id").select("block", "id", "text"), rule), "ngram-links")
 
 
+def _blocks_that_may_link(large: DataFrame, rule: Rule) -> DataFrame:
+    """Rows of large groups, once per pair of blocks that hold different components of near enough sizes."""
+    # A component with many rows under a shingle gets blocks of its own; the small ones share some.
+    own = large.groupBy("token", "part").agg(F.count("*").alias("k"))
+    half = BLOCK // 2
+    apart = F.xxhash64("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / half)))
+    large = large.join(own, ["token", "part"]).withColumn("blk", F.when(F.col("k") > half, apart).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("m") / half))))
+    large = materialize(large.drop("k"), "ngram-large")
+    nodes = large.groupBy("token", "blk").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("n").alias("low"), F.max("n").alias("high"))
+    nodes = materialize(nodes, "ngram-nodes")
+    one, two = (nodes.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("blk", "p", "q", "low", "high"))) for k in ("a", "b"))
+    pairs = one.join(two, "token").where("blk_a <= blk_b and not (p_a = q_a and p_b = q_b and p_a = p_b)")
+    pairs = pairs.where((100 * F.least("high_a", "high_b") >= rule.percent * F.greatest("low_a", "low_b")))
+    side = F.when(F.col("blk_a") == F.col("blk_b"), F.array(F.struct(F.col("blk_a").alias("blk"), F.lit(2).alias("side"))))
+    side = side.otherwise(F.array(F.struct(F.col("blk_a").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("blk_b").alias("blk"), F.lit(1).alias("side"))))
+    sides = pairs.select("token", F.xxhash64("token", "blk_a", "blk_b").alias("pair"), F.inline(side))
+    return large.join(sides, ["token", "blk"]).select("least", "pair", "side", "id", "part", "n")
+
+
 def _across(rows: DataFrame, rule: Rule) -> DataFrame:
     """Pairs of different components that sizes and bitmaps leave open, per group of (``pair``, ``side``)."""
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told: set[tuple[int, int]] = set()
         for table in _groups(batches, 0, 1_000_000):
             key, side, ids, part, n = (table.column(k).to_numpy() for k in range(5))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)
             pairs, thin = [], _thinned(n)
+            if len(told) > 500_000:  # remembering saves rows, forgetting loses none
+                told.clear()
             longest = max((b - a for a, b in _runs_of(key)), default=0)
             for shift in range(1, longest):
                 x = np.arange(len(key) - shift)
@@ -269,9 +293,14 @@ def _across(rows: DataFrame, rule: Rule) -> DataFrame:
                 good = (lost_x <= n[x] - need) & (lost_y <= n[y] - need)
                 good |= thin[x] != thin[y]  # bitmaps of different shingles say nothing
                 pairs += zip(np.minimum(ids[x], ids[y])[good].tolist(), np.maximum(ids[x], ids[y])[good].tolist())
-            yield _link_batch(list(set(pairs)))
+            fresh = set(pairs) - told
+            told |= fresh
+            yield _link_batch(list(fresh))
 
-    return rows.select("pair", "side", "id", "part", "n", "bits").repartition("pair").sortWithinPartitions("pair").mapInArrow(step, LINKS).distinct()
+    # Shingles of one family go to one task, which tells a pair once however many of them it shares.
+    route = F.xxhash64("least", F.pmod(F.col("pair"), F.lit(ROUTES)))
+    rows = rows.select("pair", "side", "id", "part", "n", "bits", route.alias("route")).repartition("route").sortWithinPartitions("route", "pair")
+    return rows.mapInArrow(step, LINKS).distinct()
 
 
 def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
@@ -301,7 +330,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     described = _described(plain, rule)
     usable = described.where("n > 0 and id is not null")
     classes = materialize(usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("bits").alias("bits")), "ngram-classes")
-    tokens = classes.select("id", F.explode("rare").alias("token"))
+    tokens = classes.select("id", "n", F.explode("rare").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     shared = materialize(tokens.join(shared, "token"), "ngram-tokens")
     # First the trees of every document's most shared rare shingle, in blocks dealt by its hash.
@@ -328,26 +357,14 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
         before, links = n, materialize(links.union(_linked(speakers, plain, rule)), "ngram-links")
         parts = materialize(components(links), "ngram-parts")
     # Then, per rare shingle, the blocks that hold more than one component.
-    rows = shared.join(parts, shared.id == parts.node, "left").select("token", "m", "id", F.coalesce("component", "id").alias("part"))
-    mixed = rows.groupBy("token").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p <> q").select("token")
-    rows = rows.join(mixed, "token").join(classes.select("id", "n", "bits"), "id")
-    # A component with many rows under a shingle gets blocks of its own; the small ones share some.
-    large = rows.where(F.col("m") > BLOCK)
-    own = large.groupBy("token", "part").agg(F.count("*").alias("k"))
-    half = BLOCK // 2
-    apart = F.xxhash64("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / half)))
-    large = large.join(own, ["token", "part"]).withColumn("blk", F.when(F.col("k") > half, apart).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("m") / half))))
-    rows = rows.where(F.col("m") <= BLOCK).withColumn("blk", F.lit(0).cast("long")).unionByName(large.drop("k"))
-    rows = materialize(rows, "ngram-rows")
-    nodes = rows.groupBy("token", "blk").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("n").alias("low"), F.max("n").alias("high"))
-    nodes = materialize(nodes, "ngram-nodes")
-    one, two = (nodes.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("blk", "p", "q", "low", "high"))) for k in ("a", "b"))
-    pairs = one.join(two, "token").where("blk_a <= blk_b and not (p_a = q_a and p_b = q_b and p_a = p_b)")
-    pairs = pairs.where((100 * F.least("high_a", "high_b") >= rule.percent * F.greatest("low_a", "low_b")))
-    side = F.when(F.col("blk_a") == F.col("blk_b"), F.array(F.struct(F.col("blk_a").alias("blk"), F.lit(2).alias("side"))))
-    side = side.otherwise(F.array(F.struct(F.col("blk_a").alias("blk"), F.lit(0).alias("side")), F.struct(F.col("blk_b").alias("blk"), F.lit(1).alias("side"))))
-    sides = pairs.select("token", F.xxhash64("token", "blk_a", "blk_b").alias("pair"), F.inline(side))
-    open_pairs = materialize(_across(rows.join(sides, ["token", "blk"]), rule), "ngram-open")
+    rows = shared.join(sized(parts), shared.id == parts.node, "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("part"))
+    mixed = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token", "least")
+    rows = materialize(rows.join(mixed, "token"), "ngram-rows")
+    # A group of one block meets itself; larger ones are cut, and their blocks are the upper nodes.
+    whole = rows.where(F.col("m") <= BLOCK).select("least", F.xxhash64("token").alias("pair"), F.lit(2).alias("side"), "id", "part", "n")
+    cut_rows = whole.unionByName(_blocks_that_may_link(rows.where(F.col("m") > BLOCK), rule))
+    bits = sized(materialize(classes.select("id", "bits"), "ngram-bits"))
+    open_pairs = materialize(_across(cut_rows.join(bits, "id"), rule), "ngram-open")
     second = materialize(_checked(open_pairs, plain.where("id is not null"), rule), "ngram-links")
     whole = components(links.union(second))
     # Copies of a class follow its first document.
