@@ -14,6 +14,9 @@ from driftline.llm.joins import sized
 from driftline.session import materialize
 
 EDITS, CHARS_PER_EDIT = 2, 5
+#: Lines that share a segment before their letters are counted; the letters, how many of them part the
+#: lines before they meet, and the width of a cell.
+COMMON, LETTERS, CELLS, CELL = 8, "etnarhiosdlcmu", 3, 2 * EDITS + 1
 
 
 def allowed(length: Column) -> Column:
@@ -67,12 +70,61 @@ def _lines(docs: DataFrame) -> DataFrame:
     )
 
 
+def _letters(line: Column) -> Column:
+    """How many of each letter a line has; an edit changes two of the counts by one at most."""
+    return F.array(*[F.char_length(line) - F.char_length(F.replace(line, F.lit(c), F.lit(""))) for c in LETTERS])
+
+
+def _two_cells(low: Column, high: Column):
+    """Both cells that a count within the edits may be in."""
+    return lambda key: F.array_distinct(F.array(F.xxhash64(key, low), F.xxhash64(key, high)))
+
+
+def _crowd_pairs(index: DataFrame, probe: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs under keys that many lines have: they meet only if the counts of all letters are near enough."""
+    index = materialize(index, "line-index")
+    members = sized(materialize(index.select("h").union(probe.select("h")).distinct(), "line-members"))
+    letters = materialize(lines.join(members, "h").groupBy("h").agg(F.first(_letters(F.col("line"))).alias("c")), "line-letters")
+    cell = lambda k, by: F.floor((F.col("c")[k] + by) / CELL)
+    own, ways = F.col("key"), F.array("key")
+    for k in range(CELLS):
+        own = F.xxhash64(own, cell(k, 0))
+        ways = F.flatten(F.transform(ways, _two_cells(cell(k, -EDITS), cell(k, EDITS))))
+    index = index.join(letters, "h").select(own.alias("key"), F.col("h").alias("a"), F.col("c").alias("ca"))
+    probe = probe.join(letters, "h").select(F.explode(ways).alias("key"), F.col("h").alias("b"), F.col("c").alias("cb"))
+    apart = F.lit(0)
+    for k in range(len(LETTERS)):
+        apart = apart + F.abs(F.col("ca")[k] - F.col("cb")[k])
+    near = (index["key"] == probe["key"]) & (F.col("a") != F.col("b")) & (apart <= 2 * EDITS)
+    return index.join(probe, near).select("a", "b")
+
+
+def _index(lines: DataFrame) -> DataFrame:
+    return lines.select(F.explode(index_keys(F.col("line"), F.col("n"))).alias("key"), "h")
+
+
+def _probe(lines: DataFrame) -> DataFrame:
+    return lines.select(F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key"), "h")
+
+
 def near_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of distinct lines (``h``, ``line``) that share a segment where it may stand."""
-    sized_lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= CHARS_PER_EDIT)
-    index = sized_lines.select(F.explode(index_keys(F.col("line"), F.col("n"))).alias("key"), F.col("h").alias("a"))
-    probe = sized_lines.select(F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key"), F.col("h").alias("b"))
-    pairs = index.join(probe, "key").where("a <> b")
+    """Pairs of distinct lines (``h``, ``line``) that share a segment where it may stand.
+
+    Lines of a segment that many have are parted further by their letters, so that a common phrase
+    doesn't bring all its lines together; no pair within the edits is lost by it.
+    """
+    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= CHARS_PER_EDIT)
+    index, probe = _index(lines), _probe(lines).withColumnRenamed("h", "b")
+    common = index.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > COMMON).select("key")
+    common = materialize(common, "line-common")
+    keys = sized(common)
+    rare = index.join(keys, "key", "left_anti").select("key", F.col("h").alias("a"))
+    # A common segment meets its probes with one row for all its lines; those are looked at afterwards.
+    rare = rare.unionByName(common.withColumn("a", F.lit(None).cast("long")))
+    met = materialize(rare.join(probe, "key").where("a is null or a <> b"), "line-met")
+    pairs = met.where("a is not null").select("a", "b")
+    if not common.isEmpty():
+        pairs = pairs.union(_crowd_pairs(index.join(keys, "key").select("key", "h"), met.where("a is null").select("key", F.col("b").alias("h")), lines))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
