@@ -304,15 +304,15 @@ def coint_pvalue(a: pd.Series, b: pd.Series) -> pd.Series:
     )
 )
 def align_nearest(
-    ta: pd.Series, va: pd.Series, tb: pd.Series, vb: pd.Series
+    ta: pd.Series, va: pd.Series, tb: pd.Series, vb: pd.Series, keep: pd.Series
 ) -> pd.DataFrame:
-    """Nearest match within 12 h (the earlier on a tie) of two sorted tails; last 120 matches.
+    """Nearest match within 12 h (the earlier on a tie) of two sorted tails; last ``keep`` matches.
 
-    Times are microseconds; every tail is bounded (240 rows).
+    Times are microseconds; every tail is bounded.
     """
-    tol, keep = 12 * 3600 * 1_000_000, 120
+    tol = 12 * 3600 * 1_000_000
     sa, sb = [], []
-    for x, xv, y, yv in zip(ta, va, tb, vb):
+    for x, xv, y, yv, last in zip(ta, va, tb, vb, keep):
         x, y = np.asarray(x), np.asarray(y)
         xv, yv = np.asarray(xv, dtype=float), np.asarray(yv, dtype=float)
         if not len(x) or not len(y):
@@ -324,7 +324,7 @@ def align_nearest(
         ahead = np.where(y[nxt] >= x, y[nxt] - x, np.iinfo(np.int64).max)
         pick = np.where(back <= ahead, prev, nxt)
         ok = np.minimum(back, ahead) <= tol
-        sa.append(xv[ok][-keep:]), sb.append(yv[pick[ok]][-keep:])
+        sa.append(xv[ok][-last:]), sb.append(yv[pick[ok]][-last:])
     return pd.DataFrame({"sa": sa, "sb": sb})
 
 
@@ -367,24 +367,3 @@ def dcca_rho(a: pd.Series, b: pd.Series) -> pd.Series:
             np.array([b.iloc[i] for i in idx], dtype=float).reshape(len(idx), int(n)),
         )
     return pd.Series(out)
-
-
-@pandas_udf(T.DoubleType())
-def dfa_tail(v: pd.Series) -> pd.Series:
-    """Fluctuation exponent of a bounded tail of any length (0.5 when under three scales)."""
-    out = np.full(len(v), 0.5)
-    for idx, m in _by_length(v):
-        d = np.diff(m, axis=1)
-        n = d.shape[1]
-        scales = [s for s in range(4, int(n * 0.25) + 1) if n // s >= 2]
-        if n < 11 or len(scales) < 3:
-            continue
-        y = np.cumsum(d - d.mean(axis=1, keepdims=True), axis=1)
-        with np.errstate(all="ignore"):
-            f = np.stack(
-                [0.5 * np.log((_segment_residuals(y, s) ** 2).mean(axis=(1, 2))) for s in scales], axis=1
-            )
-        x = np.log(scales) - np.log(scales).mean()
-        alpha = f @ x / (x @ x)
-        out[idx] = np.clip(np.where(np.isfinite(alpha), alpha, 0.5), 0, 1)
-    return pd.Series(out)

@@ -12,8 +12,11 @@ from driftline.functions import arrow as A
 from driftline.functions import scalars as X
 from driftline.functions import series as S
 from driftline.operators import skew
+from driftline.session import materialize
 
-TAIL_ROWS = 240
+#: Alignment only: matches kept per pair, and observations per series that are matched for them.
+ALIGNED_ROWS = 120
+TAIL_ROWS = 2 * ALIGNED_ROWS
 
 
 def with_assets(suspects: DataFrame, assets: DataFrame, suspect_id: str, asset_cols: Sequence[str], limit: int = 1024) -> DataFrame:
@@ -39,18 +42,65 @@ def tails(df: DataFrame, key: str, ts: str, value: str, tie: Sequence[str] = (),
     )
 
 
-def aligned_tails(suspects: DataFrame, assets: DataFrame) -> DataFrame:
-    """Aligned value arrays ``sa``, ``sb`` per pair.
+def aligned_tails(suspects: DataFrame, assets: DataFrame, keep: int = ALIGNED_ROWS) -> DataFrame:
+    """Aligned value arrays ``sa``, ``sb`` per pair: the last ``keep`` matches of the tails.
 
     ``suspects(suspect_id, asset_id, ta, va)`` holds one row per pair; ``assets(asset_id, tb, vb)``
     is bounded by the curated list times the tail length, hence the broadcast.
     """
     both = suspects.join(F.broadcast(assets), "asset_id")
-    return both.withColumn("al", A.align_nearest("ta", "va", "tb", "vb")).select(
+    return both.withColumn("al", A.align_nearest("ta", "va", "tb", "vb", F.lit(keep))).select(
         "suspect_id", "asset_id", "al.sa", "al.sb"
     )
 
 
+def persistence(df: DataFrame, key: str, ts: str, value: str, tie: Sequence[str] = (), min_scale: int = 4, frac: float = 0.25) -> DataFrame:
+    """Fluctuation exponent ``dfa`` per entity over its whole series, from the differences, in [0, 1].
+
+    A segment's squared error about its line follows from three running sums at its two ends, and a
+    row is an end at the scales that divide its number. So n rows give about n ln n ends, and no
+    series is held in one task. Under three scales, or with missing values, it is the neutral 0.5.
+    """
+    rows = df.select(key, ts, *tie, F.col(value).cast("double").alias("__v"))
+    rows = skew.positions(rows, [key], [ts, *tie], F.to_date(ts), "__pos", "__rows").select(key, "__pos", "__rows", "__v")
+    rows = materialize(rows, "persistence-rows")
+    # The profile of the centred differences is the series less the line through its first and last value.
+    line = rows.groupBy(key).agg(
+        F.min_by("__v", "__pos").alias("__v0"), F.max_by("__v", "__pos").alias("__v1"), F.min(F.col("__v").isNotNull()).alias("__whole")
+    )
+    n, p = F.col("__rows") - 1, F.col("__pos") - 1
+    y = rows.join(line, key).where("__whole AND __rows > 1").select(
+        key, p.alias("__p"), n.alias("__n"), F.floor(p / skew.BLOCK_ROWS).alias("__b"),
+        (F.col("__v") - F.col("__v0") - (F.col("__v1") - F.col("__v0")) * p / n).alias("__y"),
+    )
+    y = y.select("*", F.col("__y").alias("__s0"), (F.col("__y") * F.col("__p")).alias("__s1"), (F.col("__y") * F.col("__y")).alias("__s2"))
+    y, names = materialize(y, "persistence-profile"), ["__s0", "__s1", "__s2"]
+    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = y.groupBy(key, "__b").agg(*[F.sum(c).alias(c) for c in names]).select(
+        key, "__b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_carry") for c in names]
+    )
+    inside = Window.partitionBy(key, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    y = y.join(carry, [key, "__b"]).select(key, "__p", "__n", *[(F.sum(c).over(inside) + F.col(f"{c}_carry")).alias(c) for c in names])
+    root = F.floor(F.sqrt(F.col("__p"))).cast("bigint")
+    low = F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda x: F.col("__p") % x == 0)
+    scales = F.array_distinct(F.concat(low, F.transform(low, lambda x: (F.col("__p") / x).cast("bigint"))))
+    used = F.filter(scales, lambda s: (s >= min_scale) & (s <= F.floor(F.col("__n") * frac)))
+    ends = y.where("__p > 0").select(key, "__p", "__n", "__s0", "__s1", "__s2", F.explode(used).alias("__s"))
+    k, segments = (F.col("__p") / F.col("__s")).cast("bigint"), F.floor(F.col("__n") / F.col("__s"))
+    sides = F.array(F.struct(k.alias("k"), F.lit(1.0).alias("sign")), F.struct((k + 1).alias("k"), F.lit(-1.0).alias("sign")))
+    sides = ends.select("*", segments.alias("__segments"), F.inline(sides)).where(F.col("k") <= F.col("__segments"))
+    sums = sides.groupBy(key, "__s", "k", "__segments").agg(*[F.sum(F.col(f"__s{i}") * F.col("sign")).alias(f"m{i}") for i in range(3)])
+    s = F.col("__s")
+    xy = F.col("m1") - ((F.col("k") - 1) * s + (s + 1) / 2) * F.col("m0")
+    error = F.col("m2") - F.col("m0") * F.col("m0") / s - xy * xy * 12 / (s * (s * s - 1))
+    spread = sums.groupBy(key, "__s", "__segments").agg(F.sum(F.greatest(error, F.lit(0.0))).alias("e"))
+    # The logarithm of zero is null: a series without fluctuation at some scale has no exponent.
+    spread = spread.select(key, F.ln(s).alias("x"), (0.5 * F.ln(F.col("e") / (F.col("__segments") * s))).alias("f"))
+    fit = spread.groupBy(key).agg(F.regr_slope("f", "x").alias("a"), F.count("*").alias("c"), F.count("f").alias("d"))
+    alpha = F.when((F.col("c") >= 3) & (F.col("c") == F.col("d")) & ~F.isnan("a"), S.clip(F.col("a"), 0, 1))
+    return rows.select(key).distinct().join(fit.select(key, alpha.alias("a")), key, "left").select(key, F.coalesce("a", F.lit(0.5)).alias("dfa"))
+
+
 # --- geometry ---------------------------------------------------------------------------
 
 

@@ -23,10 +23,13 @@ def asset_events(spark, sf):
     return events(spark, sf).join(F.broadcast(keys), "user_id", "left_semi")
 
 
+def suspect_events(spark, sf):
+    return events(spark, sf).where("user_id % 3 = 1 AND user_id >= 25")
+
+
 def pair_series(spark, sf):
     """(suspect, asset) rows with the suspect's tail, and the assets' tails."""
-    s = events(spark, sf).where("user_id % 3 = 1 AND user_id >= 25")
-    st = P.tails(s, "user_id", "ts", "value", ["event_id"]).select(
+    st = P.tails(suspect_events(spark, sf), "user_id", "ts", "value", ["event_id"]).select(
         F.col("user_id").alias("suspect_id"), F.col("t").alias("ta"), F.col("v").alias("va")
     )
     at = P.tails(asset_events(spark, sf), "user_id", "ts", "value", ["event_id"]).select(
@@ -252,8 +255,6 @@ def j6(spark, sf):
 
 
 def pair_scores(spark, sf):
-    from driftline.functions import arrow as A
-
     geo_s, geo_a = element_pairs(spark, sf)
     geo = P.conjunction(
         P.with_assets(geo_s, geo_a, "suspect_id", A_COLS).withColumn(
@@ -262,9 +263,8 @@ def pair_scores(spark, sf):
         ["suspect_id", "asset_id"], ME(), IT(), F.lit(NOW).cast("timestamp"), keep=["distance_km"],
     )
     s, a = pair_series(spark, sf)
-    al = s.join(F.broadcast(a), "asset_id").select(
-        "suspect_id", "asset_id", A.align_nearest("ta", "va", "tb", "vb").alias("al"), A.dfa_tail("va").alias("dfa")
-    ).select("suspect_id", "asset_id", "al.sa", "al.sb", "dfa")
+    dfa = P.persistence(suspect_events(spark, sf), "user_id", "ts", "value", ["event_id"]).withColumnRenamed("user_id", "suspect_id")
+    al = P.aligned_tails(s, a).join(dfa, "suspect_id")
     scored = P.score_pairs(geo.join(al, ["suspect_id", "asset_id"]))
     return scored.select(
         "suspect_id", "asset_id", F.round("distance_km", 3).alias("distance_km"),
