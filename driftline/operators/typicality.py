@@ -1,4 +1,8 @@
-"""Kernel two-sample typicality of vectors against a bounded reference set."""
+"""Kernel two-sample typicality of vectors against all rows of a reference set.
+
+The work is rows times reference rows: slices of the reference are broadcast, row blocks are set against
+them, and the parts are summed per row.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,15 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-REFERENCE_ROWS = 512
 
+from driftline.session import materialize
 
-def reference_set(df: DataFrame, key: str, rows: int = REFERENCE_ROWS) -> DataFrame:
-    """At most ``rows`` reference vectors, chosen by hash order of the key (a model size)."""
-    return df.orderBy(F.md5(F.col(key).cast("string")), key).limit(rows)
+#: Reference rows that are held at once, and rows that are set against them in one step.
+SLICE, STEP = 16384, 256
 
 
 class _Reference:
-    """Standardised reference, kernel scale and row sums; computed once from <= 512 rows."""
+    """The plain form for a reference in one array: standardised rows, kernel scale and row sums."""
 
     def __init__(self, m: np.ndarray):
         self.mu, self.sd = m.mean(axis=0), m.std(axis=0)
@@ -47,25 +48,153 @@ class _Reference:
         return np.clip(1 - p, 0, 1), np.maximum(mine[:, 0], 0)
 
 
-def typicality(df: DataFrame, key: str, vector: str, dim: int, reference: DataFrame | None = None) -> DataFrame:
-    """Add ``typicality`` (1 - exact p) and ``mmd_stat``; under three reference rows (0.5, 0)."""
-    ref = reference_set(df if reference is None else reference, key)
-    rows = [r[0] for r in ref.select(vector).collect()]
-    schema = T.StructType(
-        [*df.select(key).schema.fields, T.StructField("typicality", T.DoubleType()), T.StructField("mmd_stat", T.DoubleType())]
-    )
-    model = _Reference(np.array(rows, dtype=float)) if len(rows) >= 3 else None
-    shared = df.sparkSession.sparkContext.broadcast(model)
+def _gaps(x: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """Squared distances; equal rows are 0 whatever the rounding."""
+    g = (x**2).sum(axis=1)[:, None] + (z**2).sum(axis=1)[None, :] - 2 * x @ z.T
+    g[g < 1e-12 * x.shape[1]] = 0.0
+    return g
+
+
+def _vectors(pdf: pd.DataFrame, dim: int) -> np.ndarray:
+    return np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), dim)
+
+
+def _summed(df: DataFrame, f, size: int) -> np.ndarray:
+    """``f`` of every batch of rows, summed."""
 
     def run(batches):
+        out = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                out += f(pdf)
+        yield pd.DataFrame({"part": [out.tolist()]})
+
+    return np.sum([r[0] for r in df.mapInPandas(run, "part array<double>").collect()], axis=0)
+
+
+def _against(rows: DataFrame, slices: list, f, size: int) -> np.ndarray:
+    """``f(x, z)`` of steps of rows against every slice, summed."""
+    parts = np.zeros(size)
+    for z in slices:
+        held = rows.sparkSession.sparkContext.broadcast(z)
+        parts += _summed(rows, lambda pdf, held=held: sum(f(_gaps(x, held.value)) for x in _steps(_vectors(pdf, held.value.shape[1]))), size)
+        held.destroy()
+    return parts
+
+
+def _steps(x: np.ndarray) -> list:
+    return [x[i : i + STEP] for i in range(0, len(x), STEP)]
+
+
+def _median_gap(rows: DataFrame, slices: list) -> float:
+    """Exact median of the squared distances above zero, by histograms of ever narrower brackets."""
+    bins = 4096
+    count = int(_against(rows, slices, lambda g: np.array([(g > 0).sum()]), 1)[0])
+    if not count:
+        return 1.0
+
+    def find(ranks: set, low: float, high: float, below: int) -> dict:
+        width = (high - low) / bins
+
+        def histogram(g):
+            v = g[(g > 0) & (g >= low) & (g < high)]
+            return np.bincount(np.minimum(((v - low) / width).astype(np.int64), bins - 1), minlength=bins)
+
+        ends = below + np.cumsum(_against(rows, slices, histogram, bins))
+        at = {r: min(int(np.searchsorted(ends, r, side="right")), bins - 1) for r in ranks}
+        # Bins narrower than this hold one value but for rounding.
+        if width < 1e-9 * high:
+            return {r: low + (i + 0.5) * width for r, i in at.items()}
+        out = {}
+        for i in set(at.values()):
+            out |= find({r for r in ranks if at[r] == i}, low + i * width, low + (i + 1) * width, int(ends[i - 1]) if i else below)
+        return out
+
+    # No squared distance exceeds four times the largest squared norm.
+    high = 4.0 * max(float((z**2).sum(axis=1).max()) for z in slices) + 1.0
+    return float(np.mean(list(find({(count - 1) // 2, count // 2}, 0.0, high, 0).values())))
+
+
+def _kernel_sums(rows: DataFrame, slices: list, gamma: float) -> DataFrame:
+    """Sum ``k`` of the kernel of every row with all reference rows."""
+    parts = None
+    for z in slices:
+        held = rows.sparkSession.sparkContext.broadcast(z)
+
+        def run(batches, held=held):
+            for pdf in batches:
+                k = [np.exp(-gamma * _gaps(x, held.value)).sum(axis=1) for x in _steps(_vectors(pdf, held.value.shape[1]))]
+                yield pd.DataFrame({"__row": pdf["__row"], "k": np.concatenate([*k, np.zeros(0)])})
+
+        part = rows.mapInPandas(run, "__row long, k double")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("__row").agg(F.sum("k").alias("k"))
+
+
+def _no_less(rows: DataFrame, slices: list, sums: list, gamma: float, slack: float) -> DataFrame:
+    """Reference rows ``c`` whose statistic in the pool is no less than the row's own.
+
+    That is so if a reference row's kernel sum with the pool is no more than the row's; one kernel value
+    lies in [0, 1], so only reference rows whose sums are within one of the row's are looked at.
+    """
+    parts = None
+    for z, total in zip(slices, sums):
+        order = np.argsort(total, kind="stable")
+        held = rows.sparkSession.sparkContext.broadcast((z[order], total[order]))
+
+        def run(batches, held=held):
+            z, total = held.value
+            for pdf in batches:
+                pdf = pdf.sort_values("k")
+                x, most = _vectors(pdf, z.shape[1]), pdf["k"].to_numpy() + 1 + slack
+                out = []
+                for i in range(0, len(x), STEP):
+                    own = most[i : i + STEP]
+                    low, high = np.searchsorted(total, own[0] - 1), np.searchsorted(total, own[-1], side="right")
+                    k = np.exp(-gamma * _gaps(x[i : i + STEP], z[low:high])) + total[None, low:high]
+                    out.append(low + (k <= own[:, None]).sum(axis=1))
+                yield pd.DataFrame({"__row": pdf["__row"], "c": np.concatenate([*out, np.zeros(0)]).astype("int64")})
+
+        part = rows.mapInPandas(run, "__row long, c long")
+        parts = part if parts is None else parts.unionByName(part)
+    return parts.groupBy("__row").agg(F.sum("c").alias("c"))
+
+
+def typicality(df: DataFrame, key: str, vector: str, dim: int, reference: DataFrame | None = None) -> DataFrame:
+    """Add ``typicality`` (1 - exact p over the n+1 choices) and ``mmd_stat``; under three reference rows (0.5, 0).
+
+    ``reference`` has ``vector`` in all rows that are normal; by default they are the rows of ``df``.
+    """
+    numbered = lambda d, *c: d.select(*c, F.col(vector).alias("x"), F.monotonically_increasing_id().alias("__row"))
+    rows = materialize(numbered(df, key), "typicality-rows")
+    ref = rows.select("x", "__row") if reference is None else materialize(numbered(reference), "typicality-reference")
+    n = ref.count()
+    if n < 3:
+        return rows.select(key, F.lit(0.5).alias("typicality"), F.lit(0.0).alias("mmd_stat"))
+    mu = _summed(ref, lambda pdf: _vectors(pdf, dim).sum(axis=0), dim) / n
+    sd = np.sqrt(_summed(ref, lambda pdf: ((_vectors(pdf, dim) - mu) ** 2).sum(axis=0), dim) / n)
+    sd[sd < 1e-12] = 1.0
+
+    def scaled(batches):
         for pdf in batches:
-            m = shared.value
-            if m is None:
-                t, s = np.full(len(pdf), 0.5), np.zeros(len(pdf))
-            elif len(pdf):
-                t, s = m.score(np.array(pdf[vector].tolist(), dtype=float).reshape(len(pdf), dim))
-            else:
-                t, s = np.array([]), np.array([])
-            yield pd.DataFrame({key: pdf[key], "typicality": t, "mmd_stat": s})
-
-    return df.select(key, vector).mapInPandas(run, schema)
+            yield pd.DataFrame({"__row": pdf["__row"], "x": list((_vectors(pdf, dim) - mu) / sd)})
+
+    scale = lambda d, label: materialize(d.select("__row", "x").mapInPandas(scaled, "__row long, x array<double>"), label)
+    ref_z = scale(ref, "typicality-z")
+    rows_z = ref_z if reference is None else scale(rows, "typicality-x")
+    many = -(-n // SLICE)
+    part = lambda i: F.pmod(F.xxhash64("__row"), F.lit(many)) == i
+    fetched = [ref_z.where(part(i)).toPandas() for i in range(many)]
+    slices = [_vectors(pdf, dim) for pdf in fetched]
+    gamma = 1.0 / max(_median_gap(ref_z, slices), 1e-12)
+    ref_k = materialize(_kernel_sums(ref_z, slices, gamma), "typicality-sums")
+    row_k = ref_k if reference is None else materialize(_kernel_sums(rows_z, slices, gamma), "typicality-row-sums")
+    by_row = ref_k.toPandas().set_index("__row")["k"]
+    sums = [by_row.loc[pdf["__row"]].to_numpy() for pdf in fetched]
+    slack = 1e-12 / (2 / n**2 + 2 / n)
+    scored = rows_z.join(row_k, "__row")
+    counts = _no_less(materialize(scored, "typicality-scored"), slices, sums, gamma, slack)
+    own = F.col("k") + 1
+    stat = (F.lit(float(by_row.sum())) + 2 * F.col("k") + 1 - 2 * own + 1) / float(n) ** 2 + 1 - 2 * (own - 1) / n
+    out = rows.select(key, "__row").join(row_k, "__row").join(counts, "__row")
+    return out.select(key, F.greatest(F.lit(0.0), 1 - (F.col("c") + 1) / (n + 1)).alias("typicality"), F.greatest(stat, F.lit(0.0)).alias("mmd_stat"))
