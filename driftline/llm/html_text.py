@@ -33,6 +33,12 @@ SIDE_NAMES = set(
     "breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription popup modal "
     "overlay widget pagination pager login signup search toolbar complementary contentinfo dialog form".split()
 )
+#: What stands before a side name when it tells of the layout of the whole: has-sidebar, with-nav, no-ads.
+LAYOUT = {"has", "with", "without", "no"}
+#: Other tags whose marks are read; a mark lasts to the end of its tag, where that is optional to the next such block.
+MARKED = set("p li dt dd tr td th h1 h2 h3 h4 h5 h6 span tbody thead tfoot figcaption caption address".split())
+#: Tags that may be left open: a block that starts ends them.
+OPEN_ENDED = set("p li dt dd tr td th".split())
 LIMIT = 5.0
 
 
@@ -51,9 +57,41 @@ def _side(tag: str, attributes: str) -> str:
     if tag in SIDE_TAGS:
         return tag
     for m in MARKS.finditer(attributes):
-        for name in NAME.findall((m[1] or m[2] or m[3] or "").lower()):
-            if name in SIDE_NAMES:
-                return name
+        for word in (m[1] or m[2] or m[3] or "").lower().split():
+            names = NAME.findall(word)
+            for before, name in zip(["", *names], names):
+                if name in SIDE_NAMES and before not in LAYOUT:
+                    return name
+    return ""
+
+
+def _close_open(marked: list[tuple[str, str, int]], tag: str, depth: int) -> None:
+    """A block that starts ends a marked paragraph, and a row, cell or item its like."""
+    rows = ("td", "th", "tr")
+    while marked and marked[-1][2] == depth and marked[-1][0] in OPEN_ENDED:
+        last = marked[-1][0]
+        if last == "p" or last == tag or {last, tag} <= {"dt", "dd"} or {last, tag} <= {"td", "th"} or (last in rows and tag == "tr"):
+            marked.pop()
+        else:
+            break
+
+
+def _beside(stack: list[tuple[str, str]], marked: list[tuple[str, str, int]]) -> str:
+    """The nearest mark; what stands around an article, main or body doesn't count in it.
+
+    An article in another is a comment or the like, so marks between the two do count.
+    """
+    depth, content, articles = len(stack), 0, 0
+    for i, (tag, _) in enumerate(stack):
+        if tag in ("body", "main") or (tag == "article" and not articles):
+            content = i + 1
+        articles += tag == "article"
+    for i in range(depth, content - 1, -1):
+        inner = next((mark for _, mark, at in reversed(marked) if at == i), "")
+        if inner:
+            return inner
+        if i > content and stack[i - 1][1]:
+            return stack[i - 1][1]
     return ""
 
 
@@ -63,6 +101,7 @@ def pieces(page: str) -> list[Piece]:
     stack: list[tuple[str, str]] = []  # container, what makes it stand beside the article
     block, at, near, link = 0, 0, "body", False
     side, inside = "", 0
+    marked: list[tuple[str, str, int]] = []  # other tags with a mark, and how many containers are open around them
 
     def run(text: str) -> None:
         n = len(text.split())
@@ -86,8 +125,15 @@ def pieces(page: str) -> list[Piece]:
             out.append(Piece("", 0, " ", block, bool(side), inside > 0))
         elif tag == "a":
             link = not end
+        before = (len(stack), len(marked))
+        if tag == "body" and not end:
+            # The end of a head may be left out, and nothing that is open before the body goes on in it.
+            stack.clear()
+            marked.clear()
         if tag in CONTAINERS or tag in SIDE_TAGS:
             if not end:
+                if marked and tag in BLOCKS:
+                    _close_open(marked, tag, len(stack))
                 # A header is beside the article unless it stands in it.
                 mark = _side(tag, m[4]) or ("header" if tag == "header" and not inside else "")
                 mark = "" if tag in CONTENT or tag == "body" else mark
@@ -95,10 +141,22 @@ def pieces(page: str) -> list[Piece]:
             elif any(t == tag for t, _ in stack):
                 while stack.pop()[0] != tag:
                     pass
-            side = next((s for _, s in reversed(stack) if s), "")
+                while marked and marked[-1][2] > len(stack):
+                    marked.pop()
             inside = sum(t in CONTENT for t, _ in stack)
             if end and stack:
                 near = stack[-1][0]
+        elif end:
+            at_mark = next((i for i in range(len(marked) - 1, -1, -1) if marked[i][0] == tag and marked[i][2] == len(stack)), None)
+            if at_mark is not None:
+                del marked[at_mark:]
+        else:
+            if marked and tag in BLOCKS:
+                _close_open(marked, tag, len(stack))
+            if tag in MARKED and (mark := _side(tag, m[4])):
+                marked.append((tag, mark, len(stack)))
+        if tag in CONTAINERS or tag in SIDE_TAGS or before != (len(stack), len(marked)):
+            side = _beside(stack, marked)
         out.append(Piece(f"tag {tag}", 1, "", block, bool(side), inside > 0))
     run(page[at:])
     return out
