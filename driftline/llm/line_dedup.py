@@ -20,7 +20,7 @@ COMMON, LETTERS, CELLS, CELL = 8, "etnarhiosdlcmu", 3, 2 * EDITS + 1
 
 
 def allowed(length: Column) -> Column:
-    """Edits between two lines of which the shorter has ``length`` code points: similarity 0.8, two at most."""
+    """Edits between two lines of which the shorter has ``length`` code points: similarity 0.8, two at most, so closer from 15 on."""
     return F.least(F.lit(EDITS), F.floor(length / CHARS_PER_EDIT).cast("int"))
 
 
