@@ -24,7 +24,6 @@ from driftline.llm.words import NOT_SPACE, blocks, cut
 #: Kinds of bytes: lower case, upper case, digit, blank, line end, mark of a sentence, other mark, beyond ASCII.
 LOWER, UPPER, DIGIT, BLANK, LINE_END, SENTENCE, MARK, BEYOND = range(8)
 KINDS = 8
-NOT_LINE_END = np.array([c != 10 for c in range(256)])
 PROFILE = 6
 FEATURES = KINDS * KINDS + PROFILE
 #: Standardised measurements are held within this many deviations.
@@ -68,14 +67,17 @@ def measure(texts: list[str | None]) -> np.ndarray:
     same = owner[1:] == owner[:-1]
     pair = (owner[1:] * KINDS * KINDS + kind[:-1] * KINDS + kind[1:])[same]
     shares = np.bincount(pair, minlength=n * KINDS * KINDS).reshape(n, -1) / np.maximum(size - 1, 1)[:, None]
-    words, lines = cut(texts, NOT_SPACE), cut(texts, NOT_LINE_END)
-    n_words, n_lines = words.end - words.first, lines.end - lines.first
-    seen = np.bincount(owner[kind != BLANK], minlength=n)  # line ends are few
+    words = cut(texts, NOT_SPACE)
+    n_words = words.end - words.first
+    lines = [[x for x in (t or "").split("\n") if x] for t in texts]
+    n_lines = np.fromiter(map(len, lines), np.int64, n)
+    different = np.fromiter((len(set(x)) for x in lines), np.int64, n)
+    seen = np.bincount(owner[kind != BLANK], minlength=n)
     last = np.flatnonzero(np.append((kind[1:] == LINE_END) | ~same, True)) if len(kind) else np.zeros(0, np.int64)
     ends = np.bincount(owner[last[kind[last] == SENTENCE]], minlength=n)
     profile = [
         np.log1p(n_words), seen / np.maximum(n_words, 1), _distinct(words.hashes, np.repeat(np.arange(n), n_words), n),
-        _distinct(lines.hashes, np.repeat(np.arange(n), n_lines), n), np.log1p(n_words / np.maximum(n_lines, 1)), ends / np.maximum(n_lines, 1),
+        np.where(n_lines > 0, different / np.maximum(n_lines, 1), 1.0), np.log1p(n_words / np.maximum(n_lines, 1)), ends / np.maximum(n_lines, 1),
     ]
     return np.concatenate([np.sqrt(shares), np.stack(profile, axis=1)], axis=1).astype(np.float32)
 
@@ -89,7 +91,8 @@ class Model(NamedTuple):
     prior: float
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(standard(x, self.mean, self.spread) @ self.weights, -40, 40)))
+        chance = 1 / (1 + np.exp(-np.clip(standard(x, self.mean, self.spread) @ self.weights, -40, 40)))
+        return np.round(chance, 12)  # sums of one row differ in their last bits by the batch around it
 
 
 def standard(x: np.ndarray, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
