@@ -12,11 +12,13 @@ from driftline.functions import arrow as A
 from driftline.functions import scalars as X
 from driftline.functions import series as S
 from driftline.operators import skew
-from driftline.session import materialize
+from driftline.operators.persistence import persistence  # noqa: F401
 
 #: Alignment only: matches kept per pair, and observations per series that are matched for them.
 ALIGNED_ROWS = 120
 TAIL_ROWS = 2 * ALIGNED_ROWS
+#: Degrees of inclination within which two orbits count as one plane, and width of a band of axes.
+SAME_PLANE, BAND_KM = 2.0, 25.0
 
 
 def with_assets(suspects: DataFrame, assets: DataFrame, suspect_id: str, asset_cols: Sequence[str], limit: int = 1024) -> DataFrame:
@@ -54,53 +56,6 @@ def aligned_tails(suspects: DataFrame, assets: DataFrame, keep: int = ALIGNED_RO
     )
 
 
-def persistence(df: DataFrame, key: str, ts: str, value: str, tie: Sequence[str] = (), min_scale: int = 4, frac: float = 0.25) -> DataFrame:
-    """Fluctuation exponent ``dfa`` per entity over its whole series, from the differences, in [0, 1].
-
-    A segment's squared error about its line follows from three running sums at its two ends, and a
-    row is an end at the scales that divide its number. So n rows give about n ln n ends, and no
-    series is held in one task. Under three scales, or with missing values, it is the neutral 0.5.
-    """
-    rows = df.select(key, ts, *tie, F.col(value).cast("double").alias("__v"))
-    rows = skew.positions(rows, [key], [ts, *tie], F.to_date(ts), "__pos", "__rows").select(key, "__pos", "__rows", "__v")
-    rows = materialize(rows, "persistence-rows")
-    # The profile of the centred differences is the series less the line through its first and last value.
-    line = rows.groupBy(key).agg(
-        F.min_by("__v", "__pos").alias("__v0"), F.max_by("__v", "__pos").alias("__v1"), F.min(F.col("__v").isNotNull()).alias("__whole")
-    )
-    n, p = F.col("__rows") - 1, F.col("__pos") - 1
-    y = rows.join(line, key).where("__whole AND __rows > 1").select(
-        key, p.alias("__p"), n.alias("__n"), F.floor(p / skew.BLOCK_ROWS).alias("__b"),
-        (F.col("__v") - F.col("__v0") - (F.col("__v1") - F.col("__v0")) * p / n).alias("__y"),
-    )
-    y = y.select("*", F.col("__y").alias("__s0"), (F.col("__y") * F.col("__p")).alias("__s1"), (F.col("__y") * F.col("__y")).alias("__s2"))
-    y, names = materialize(y, "persistence-profile"), ["__s0", "__s1", "__s2"]
-    before = Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = y.groupBy(key, "__b").agg(*[F.sum(c).alias(c) for c in names]).select(
-        key, "__b", *[F.coalesce(F.sum(c).over(before), F.lit(0.0)).alias(f"{c}_carry") for c in names]
-    )
-    inside = Window.partitionBy(key, "__b").orderBy("__p").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    y = y.join(carry, [key, "__b"]).select(key, "__p", "__n", *[(F.sum(c).over(inside) + F.col(f"{c}_carry")).alias(c) for c in names])
-    root = F.floor(F.sqrt(F.col("__p"))).cast("bigint")
-    low = F.filter(F.sequence(F.lit(1).cast("bigint"), root), lambda x: F.col("__p") % x == 0)
-    scales = F.array_distinct(F.concat(low, F.transform(low, lambda x: (F.col("__p") / x).cast("bigint"))))
-    used = F.filter(scales, lambda s: (s >= min_scale) & (s <= F.floor(F.col("__n") * frac)))
-    ends = y.where("__p > 0").select(key, "__p", "__n", "__s0", "__s1", "__s2", F.explode(used).alias("__s"))
-    k, segments = (F.col("__p") / F.col("__s")).cast("bigint"), F.floor(F.col("__n") / F.col("__s"))
-    sides = F.array(F.struct(k.alias("k"), F.lit(1.0).alias("sign")), F.struct((k + 1).alias("k"), F.lit(-1.0).alias("sign")))
-    sides = ends.select("*", segments.alias("__segments"), F.inline(sides)).where(F.col("k") <= F.col("__segments"))
-    sums = sides.groupBy(key, "__s", "k", "__segments").agg(*[F.sum(F.col(f"__s{i}") * F.col("sign")).alias(f"m{i}") for i in range(3)])
-    s = F.col("__s")
-    xy = F.col("m1") - ((F.col("k") - 1) * s + (s + 1) / 2) * F.col("m0")
-    error = F.col("m2") - F.col("m0") * F.col("m0") / s - xy * xy * 12 / (s * (s * s - 1))
-    spread = sums.groupBy(key, "__s", "__segments").agg(F.sum(F.greatest(error, F.lit(0.0))).alias("e"))
-    # The logarithm of zero is null: a series without fluctuation at some scale has no exponent.
-    spread = spread.select(key, F.ln(s).alias("x"), (0.5 * F.ln(F.col("e") / (F.col("__segments") * s))).alias("f"))
-    fit = spread.groupBy(key).agg(F.regr_slope("f", "x").alias("a"), F.count("*").alias("c"), F.count("f").alias("d"))
-    alpha = F.when((F.col("c") >= 3) & (F.col("c") == F.col("d")) & ~F.isnan("a"), S.clip(F.col("a"), 0, 1))
-    return rows.select(key).distinct().join(fit.select(key, alpha.alias("a")), key, "left").select(key, F.coalesce("a", F.lit(0.5)).alias("dfa"))
-
-
 # --- geometry ---------------------------------------------------------------------------
 
 
@@ -177,22 +132,50 @@ def asset_distance(a: dict[str, Column], b: dict[str, Column], cap: float) -> Co
     """Ring distance with the same-plane rule, capped."""
     offset = F.greatest(F.abs(a["a"] - b["a"]), F.lit(1.0))
     d = ring_distance(a, b)
-    d = F.when(F.abs(a["inc"] - b["inc"]) < 2.0, F.least(d, offset)).otherwise(d)
+    d = F.when(F.abs(a["inc"] - b["inc"]) < SAME_PLANE, F.least(d, offset)).otherwise(d)
     return F.least(d, F.lit(float(cap)))
 
 
-def nearest_asset(objects: DataFrame, assets: DataFrame, id_col: str, cap: float, asset_cols=("asset_id", "a_sma", "a_inc", "a_raan")) -> DataFrame:
-    """Nearest curated asset per object; at the cap no asset is named."""
-    aid, sma, inc, raan = asset_cols
-    pairs = with_assets(objects, assets, id_col, asset_cols)
+def nearest_asset(
+    objects: DataFrame, assets: DataFrame, ids: Sequence[str], cap: float, on: Sequence[str] = (), width: float = BAND_KM
+) -> DataFrame:
+    """Nearest asset of every object: ``ids``, ``distance_km`` and ``closest_asset``; at the cap none is named.
+
+    ``objects(ids, on, sma, inc, raan)``; the first of ``ids`` is the object's own, and no object is its
+    own asset. ``assets(asset_id, on, a_sma, a_inc, a_raan)`` may be many; ties go to the smaller id.
+    No distance is below half the gap of the axes, and one in the same plane is not above that gap. So
+    assets are filed in bands of the axis; an object's own and next bands give an upper bound (the
+    nearest axis in the same plane, and the exact distance of the nearest axis of all), and only assets
+    whose axis is within twice the bound are priced. With ``on`` equal columns are asked for besides.
+    """
+    ids, on = list(ids), list(on)
+    band = lambda c: F.floor(F.col(c) / width).cast("bigint")
+    item = ["a_sma", "asset_id", "a_inc", "a_raan"]
+    filed = assets.select(*on, *item, band("a_sma").alias("__band"))
+    near = filed.withColumn("__band", F.explode(F.array(*[F.col("__band") + k for k in (-1, 0, 1)]))).groupBy(*on, "__band").agg(
+        F.collect_list(F.struct(*item)).alias("__near")
+    )
+    o = objects.select(*ids, *on, "sma", "inc", "raan", band("sma").alias("__band")).join(near, [*on, "__band"], "left")
+    others = F.filter("__near", lambda x: x["asset_id"] != F.col(ids[0]))
+    gap = lambda x: F.abs(x["a_sma"] - F.col("sma"))
+    plane = F.array_min(F.transform(F.filter("__near", lambda x: F.abs(x["a_inc"] - F.col("inc")) < SAME_PLANE), lambda x: F.greatest(gap(x), F.lit(1.0))))
+    first = F.array_min(F.transform("__near", lambda x: F.struct(gap(x).alias("gap"), *[x[c].alias(c) for c in item])))
+    o = o.withColumn("__near", others).withColumn("__first", first).withColumn("__plane", plane).drop("__near")
     me = {"a": F.col("sma"), "inc": F.col("inc"), "raan": F.col("raan")}
-    it = {"a": F.col(sma), "inc": F.col(inc), "raan": F.col(raan)}
-    d = pairs.select(id_col, aid, asset_distance(me, it, cap).alias("d"))
-    best = d.groupBy(id_col).agg(F.min(F.struct("d", aid)).alias("b"))
-    return best.select(
-        id_col,
-        F.col("b.d").alias("distance_km"),
-        F.when(F.col("b.d") < cap, F.col(f"b.{aid}")).alias("closest_asset"),
+    other = lambda c: {"a": F.col(f"{c}a_sma"), "inc": F.col(f"{c}a_inc"), "raan": F.col(f"{c}a_raan")}
+    tried = F.when(F.col("__first").isNotNull(), asset_distance(me, other("__first."), cap))
+    reach = 2.0 * F.least(F.coalesce("__plane", F.lit(float(cap))), F.coalesce(tried, F.lit(float(cap)))) + 1e-6
+    o = o.select(*ids, *on, "sma", "inc", "raan", reach.alias("__reach"))
+    # Bands beyond the outermost assets hold nothing.
+    ends = filed.agg(F.struct(F.min("__band").alias("lo"), F.max("__band").alias("hi")).alias("e")).scalar()
+    o = o.withColumn("__ends", ends)
+    low = F.greatest(F.floor((F.col("sma") - F.col("__reach")) / width).cast("bigint"), F.col("__ends.lo"))
+    high = F.least(F.floor((F.col("sma") + F.col("__reach")) / width).cast("bigint"), F.col("__ends.hi"))
+    spread = o.select(*ids, *on, "sma", "inc", "raan", "__reach", F.explode(F.when(low <= high, F.sequence(low, high))).alias("__band"))
+    priced = spread.join(filed, [*on, "__band"]).where((F.abs(F.col("a_sma") - F.col("sma")) <= F.col("__reach")) & (F.col("asset_id") != F.col(ids[0])))
+    best = priced.select(*ids, F.struct(asset_distance(me, other(""), cap).alias("d"), "asset_id").alias("b")).groupBy(*ids).agg(F.min("b").alias("b"))
+    return objects.select(*ids).join(best, ids, "left").select(
+        *ids, F.coalesce("b.d", F.lit(float(cap))).alias("distance_km"), F.when(F.col("b.d") < cap, F.col("b.asset_id")).alias("closest_asset")
     )
 
 

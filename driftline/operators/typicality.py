@@ -1,20 +1,26 @@
 """Kernel two-sample typicality of vectors against all rows of a reference set.
 
-The work is rows times reference rows: slices of the reference are broadcast, row blocks are set against
-them, and the parts are summed per row.
+The work is rows times reference rows. Both are dealt into blocks by hash; every pair of a row block
+and a reference block is one small group of a cogroup, and the parts are added up per row. No vectors
+pass through the driver, which gets sums and histograms only.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from driftline.session import materialize
 
-#: Reference rows that are held at once, and rows that are set against them in one step.
-SLICE, STEP = 16384, 256
+#: Rows of one block, and rows of it that are set against the other block in one step.
+BLOCK, STEP = 2048, 256
+BINS = 4096
 
 
 class _Reference:
@@ -59,142 +65,181 @@ def _vectors(pdf: pd.DataFrame, dim: int) -> np.ndarray:
     return np.array(pdf["x"].tolist(), dtype=float).reshape(len(pdf), dim)
 
 
-def _summed(df: DataFrame, f, size: int) -> np.ndarray:
+def _total(parts: DataFrame, size: int) -> np.ndarray:
+    """Sum of the arrays in column ``part``, in two levels: the driver gets the root of the number of tasks."""
+
+    def add(batches):
+        out = np.zeros(size)
+        for batch in batches:
+            for v in batch.column(0):
+                out += np.frombuffer(v.as_py(), float)
+        yield pa.record_batch([pa.array([out.tobytes()], pa.binary())], names=["part"])
+
+    tasks = max(1, math.isqrt(parts.rdd.getNumPartitions()))
+    once = parts.select("part").mapInArrow(add, "part binary").repartition(tasks).mapInArrow(add, "part binary")
+    return sum((np.frombuffer(bytes(r[0]), float) for r in once.collect()), np.zeros(size))
+
+
+def _summed(df: DataFrame, f: Callable[[pd.DataFrame], np.ndarray], size: int) -> np.ndarray:
     """``f`` of every batch of rows, summed."""
 
     def run(batches):
-        out = np.zeros(size)
         for pdf in batches:
             if len(pdf):
-                out += f(pdf)
-        yield pd.DataFrame({"part": [out.tolist()]})
+                yield pd.DataFrame({"part": [np.asarray(f(pdf), float).tobytes()]})
+
+    return _total(df.mapInPandas(run, "part binary"), size)
+
+
+def _dealt(z: DataFrame, blocks: int, others: int, mine: str, other: str) -> DataFrame:
+    """Rows with their own block, once for every block of the other side."""
+    own = F.pmod(F.xxhash64("__row"), F.lit(blocks)).cast("int")
+    return z.select("*", own.alias(mine), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+
+class _Pairs:
+    """Every row block against every reference block."""
+
+    def __init__(self, rows: DataFrame, n_rows: int, ref: DataFrame, n_ref: int, dim: int):
+        self.q, self.r, self.dim = -(-n_rows // BLOCK), -(-n_ref // BLOCK), dim
+        self.rows, self.ref = rows, ref
+
+    def run(self, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
+        left = _dealt(self.rows, self.q, self.r, "__q", "__r").groupBy("__q", "__r")
+        right = _dealt(self.ref, self.r, self.q, "__r", "__q").groupBy("__q", "__r")
+        return left.cogroup(right).applyInArrow(f, schema)
 
-    return np.sum([r[0] for r in df.mapInPandas(run, "part array<double>").collect()], axis=0)
+    def total(self, f: Callable[[np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """``f`` of all squared distances, step by step, summed."""
+        dim = self.dim
 
+        def part(left: pa.Table, right: pa.Table) -> pa.Table:
+            out = np.zeros(size)
+            if len(left) and len(right):
+                for _, g in _stepwise(left, right, dim):
+                    out += f(g)
+            return pa.table({"part": pa.array([out.tobytes()], pa.binary())})
 
-def _against(rows: DataFrame, slices: list, f, size: int) -> np.ndarray:
-    """``f(x, z)`` of steps of rows against every slice, summed."""
-    parts = np.zeros(size)
-    for z in slices:
-        held = rows.sparkSession.sparkContext.broadcast(z)
-        parts += _summed(rows, lambda pdf, held=held: sum(f(_gaps(x, held.value)) for x in _steps(_vectors(pdf, held.value.shape[1]))), size)
-        held.destroy()
-    return parts
+        return _total(self.run(part, "part binary"), size)
 
 
-def _steps(x: np.ndarray) -> list:
-    return [x[i : i + STEP] for i in range(0, len(x), STEP)]
+def _matrix(t: pa.Table, dim: int) -> np.ndarray:
+    return np.frombuffer(b"".join(v.as_py() for v in t.column("z")), float).reshape(-1, dim)
 
 
-def _median_gap(rows: DataFrame, slices: list) -> float:
+def _stepwise(left: pa.Table, right: pa.Table, dim: int):
+    """Squared distances step by step: first row of the step, rows x reference rows."""
+    x, z = _matrix(left, dim), _matrix(right, dim)
+    for i in range(0, len(x), STEP):
+        yield i, _gaps(x[i : i + STEP], z)
+
+
+def _median_gap(pairs: _Pairs, high: float) -> float:
     """Exact median of the squared distances above zero, by histograms of ever narrower brackets."""
-    bins = 4096
-    count = int(_against(rows, slices, lambda g: np.array([(g > 0).sum()]), 1)[0])
-    if not count:
-        return 1.0
 
-    def find(ranks: set, low: float, high: float, below: int) -> dict:
-        width = (high - low) / bins
+    def histogram(low: float, high: float) -> np.ndarray:
+        width = (high - low) / BINS
 
-        def histogram(g):
+        def count(g: np.ndarray) -> np.ndarray:
             v = g[(g > 0) & (g >= low) & (g < high)]
-            return np.bincount(np.minimum(((v - low) / width).astype(np.int64), bins - 1), minlength=bins)
+            return np.bincount(np.minimum(((v - low) / width).astype(np.int64), BINS - 1), minlength=BINS)
 
-        ends = below + np.cumsum(_against(rows, slices, histogram, bins))
-        at = {r: min(int(np.searchsorted(ends, r, side="right")), bins - 1) for r in ranks}
+        return pairs.total(count, BINS)
+
+    def find(ranks: set, low: float, high: float, below: int, bins: np.ndarray) -> dict:
+        ends, width = below + np.cumsum(bins).astype(np.int64), (high - low) / BINS
+        at = {r: min(int(np.searchsorted(ends, r, side="right")), BINS - 1) for r in ranks}
         # Bins narrower than this hold one value but for rounding.
         if width < 1e-9 * high:
             return {r: low + (i + 0.5) * width for r, i in at.items()}
         out = {}
         for i in set(at.values()):
-            out |= find({r for r in ranks if at[r] == i}, low + i * width, low + (i + 1) * width, int(ends[i - 1]) if i else below)
+            a, z = low + i * width, low + (i + 1) * width
+            out |= find({r for r in ranks if at[r] == i}, a, z, int(ends[i - 1]) if i else below, histogram(a, z))
         return out
 
-    # No squared distance exceeds four times the largest squared norm.
-    high = 4.0 * max(float((z**2).sum(axis=1).max()) for z in slices) + 1.0
-    return float(np.mean(list(find({(count - 1) // 2, count // 2}, 0.0, high, 0).values())))
+    bins = histogram(0.0, high)
+    count = int(bins.sum())
+    if not count:
+        return 1.0
+    return float(np.mean(list(find({(count - 1) // 2, count // 2}, 0.0, high, 0, bins).values())))
 
 
-def _kernel_sums(rows: DataFrame, slices: list, gamma: float) -> DataFrame:
+def _kernel_sums(pairs: _Pairs, gamma: float) -> DataFrame:
     """Sum ``k`` of the kernel of every row with all reference rows."""
-    parts = None
-    for z in slices:
-        held = rows.sparkSession.sparkContext.broadcast(z)
+    dim = pairs.dim
 
-        def run(batches, held=held):
-            for pdf in batches:
-                k = [np.exp(-gamma * _gaps(x, held.value)).sum(axis=1) for x in _steps(_vectors(pdf, held.value.shape[1]))]
-                yield pd.DataFrame({"__row": pdf["__row"], "k": np.concatenate([*k, np.zeros(0)])})
+    def part(left: pa.Table, right: pa.Table) -> pa.Table:
+        k = np.zeros(len(left))
+        if len(left) and len(right):
+            for i, g in _stepwise(left, right, dim):
+                k[i : i + STEP] = np.exp(-gamma * g).sum(axis=1)
+        return pa.table({"__row": left.column("__row"), "k": pa.array(k)})
 
-        part = rows.mapInPandas(run, "__row long, k double")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("__row").agg(F.sum("k").alias("k"))
+    return pairs.run(part, "__row long, k double").groupBy("__row").agg(F.sum("k").alias("k"))
 
 
-def _no_less(rows: DataFrame, slices: list, sums: list, gamma: float, slack: float) -> DataFrame:
+def _no_less(pairs: _Pairs, gamma: float, slack: float) -> DataFrame:
     """Reference rows ``c`` whose statistic in the pool is no less than the row's own.
 
     That is so if a reference row's kernel sum with the pool is no more than the row's; one kernel value
-    lies in [0, 1], so only reference rows whose sums are within one of the row's are looked at.
+    lies in [0, 1], so only reference rows whose sums ``k`` are within one of the row's are looked at.
     """
-    parts = None
-    for z, total in zip(slices, sums):
-        order = np.argsort(total, kind="stable")
-        held = rows.sparkSession.sparkContext.broadcast((z[order], total[order]))
-
-        def run(batches, held=held):
-            z, total = held.value
-            for pdf in batches:
-                pdf = pdf.sort_values("k")
-                x, most = _vectors(pdf, z.shape[1]), pdf["k"].to_numpy() + 1 + slack
-                out = []
-                for i in range(0, len(x), STEP):
-                    own = most[i : i + STEP]
-                    low, high = np.searchsorted(total, own[0] - 1), np.searchsorted(total, own[-1], side="right")
-                    k = np.exp(-gamma * _gaps(x[i : i + STEP], z[low:high])) + total[None, low:high]
-                    out.append(low + (k <= own[:, None]).sum(axis=1))
-                yield pd.DataFrame({"__row": pdf["__row"], "c": np.concatenate([*out, np.zeros(0)]).astype("int64")})
-
-        part = rows.mapInPandas(run, "__row long, c long")
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.groupBy("__row").agg(F.sum("c").alias("c"))
-
-
-def typicality(df: DataFrame, key: str, vector: str, dim: int, reference: DataFrame | None = None) -> DataFrame:
-    """Add ``typicality`` (1 - exact p over the n+1 choices) and ``mmd_stat``; under three reference rows (0.5, 0).
+    dim = pairs.dim
+
+    def part(left: pa.Table, right: pa.Table) -> pa.Table:
+        c = np.zeros(len(left), np.int64)
+        if len(left) and len(right):
+            total, most = right.column("k").to_numpy(), left.column("k").to_numpy() + 1 + slack
+            order, mine = np.argsort(total, kind="stable"), np.argsort(most, kind="stable")
+            x, z, total = _matrix(left, dim), _matrix(right, dim)[order], total[order]
+            for i in range(0, len(x), STEP):
+                at = mine[i : i + STEP]
+                own = most[at]
+                low, high = np.searchsorted(total, own[0] - 1), np.searchsorted(total, own[-1], side="right")
+                k = np.exp(-gamma * _gaps(x[at], z[low:high])) + total[None, low:high]
+                c[at] = low + (k <= own[:, None]).sum(axis=1)
+        return pa.table({"__row": left.column("__row"), "c": pa.array(c)})
+
+    return pairs.run(part, "__row long, c long").groupBy("__row").agg(F.sum("c").alias("c"))
+
+
+def typicality(df: DataFrame, key: str | Sequence[str], vector: str, dim: int, reference: DataFrame | None = None) -> DataFrame:
+    """``key``, ``typicality`` (1 - exact p over the n+1 choices) and ``mmd_stat``; under three reference rows (0.5, 0).
 
     ``reference`` has ``vector`` in all rows that are normal; by default they are the rows of ``df``.
     """
+    keys = [key] if isinstance(key, str) else list(key)
     numbered = lambda d, *c: d.select(*c, F.col(vector).alias("x"), F.monotonically_increasing_id().alias("__row"))
-    rows = materialize(numbered(df, key), "typicality-rows")
+    rows = materialize(numbered(df, *keys), "typicality-rows")
     ref = rows.select("x", "__row") if reference is None else materialize(numbered(reference), "typicality-reference")
     n = ref.count()
     if n < 3:
-        return rows.select(key, F.lit(0.5).alias("typicality"), F.lit(0.0).alias("mmd_stat"))
+        return rows.select(*keys, F.lit(0.5).alias("typicality"), F.lit(0.0).alias("mmd_stat"))
     mu = _summed(ref, lambda pdf: _vectors(pdf, dim).sum(axis=0), dim) / n
     sd = np.sqrt(_summed(ref, lambda pdf: ((_vectors(pdf, dim) - mu) ** 2).sum(axis=0), dim) / n)
     sd[sd < 1e-12] = 1.0
 
     def scaled(batches):
         for pdf in batches:
-            yield pd.DataFrame({"__row": pdf["__row"], "x": list((_vectors(pdf, dim) - mu) / sd)})
+            z = (_vectors(pdf, dim) - mu) / sd
+            yield pd.DataFrame({"__row": pdf["__row"], "z": [v.tobytes() for v in z], "size": (z * z).sum(axis=1)})
 
-    scale = lambda d, label: materialize(d.select("__row", "x").mapInPandas(scaled, "__row long, x array<double>"), label)
+    scale = lambda d, label: materialize(d.select("__row", "x").mapInPandas(scaled, "__row long, z binary, size double"), label)
     ref_z = scale(ref, "typicality-z")
     rows_z = ref_z if reference is None else scale(rows, "typicality-x")
-    many = -(-n // SLICE)
-    part = lambda i: F.pmod(F.xxhash64("__row"), F.lit(many)) == i
-    fetched = [ref_z.where(part(i)).toPandas() for i in range(many)]
-    slices = [_vectors(pdf, dim) for pdf in fetched]
-    gamma = 1.0 / max(_median_gap(ref_z, slices), 1e-12)
-    ref_k = materialize(_kernel_sums(ref_z, slices, gamma), "typicality-sums")
-    row_k = ref_k if reference is None else materialize(_kernel_sums(rows_z, slices, gamma), "typicality-row-sums")
-    by_row = ref_k.toPandas().set_index("__row")["k"]
-    sums = [by_row.loc[pdf["__row"]].to_numpy() for pdf in fetched]
-    slack = 1e-12 / (2 / n**2 + 2 / n)
-    scored = rows_z.join(row_k, "__row")
-    counts = _no_less(materialize(scored, "typicality-scored"), slices, sums, gamma, slack)
+    within = _Pairs(ref_z.drop("size"), n, ref_z.drop("size"), n, dim)
+    # No squared distance exceeds four times the largest squared norm.
+    gamma = 1.0 / max(_median_gap(within, 4.0 * float(ref_z.agg(F.max("size")).first()[0]) + 1.0), 1e-12)
+    ref_k = materialize(_kernel_sums(within, gamma), "typicality-sums")
+    across = within if reference is None else _Pairs(rows_z.drop("size"), max(1, rows.count()), ref_z.drop("size"), n, dim)
+    row_k = ref_k if reference is None else materialize(_kernel_sums(across, gamma), "typicality-row-sums")
+    with_sums = lambda z, k: materialize(z.select("__row", "z").join(k, "__row"), "typicality-scored")
+    ref_s = with_sums(ref_z, ref_k)
+    scored = _Pairs(ref_s if reference is None else with_sums(rows_z, row_k), across.q * BLOCK, ref_s, n, dim)
+    counts = _no_less(scored, gamma, 1e-12 / (2 / n**2 + 2 / n))
+    total = float(ref_k.agg(F.sum("k")).first()[0])
     own = F.col("k") + 1
-    stat = (F.lit(float(by_row.sum())) + 2 * F.col("k") + 1 - 2 * own + 1) / float(n) ** 2 + 1 - 2 * (own - 1) / n
-    out = rows.select(key, "__row").join(row_k, "__row").join(counts, "__row")
-    return out.select(key, F.greatest(F.lit(0.0), 1 - (F.col("c") + 1) / (n + 1)).alias("typicality"), F.greatest(stat, F.lit(0.0)).alias("mmd_stat"))
+    stat = (F.lit(total) + 2 * F.col("k") + 1 - 2 * own + 1) / float(n) ** 2 + 1 - 2 * (own - 1) / n
+    out = rows.select(*keys, "__row").join(row_k, "__row").join(counts, "__row")
+    return out.select(*keys, F.greatest(F.lit(0.0), 1 - (F.col("c") + 1) / (n + 1)).alias("typicality"), F.greatest(stat, F.lit(0.0)).alias("mmd_stat"))

@@ -148,7 +148,7 @@ NEAR_SQL = f"""WITH {LAST_SQL}, b AS (SELECT suspect_id, min(dist) AS d, min_by(
 )
 def j2(spark, sf):
     s, a = element_pairs(spark, sf)
-    n = P.nearest_asset(s, a, "suspect_id", 2000.0)
+    n = P.nearest_asset(s, a, ["suspect_id"], 2000.0)
     return n.select("suspect_id", F.round("distance_km", 3).alias("distance_km"), "closest_asset")
 
 
@@ -159,7 +159,7 @@ def j2(spark, sf):
 )
 def c14(spark, sf):
     s, a = element_pairs(spark, sf)
-    n = P.nearest_asset(s, a, "suspect_id", 500.0)
+    n = P.nearest_asset(s, a, ["suspect_id"], 500.0)
     return n.select(
         "suspect_id", F.round("distance_km", 3).alias("distance_km"), "closest_asset",
         (F.col("distance_km") < 50).alias("within_threshold"),
