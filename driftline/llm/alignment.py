@@ -10,7 +10,6 @@ from __future__ import annotations
 import base64
 import functools
 import hashlib
-from array import array
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -22,50 +21,42 @@ from pyspark.sql import functions as F
 from driftline.llm.tables import write
 from driftline.llm.words import blocks
 
-#: Words whose alignment a worker remembers; a matter of speed only.
-REMEMBERED = 100_000
+#: Words whose ids a worker remembers, twice; a matter of speed only.
+REMEMBERED = 150_000
+#: Characters of new words that are encoded at a time.
+STRETCH = 50_000
 SPACE = "▁"
+COMMA, BAR, SEMICOLON = b",|;"
 
 
-class Aligned(NamedTuple):
-    """Numbers of tokens and groups, the links as pair codes (32 bits each), and the groups."""
+class Block(NamedTuple):
+    """Alignment of some texts: per text the tokens of either side, groups and links, and the groups as text."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    links: bytes
-    groups: str
+    n_a: np.ndarray
+    n_b: np.ndarray
+    n_groups: np.ndarray
+    links: list[bytes]
+    groups: list[bytes]
 
 
-NOTHING = Aligned(0, 0, 0, b"", "")
-
-
-def ends_to_index(sizes: list[int]) -> dict[int, int]:
+def ends_to_index(sizes: np.ndarray) -> dict[int, int]:
     """Cumulative byte ends of tokens, each with the number of tokens up to it."""
-    ends, at = {}, 0
-    for i, size in enumerate(sizes, 1):
-        at += size
-        ends[at] = i
-    return ends
+    return dict(zip(np.cumsum(sizes).tolist(), range(1, len(sizes) + 1)))
 
 
-def slices(a_sizes: list[int], b_sizes: list[int]) -> list[tuple[int, int, int, int]]:
-    """The groups, in order, as ranges of both id lists: from and to in ``a``, from and to in ``b``."""
+def cuts(a_sizes: np.ndarray, b_sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the groups end: indexes behind their last tokens in both lists, in order."""
     a, b = ends_to_index(a_sizes), ends_to_index(b_sizes)
-    out, i, j = [], 0, 0
-    for end in sorted(a.keys() & b.keys()):
-        out.append((i, a[end], j, b[end]))
-        i, j = a[end], b[end]
-    return out
+    common = sorted(a.keys() & b.keys())
+    return tuple(np.fromiter(map(side.__getitem__, common), np.int64, len(common)) for side in (a, b))
 
 
 class Aligner:
     """Ids and alignment of whole texts under the two tokenizers.
 
     No piece of ``B`` holds a space behind another character, and ``A`` never joins a character with
-    a space behind it. So where single spaces part a text's words, the words with their leading
-    spaces are encoded and aligned alone, once each, and both tokenizers end together at every word.
-    All other texts are encoded and aligned whole.
+    a space behind it. So where single spaces part a text's words, the ids of the text are those of
+    its words with their leading spaces, which are remembered. All other texts are encoded whole.
     """
 
     def __init__(self, ranks: str, pattern: str, pieces: str):
@@ -76,50 +67,121 @@ class Aligner:
             table = {base64.b64decode(k): int(v) for k, v in map(bytes.split, f)}
         self.a = tiktoken.Encoding("a", pat_str=pattern, mergeable_ranks=table, special_tokens={})
         self.b = sentencepiece.SentencePieceProcessor(model_file=pieces)
-        self.a_bytes = {v: k for k, v in table.items()}
+        self.a_bytes = [b""] * (max(table.values()) + 1)
+        for k, v in table.items():
+            self.a_bytes[v] = k
         self.b_bytes = [self._piece(i) for i in range(self.b.get_piece_size())]
+        self.a_size, self.b_size = (np.array([len(x) for x in side], np.int64) for side in (self.a_bytes, self.b_bytes))
         self.width = len(self.b_bytes)
-        if any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.width)) or max(self.a_bytes) * self.width >= 2**32:
+        if any(SPACE in self.b.id_to_piece(i).lstrip(SPACE) for i in range(self.width)) or len(self.a_bytes) * self.width >= 2**32:
             raise ValueError("the pieces do not part at spaces, or pair codes do not fit 32 bits")
-        self.known: dict[str, Aligned | None] = {}
+        most = max(len(self.a_bytes), self.width)
+        self.figures = np.array([list(f"{i:<6}".encode()) for i in range(most)], np.uint8)
+        self.n_figures = np.array([len(str(i)) for i in range(most)], np.int64)
+        self.young: dict[str, tuple[bytes, bytes] | None] = {}
+        self.old: dict[str, tuple[bytes, bytes] | None] = {}
 
     def _piece(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:-1], 16)]) if self.b.is_byte(i) else piece.replace(SPACE, " ").encode()
 
-    def align(self, text: str, a: list[int], b: list[int]) -> Aligned | None:
-        """None if the bytes of either side are not those of ``text`` with a space before it."""
-        a_parts, b_parts = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
+    def encode(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
+        """Both id lists; None if either side's bytes are not those of ``text`` with a space before it."""
+        a, b = self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1)
         whole = (" " + text).encode("utf-8", "surrogatepass")
-        if b"".join(a_parts) != whole or b"".join(b_parts) != whole:
+        if b"".join([self.a_bytes[i] for i in a]) != whole or b"".join([self.b_bytes[i] for i in b]) != whole:
             return None
-        cut = slices([len(x) for x in a_parts], [len(x) for x in b_parts])
-        # Tokens are not empty, so in a group only the last of either side end together.
-        links = array("I", [a[i - 1] * self.width + b[j - 1] for _, i, _, j in cut])
-        groups = ";".join(f"{','.join(map(str, a[f:i]))}|{','.join(map(str, b[g:j]))}" for f, i, g, j in cut)
-        return Aligned(len(a), len(b), len(cut), links.tobytes(), groups)
+        return np.array(a, np.uint32), np.array(b, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > REMEMBERED:
-            self.known.clear()
-        for word, b in zip(words, self.b.encode(words, num_threads=1)):
-            self.known[word] = self.align(word, self.a.encode_ordinary(" " + word), b)
-
-    def __call__(self, texts: list[str | None]) -> list[Aligned]:
-        apart = [t.split(" ") if t else None for t in texts]
-        plain = [w is not None and all(x and not x[0].isspace() and not x[-1].isspace() for x in w) for w in apart]
-        self._learn(sorted({x for w, p in zip(apart, plain) if p for x in w if x not in self.known}))
-        out = []
+        """Ids of new words: many in one go, or one by one if they don't come back byte for byte."""
+        size = np.array([len(w.encode("utf-8", "surrogatepass")) + 1 for w in words], np.int64)
+        both = self.encode(" ".join(words))
+        if both is not None:
+            ends = np.cumsum(size)
+            sums = [np.cumsum(side[ids]) for side, ids in zip((self.a_size, self.b_size), both)]
+            last = [np.searchsorted(x, ends) for x in sums]
+            if all((x[at] == ends).all() for x, at in zip(sums, last)):
+                at = [np.concatenate([[0], x + 1]).tolist() for x in last]
+                a, b = (ids.tobytes() for ids in both)
+                for k, w in enumerate(words):
+                    self.young[w] = a[4 * at[0][k] : 4 * at[0][k + 1]], b[4 * at[1][k] : 4 * at[1][k + 1]]
+                return
+        for w in words:
+            alone = self.encode(w)
+            self.young[w] = None if alone is None else (alone[0].tobytes(), alone[1].tobytes())
+
+    def _remember(self, words: set[str]) -> None:
+        young, old = self.young, self.old
+        new, size = [], 0
+        for w in sorted(words - young.keys()):
+            if w in old:
+                young[w] = old[w]
+                continue
+            new.append(w)
+            size += len(w) + 1
+            if size >= STRETCH:
+                self._learn(new)
+                new, size = [], 0
+        if new:
+            self._learn(new)
+
+    def ids(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """Ids of both sides of every text, 32 bits each; texts without tokens have none."""
+        if len(self.young) > REMEMBERED:
+            self.young, self.old = {}, self.young
+        apart = [t.split(" ") if t else [] for t in texts]
+        # An empty word, or white space at a word's end, may belong to the word beside it.
+        plain = [bool(w) and all(w) and not any(x[0].isspace() or x[-1].isspace() for x in w) for w in apart]
+        self._remember({x for w, p in zip(apart, plain) if p for x in w})
+        known, a, b = self.young, [], []
         for text, words, p in zip(texts, apart, plain):
-            found = None
-            if p:
-                parts = [self.known.get(x) for x in words]
-                if None not in parts:
-                    n_a, n_b, n_groups, links, groups = zip(*parts)
-                    found = Aligned(sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups))
-            if found is None and text:
-                found = self.align(text, self.a.encode_ordinary(" " + text), self.b.encode(text, num_threads=1))
-            out.append(found or NOTHING)
+            parts = [known[x] for x in words] if p else [None]
+            if None in parts:
+                whole = self.encode(text) if text else None
+                parts = [] if whole is None else [(whole[0].tobytes(), whole[1].tobytes())]
+            a.append(b"".join([x[0] for x in parts]))
+            b.append(b"".join([x[1] for x in parts]))
+        return a, b
+
+    def __call__(self, texts: list[str | None]) -> Block:
+        a_ids, b_ids = self.ids(texts)
+        n_a, n_b = (np.array([len(x) // 4 for x in side], np.int64) for side in (a_ids, b_ids))
+        a, b = (np.frombuffer(b"".join(side), np.uint32).astype(np.int64) for side in (a_ids, b_ids))
+        # Both sides of a text have equal bytes, so texts laid end to end are cut at every text's end, too.
+        i, j = cuts(self.a_size[a], self.b_size[b])
+        of_text = np.searchsorted(np.cumsum(n_a), i, "left")
+        n_groups = np.bincount(of_text, minlength=len(texts))
+        # Tokens are not empty, so of a group's slices only the last of either side end together.
+        links = (a[i - 1] * self.width + b[j - 1]).astype(np.uint32)
+        stops = np.cumsum(n_groups)
+        of_links = [links[e - n : e].tobytes() for n, e in zip(n_groups.tolist(), stops.tolist())]
+        return Block(n_a, n_b, n_groups, of_links, self._written(a, b, i, j, n_groups, stops))
+
+    def _written(self, a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, n_groups: np.ndarray, stops: np.ndarray) -> list[bytes]:
+        """The groups of every text as ``a1,a2|b1;a3|b2``: figures and the mark behind them, side by side."""
+        if not len(i):
+            return [b""] * len(n_groups)
+        of_a, of_b = (np.repeat(np.arange(len(x)), np.diff(x, prepend=0)) for x in (i, j))
+        before_b = np.concatenate([[0], j[:-1]])
+        place_a, place_b = np.arange(len(a)) + before_b[of_a], np.arange(len(b)) + i[of_b]
+        token, mark = np.zeros(len(a) + len(b), np.int64), np.full(len(a) + len(b), COMMA, np.uint8)
+        token[place_a], token[place_b] = a, b
+        mark[place_a[i - 1]], mark[place_b[j - 1]] = BAR, SEMICOLON
+        last = place_b[j[stops[n_groups > 0] - 1] - 1]  # of a text, without a mark
+        width = self.n_figures[token]
+        rows = self.figures[token]
+        rows[np.arange(len(token)), width] = mark
+        keep = np.arange(rows.shape[1])[None, :] <= width[:, None]
+        keep[last, width[last]] = False
+        size = width + 1
+        size[last] -= 1
+        data, ends = rows[keep].tobytes(), np.cumsum(size)[last]
+        out, at, ends = [], 0, iter(ends.tolist())
+        for n in n_groups.tolist():
+            end = next(ends) if n else at
+            out.append(data[at:end])
+            at = end
         return out
 
 
@@ -186,10 +248,10 @@ def align(
         run = aligner(ranks, pieces)
         for block in blocks(batches):
             found = run(block.column(1).to_pylist())
-            digest = [hashlib.sha256(x.groups.encode()).hexdigest() if x.n_a else "" for x in found]
-            numbers = [pa.array([x[k] for x in found], pa.int64()) for k in range(3)]
-            text = [pa.array([x.groups for x in found], pa.string())] * with_groups
-            columns = [block.column(0), *numbers, pa.array(digest, pa.string()), *text, pa.array([x.links for x in found], pa.binary())]
+            digest = [hashlib.sha256(x).hexdigest() if x else "" for x in found.groups]
+            numbers = [pa.array(x, pa.int64()) for x in (found.n_a, found.n_b, found.n_groups)]
+            text = [pa.array([x.decode() for x in found.groups], pa.string())] * with_groups
+            columns = [block.column(0), *numbers, pa.array(digest, pa.string()), *text, pa.array(found.links, pa.binary())]
             yield pa.record_batch(columns, names=[*names, "links"])
 
     aligned, _ = write(rows.mapInArrow(encode, fixed + ", links binary"), "aligned")

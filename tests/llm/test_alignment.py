@@ -1,9 +1,10 @@
 import hashlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
-from driftline.llm.alignment import align, pair_counts, slices
+from driftline.llm.alignment import align, cuts, pair_counts
 from driftline.llm.q_alignment import op11_tokenizer_alignment
 
 MORE = ["a  b", " led by space", "trail ", "tab\tand\nline \n end", "▁ is no space", "<s> </s> <unk> <0x41> <|endoftext|>", "\0x", "ﬁ ½ é　b", "it's we'll 12 345,678"]
@@ -61,9 +62,9 @@ def plainly(texts, both):
 COLUMNS = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
 
 
-def test_slices():
-    assert slices([2, 1, 3], [3, 1, 2]) == [(0, 2, 0, 1), (2, 3, 1, 3)]
-    assert slices([], []) == []
+def test_cuts():
+    assert [x.tolist() for x in cuts(np.array([2, 1, 3]), np.array([3, 1, 2]))] == [[2, 3], [1, 3]]
+    assert [x.tolist() for x in cuts(np.array([], int), np.array([], int))] == [[], []]
 
 
 def test_query_against_every_pair(spark, sf, docs, texts, encoders):
@@ -95,8 +96,6 @@ def test_edges(spark, edge, none):
 
 
 def test_pairs_are_counted_over_all_rows(spark):
-    import numpy as np
-
     codes = [np.array([7, 7, 4_000_000_000], np.uint32), np.array([4_000_000_000], np.uint32), np.zeros(0, np.uint32)]
     rows = spark.createDataFrame([(c.tobytes(),) for c in codes], "links binary").repartition(3)
     pairs, n = pair_counts(rows)
