@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,15 +15,16 @@ from driftline.operators import skew
 from driftline.session import materialize
 
 
-def asof_day(rows: DataFrame, daily: DataFrame, day: str, defaults: dict[str, float]) -> DataFrame:
+def asof_day(rows: DataFrame, daily: DataFrame, day: str, defaults: dict[str, float], until: Column | None = None) -> DataFrame:
     """The day's values or those of the nearest earlier day, else defaults.
 
     ``daily`` has one row per day: each row gets the span of days it is valid for, exploded to a
-    dense calendar (bounded by the calendar), so the big side needs one equi-join.
+    dense calendar (bounded by the calendar), so the big side needs one equi-join. ``until`` is the
+    last day that occurs in ``rows``; without it ``rows`` is evaluated once more to find it.
     """
     w = Window.orderBy(day)
     nxt = F.lead(day).over(w)
-    span = rows.agg(F.max(day)).scalar()
+    span = rows.agg(F.max(day)).scalar() if until is None else until
     last = F.greatest(F.coalesce(F.date_sub(nxt, 1), span), F.col(day))
     dense = daily.select("*", F.sequence(F.col(day), last).alias("__days")).withColumn(
         day, F.explode("__days")

@@ -32,18 +32,21 @@ def sliding_windows(
     size: int = WINDOW,
     step: int = 1,
     total: str | None = None,
+    trail: Sequence[str] = (),
+    trail_size: int = WINDOW,
 ) -> DataFrame:
     """Full windows of ``size`` rows ending at every ``step``-th row.
 
     Keeps the input columns of the window's last row and adds ``pos`` and one array per value
-    column (``<name>_w``).
+    column (``<name>_w``), and for ``trail`` the last ``trail_size`` or fewer values (``<name>_l``).
     """
     rows = numbered(df, key, ts, tie, total)
-    blocks = skew.halo_blocks(rows, before=size - 1)
+    blocks = skew.halo_blocks(rows, before=max(size, trail_size if trail else size) - 1)
     w = skew.block_window([key]).rowsBetween(-(size - 1), 0)
+    longer = skew.block_window([key]).rowsBetween(-(trail_size - 1), 0)
     full = (F.col("pos") >= size) & ((F.col("pos") - size) % step == 0)
     out = blocks.select(
-        "*", *[F.collect_list(F.col(v)).over(w).alias(f"{v}_w") for v in values]
+        "*", *[F.collect_list(F.col(v)).over(w).alias(f"{v}_w") for v in values], *[F.collect_list(F.col(v)).over(longer).alias(f"{v}_l") for v in trail]
     )
     return skew.owned(out.where(full))
 
@@ -222,37 +225,46 @@ def series_onset(df: DataFrame, key: str, ts: str, value: str, tie: Sequence[str
     )
 
 
-def sustained_onset(scores: DataFrame, key: str, ts: str, pos: str, score: str, hard: float, soft: float, fallback: DataFrame | None = None) -> DataFrame:
-    """First sustained rise: a hard score followed by a soft one; else first soft; else fallback.
+def sustained_onset(
+    scores: DataFrame, key: str, ts: str, pos: str, score: str, hard: Column | float, soft: Column | float, fallback: DataFrame | None = None,
+    sustained: int = 2, history: DataFrame | None = None, least: int = WINDOW,
+) -> DataFrame:
+    """First sustained rise: a hard score followed by ``sustained - 1`` soft ones; else first soft; else fallback.
 
-    ``scores`` is numbered by ``pos``; ``fallback`` is a ``series_onset`` result.
+    ``scores`` is numbered by ``pos``; ``fallback`` is a ``series_onset`` result. ``history(key, n_rows)``
+    lists all entities: those with fewer than ``least`` rows are not scanned, and have the fallback
+    (``sma_only``) or nothing (``insufficient_history``); the others without scores have no maximum.
     """
+    need = max(1, sustained)
     w = skew.block_window([key], pos)
-    nxt = skew.owned(
-        skew.halo_blocks(scores, pos=pos, after=1).select("*", F.lead(score).over(w).alias("__next"))
-    )
+    ahead = [F.coalesce(F.lead(score, k).over(w) >= soft, F.lit(False)).alias(f"__s{k}") for k in range(1, need)]
+    nxt = skew.owned(skew.halo_blocks(scores, pos=pos, after=need - 1).select("*", *ahead)) if ahead else scores
+    held = F.col(score) >= hard
+    for k in range(1, need):
+        held = held & F.col(f"__s{k}")
     per = nxt.groupBy(key).agg(
-        F.min(F.when((F.col(score) >= hard) & (F.col("__next") >= soft), F.col(ts))).alias("__hard"),
-        F.min(F.when(F.col(score) >= soft, F.col(ts))).alias("__soft"),
-        F.max(score).alias("max_score"),
-        F.count("*").alias("n_scored"),
+        F.min(F.when(held, F.col(ts))).alias("__hard"), F.min(F.when(F.col(score) >= soft, F.col(ts))).alias("__soft"),
+        F.max(score).alias("max_score"), F.count("*").alias("n_scored"),
     )
     if fallback is not None:
-        per = per.join(fallback.select(key, F.col("onset_ts").alias("__fb")), key, "left")
+        per = per.join(fallback.select(key, F.col("onset_ts").alias("__fb")), key, "full" if history is not None else "left")
     else:
         per = per.withColumn("__fb", F.lit(None).cast(scores.schema[ts].dataType))
+    short = F.lit(False)
+    if history is not None:
+        per = history.select(key, "n_rows").join(per, key, "left").withColumn("n_scored", F.coalesce("n_scored", F.lit(0).cast("bigint")))
+        short = F.col("n_rows") < least
+    scanned = lambda c: F.when(~short, F.col(c))
     method = (
-        F.when(F.col("__hard").isNotNull(), "if_sustained")
+        F.when(short, F.when(F.col("__fb").isNotNull(), "sma_only").otherwise("insufficient_history"))
+        .when(F.col("__hard").isNotNull(), "if_sustained")
         .when(F.col("__soft").isNotNull(), "if_first_soft")
         .when(F.col("__fb").isNotNull(), "sma_change_fallback")
         .otherwise("no_onset_detected")
     )
     return per.select(
-        key,
-        F.coalesce("__hard", "__soft", "__fb").alias("first_elevated_at"),
-        method.alias("method"),
-        "max_score",
-        "n_scored",
+        key, F.coalesce(scanned("__hard"), scanned("__soft"), F.col("__fb")).alias("first_elevated_at"), method.alias("method"),
+        scanned("max_score").alias("max_score"), F.when(short, F.lit(0).cast("bigint")).otherwise(F.col("n_scored")).alias("n_scored"),
     )
 
 

@@ -342,9 +342,9 @@ def shift_probe(w, key: str, v: str, deltas, margin: float = 0.05):
 
 @query("i21_feature_vector")
 def i21(spark, sf):
-    from driftline.plans.features import feature_windows
+    from driftline.plans.features import full_features
 
-    return feature_windows(spark, sf)
+    return full_features(spark, sf)
 
 
 @query(

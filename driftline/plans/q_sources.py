@@ -590,11 +590,11 @@ def check_contract(df, rules):
 @query("a27_feature_sink")
 def a27(spark, sf):
     """Feature matrix written with id, window end and role, read back by role."""
-    from driftline.plans.features import feature_windows
+    from driftline.plans.features import full_features
     from driftline.plans.inputs import role
 
     path = scratch_path(spark, "train-windows")
-    f = feature_windows(spark, sf, step=10).withColumn("role", role(F.col("norad_id")))
+    f = full_features(spark, sf, step=10).withColumn("role", role(F.col("norad_id")))
     f.write.partitionBy("role").parquet(path)
     back = spark.read.parquet(path)
     return back.groupBy("role").agg(F.count("*").alias("n_windows"), F.countDistinct("norad_id").alias("n_entities"))
