@@ -136,13 +136,11 @@ def asset_distance(a: dict[str, Column], b: dict[str, Column], cap: float) -> Co
     return F.least(d, F.lit(float(cap)))
 
 
-def nearest_asset(
+def near_assets(
     objects: DataFrame, assets: DataFrame, ids: Sequence[str], cap: float, on: Sequence[str] = (), width: float = BAND_KM
 ) -> DataFrame:
-    """Nearest asset of every object: ``ids``, ``distance_km`` and ``closest_asset``; at the cap none is named.
+    """Every object with the assets that may be its nearest one, found by bands of the axis.
 
-    ``objects(ids, on, sma, inc, raan)``; the first of ``ids`` is the object's own, and no object is its
-    own asset. ``assets(asset_id, on, a_sma, a_inc, a_raan)`` may be many; ties go to the smaller id.
     No distance is below half the gap of the axes, and one in the same plane is not above that gap. So
     assets are filed in bands of the axis; an object's own and next bands give an upper bound (the
     nearest axis in the same plane, and the exact distance of the nearest axis of all), and only assets
@@ -172,8 +170,23 @@ def nearest_asset(
     low = F.greatest(F.floor((F.col("sma") - F.col("__reach")) / width).cast("bigint"), F.col("__ends.lo"))
     high = F.least(F.floor((F.col("sma") + F.col("__reach")) / width).cast("bigint"), F.col("__ends.hi"))
     spread = o.select(*ids, *on, "sma", "inc", "raan", "__reach", F.explode(F.when(low <= high, F.sequence(low, high))).alias("__band"))
-    priced = spread.join(filed, [*on, "__band"]).where((F.abs(F.col("a_sma") - F.col("sma")) <= F.col("__reach")) & (F.col("asset_id") != F.col(ids[0])))
-    best = priced.select(*ids, F.struct(asset_distance(me, other(""), cap).alias("d"), "asset_id").alias("b")).groupBy(*ids).agg(F.min("b").alias("b"))
+    near = spread.join(filed, [*on, "__band"]).where((F.abs(F.col("a_sma") - F.col("sma")) <= F.col("__reach")) & (F.col("asset_id") != F.col(ids[0])))
+    return near.drop("__reach", "__band")
+
+
+def nearest_asset(
+    objects: DataFrame, assets: DataFrame, ids: Sequence[str], cap: float, on: Sequence[str] = (), width: float = BAND_KM
+) -> DataFrame:
+    """Nearest asset of every object: ``ids``, ``distance_km`` and ``closest_asset``; at the cap none is named.
+
+    ``objects(ids, on, sma, inc, raan)``; the first of ``ids`` is the object's own, and no object is its
+    own asset. ``assets(asset_id, on, a_sma, a_inc, a_raan)`` may be many; ties go to the smaller id.
+    """
+    ids = list(ids)
+    me = {"a": F.col("sma"), "inc": F.col("inc"), "raan": F.col("raan")}
+    it = {"a": F.col("a_sma"), "inc": F.col("a_inc"), "raan": F.col("a_raan")}
+    priced = near_assets(objects, assets, ids, cap, on, width)
+    best = priced.select(*ids, F.struct(asset_distance(me, it, cap).alias("d"), "asset_id").alias("b")).groupBy(*ids).agg(F.min("b").alias("b"))
     return objects.select(*ids).join(best, ids, "left").select(
         *ids, F.coalesce("b.d", F.lit(float(cap))).alias("distance_km"), F.when(F.col("b.d") < cap, F.col("b.asset_id")).alias("closest_asset")
     )
