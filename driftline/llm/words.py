@@ -6,6 +6,7 @@ characters are word bytes, so the cut is the same on bytes as on characters.
 
 from __future__ import annotations
 
+import contextlib
 import functools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -92,6 +93,18 @@ def small_batches(spark, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+@contextlib.contextmanager
+def batches_of(spark, rows: int = 1000) -> Iterator[None]:
+    """Inside, texts reach Python ``rows`` at a time at most; jobs that are to have it must run inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    small_batches(spark, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The rows again, about ``size`` bytes of text at a time."""
     for batch in batches:
