@@ -10,6 +10,7 @@ from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.ngram_join import Rule, keep_first
 from driftline.llm.packing import pack
 from driftline.llm.toxicity import keep_clean
+from driftline.llm.words import batches_of
 from driftline.session import materialize, table
 
 #: Near-copies: five-word shingles, similarity 0.8 or more.
@@ -58,6 +59,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    with batches_of(spark):
+        for name, stage in STAGES:
+            docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
     return docs
