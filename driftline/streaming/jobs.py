@@ -37,23 +37,75 @@ def read_files(spark: SparkSession, folder: str, name: str, schema: T.StructType
     )
 
 
-def drain(writer: DataStreamWriter, spark: SparkSession, label: str) -> None:
-    """Process everything available and stop. Progress lives in the shared folder."""
-    q = writer.option("checkpointLocation", scratch_path(spark, f"{label}-progress")).trigger(availableNow=True).start()
-    q.awaitTermination()
+def drain(writer: DataStreamWriter, spark: SparkSession, label: str, mark: ClosingMark | None = None) -> None:
+    """Process everything available and stop; with a ``mark``, close the stream's time and process what waited for that.
+
+    Progress lives in the shared folder.
+    """
+    progress = scratch_path(spark, f"{label}-progress")
+    run = lambda: writer.option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination()
+    run()
+    if mark is not None:
+        mark.write()
+        run()
 
 
-def append_once(stream: DataFrame, keys: list[str], ts: str, delay: str, path: str) -> DataStreamWriter:
-    """New keys only, within the watermark; each batch lands in its own folder.
+class ClosingMark:
+    """A row without a key whose only work is to move the watermark: the end of a finished input.
 
-    A batch that is re-run after a failure overwrites its own folder, so nothing is added twice.
+    Its source is an empty folder until :meth:`write`, so the rows before it are all processed first.
     """
-    fresh = stream.withWatermark(ts, delay).dropDuplicatesWithinWatermark(keys)
 
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    def __init__(self, spark: SparkSession, ts: str, at: str):
+        self.spark, self.ts, self.at, self.path = spark, ts, at, scratch_path(spark, "closing-mark")
+        self._rows().limit(0).write.parquet(self.path)
+
+    def _rows(self) -> DataFrame:
+        return self.spark.range(1).select(F.lit(self.at).cast("timestamp").alias(self.ts))
+
+    def write(self) -> None:
+        self._rows().write.mode("append").parquet(self.path)
+
+    def behind(self, stream: DataFrame, delay: str) -> DataFrame:
+        """``stream`` with its watermark, which follows the mark, too; the mark itself goes."""
+        mark = self.spark.readStream.schema(T.StructType([T.StructField(self.ts, T.TimestampType())])).parquet(self.path)
+        both = stream.unionByName(mark, allowMissingColumns=True).withWatermark(self.ts, delay)
+        # Asked by time, so that the filter stays behind the watermark.
+        return both.where(F.col(self.ts) < F.lit(self.at).cast("timestamp"))
 
-    return fresh.writeStream.foreachBatch(save).outputMode("append")
+
+def upsert_days(stream: DataFrame, keys: list[str], ts: str, order: list[str], path: str) -> DataStreamWriter:
+    """Keep-last upsert into a history partitioned by day; late rows find their day whatever its age.
+
+    A batch writes whole days, merged with what the days held after earlier batches, into a folder of
+    its own. Run again, it reads the same earlier state and overwrites its own folder, so nothing
+    changes. ``order`` says which of two rows of a key is later; the batch itself decides first.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        new = batch.withColumn("day", F.to_date(ts)).withColumn("__new", F.lit(True))
+        days = [r[0] for r in new.select("day").distinct().collect()]  # bounded by the calendar
+        merged = new
+        if held := history(batch.sparkSession, path, batch_id):
+            old = held.where(F.col("day").isin(days)).withColumn("__new", F.lit(False))
+            merged = new.unionByName(old)
+        kept = keep_last(merged, keys, [F.desc("__new"), *[F.desc(c) for c in order]]).drop("__new")
+        kept.write.mode("overwrite").partitionBy("day").parquet(f"{path}/batch={batch_id}")
+
+    return stream.writeStream.foreachBatch(save).outputMode("append")
+
+
+def history(spark: SparkSession, path: str, before: int | None = None) -> DataFrame | None:
+    """Every day of an upserted history as of its last batch (of those below ``before``); None if there is none."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root) or not any(f.getPath().getName().startswith("batch=") for f in fs.listStatus(root)):
+        return None
+    rows = spark.read.option("basePath", path).parquet(path)
+    rows = rows if before is None else rows.where(F.col("batch") < before)
+    # Both are partition columns; a calendar of days decides which folders are read.
+    last = rows.groupBy("day").agg(F.max("batch").alias("batch"))
+    return rows.join(F.broadcast(last), ["day", "batch"], "left_semi").drop("batch")
 
 
 def _window_stats(v: np.ndarray) -> tuple[float, float]:
@@ -73,37 +125,70 @@ def _window_stats(v: np.ndarray) -> tuple[float, float]:
     return min(1.0, top / 4.0), min(1.0, top_e / (3.0 * np.sqrt(0.2 / 1.8)))
 
 
+def in_order(pdf: pd.DataFrame | None, held: tuple | None, columns: list[str], mark: int) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """Rows that no later arrival can precede, in order of time, and those that still wait.
+
+    ``held`` are the waiting rows of the state, one list per column; the first two columns are the time
+    in microseconds and the tie-breaker. What is at or below the watermark ``mark`` (milliseconds) is
+    final, as Spark lets no such row in any more.
+    """
+    old = pd.DataFrame(dict(zip(columns, held)) if held is not None else {c: [] for c in columns})
+    parts = [x[columns] for x in (old, pdf) if x is not None and len(x)]
+    both = (pd.concat(parts) if parts else old).sort_values(columns[:2], kind="stable")
+    done = both[columns[0]] <= mark * 1000
+    return both[done], both[~done]
+
+
+def _frame(frames: Iterator[pd.DataFrame]) -> pd.DataFrame | None:
+    """One entity's rows of one micro-batch; bounded by the trigger's file limit."""
+    parts = [x for x in frames if len(x)]
+    return pd.concat(parts) if parts else None
+
+
+def _wait(state: GroupState, waiting: pd.DataFrame, mark: int, more: int | None = None) -> None:
+    """Calls the entity again once the watermark reaches its first waiting row, or the later moment ``more``."""
+    moments = ([int(waiting.iloc[0, 0]) // 1000 + 1] if len(waiting) else []) + ([more] if more is not None else [])
+    if moments:
+        state.setTimeoutTimestamp(max(min(moments), mark + 1))
+
+
 ROLLING = T.StructType(
     [T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()),
      T.StructField("cusum", T.DoubleType()), T.StructField("ewma", T.DoubleType())]
 )
-RING = T.StructType([T.StructField("v", T.ArrayType(T.DoubleType()))])
+RING = T.StructType(
+    [T.StructField("us", T.ArrayType(T.LongType())), T.StructField("event_id", T.ArrayType(T.LongType())),
+     T.StructField("value", T.ArrayType(T.DoubleType())), T.StructField("ring", T.ArrayType(T.DoubleType()))]
+)
 
 
-def rolling_detectors(stream: DataFrame, ts: str, delay: str, size: int = 20) -> DataFrame:
-    """Chart values of the last ``size`` rows of each entity as rows arrive.
+def rolling_detectors(stream: DataFrame, ts: str, size: int = 20) -> DataFrame:
+    """Chart values of the last ``size`` rows of each entity, in order of event time, whatever the order of arrival.
 
-    State is a ring of ``size`` values per entity. A batch is ordered by event time; rows older than
-    the watermark are dropped before they reach the state. The batch windows are the specification.
+    ``stream`` has its watermark. Rows wait in the state until the watermark passes them and then go
+    through a ring of ``size`` values; rows that come behind the watermark are dropped by Spark. State
+    is the ring and the rows of one watermark delay. The batch windows are the specification.
     """
+    columns = ["us", "event_id", "value"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        # One entity's rows of one micro-batch; bounded by the trigger's file limit.
-        pdf = pd.concat(list(frames)).sort_values([ts, "event_id"])
-        old = np.array(state.get[0] if state.exists else [], dtype=float)
-        v = np.concatenate([old, pdf["value"].to_numpy()])
-        ids = pdf["event_id"].to_numpy()
+        held = state.get if state.exists else None
+        mark = state.getCurrentWatermarkMs()
+        ready, waiting = in_order(_frame(frames), held and held[:3], columns, mark)
+        old = np.array(held[3] if held else [], dtype=float)
+        v = np.concatenate([old, ready["value"].to_numpy(float)])
+        ids = ready["event_id"].to_numpy()
         out = [
             (int(ids[i]), *_window_stats(v[end - size : end]))
             for i in range(len(ids))
             if (end := len(old) + i + 1) >= size
         ]
-        state.update((v[-(size - 1) :].tolist(),))
+        state.update((waiting["us"].astype("int64").tolist(), waiting["event_id"].astype("int64").tolist(), waiting["value"].astype(float).tolist(), v[-(size - 1) :].tolist()))
+        _wait(state, waiting, mark)
         yield pd.DataFrame(out, columns=["event_id", "cusum", "ewma"]).assign(user_id=key[0])[[f.name for f in ROLLING]]
 
-    return stream.withWatermark(ts, delay).groupBy("user_id").applyInPandasWithState(
-        step, ROLLING, RING, "append", GroupStateTimeout.NoTimeout
-    )
+    rows = stream.select("user_id", F.unix_micros(ts).alias("us"), "event_id", F.col("value").cast("double").alias("value"), ts)
+    return rows.groupBy("user_id").applyInPandasWithState(step, ROLLING, RING, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def transition(prev: Column, want: Column) -> Column:
@@ -164,40 +249,122 @@ AUDIT = T.StructType(
     [T.StructField("user_id", T.LongType()), T.StructField("event_id", T.LongType()), T.StructField("previous_status", T.StringType()),
      T.StructField("status", T.StringType()), T.StructField("accepted", T.BooleanType()), T.StructField("action", T.StringType())]
 )
-STATE = T.StructType([T.StructField("status", T.StringType())])
+STATE = T.StructType(
+    [T.StructField("us", T.ArrayType(T.LongType())), T.StructField("event_id", T.ArrayType(T.LongType())),
+     T.StructField("want", T.ArrayType(T.StringType())), T.StructField("status", T.StringType())]
+)
 
 
-def lifecycle_stream(stream: DataFrame, order: str, want: str) -> DataFrame:
-    """Audit log of requested changes; the current state per key is kept as stream state."""
+def lifecycle_stream(stream: DataFrame, ts: str, want: str) -> DataFrame:
+    """Audit log of requested changes in order of their time; the current state per key is kept as stream state.
+
+    ``stream`` has its watermark; requests wait for it, so the order of arrival does not matter.
+    """
+    columns = ["us", "event_id", "want"]
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else "OPEN"
-        pdf = pd.concat(list(frames)).sort_values(order)
-        out = []
-        for eid, w in zip(pdf["event_id"], pdf[want]):
+        held = state.get if state.exists else None
+        mark = state.getCurrentWatermarkMs()
+        ready, waiting = in_order(_frame(frames), held and held[:3], columns, mark)
+        now, out = held[3] if held else "OPEN", []
+        for eid, w in zip(ready["event_id"], ready["want"]):
             ok = w == now or w in TRANSITIONS[now]
             out.append((key[0], int(eid), now, w if ok else now, bool(ok), ACTION_FOR_STATUS[w] if ok else None))
             now = w if ok else now
-        state.update((now,))
+        state.update((waiting["us"].astype("int64").tolist(), waiting["event_id"].astype("int64").tolist(), waiting["want"].tolist(), now))
+        _wait(state, waiting, mark)
         yield pd.DataFrame(out, columns=[f.name for f in AUDIT])
 
-    return stream.groupBy("user_id").applyInPandasWithState(step, AUDIT, STATE, "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("user_id", F.unix_micros(ts).alias("us"), "event_id", F.col(want).alias("want"), ts)
+    return rows.groupBy("user_id").applyInPandasWithState(step, AUDIT, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def daily_scores(stream: DataFrame, ts: str, delay: str) -> DataFrame:
-    """Mean value per entity and day, emitted when the watermark passes the day."""
-    return (
-        stream.withWatermark(ts, delay).groupBy("user_id", F.window(ts, "1 day").alias("w"))
-        .agg(F.avg("value").alias("score"), F.count("*").alias("n"))
-        .select("user_id", F.to_date("w.start").alias("day"), "score", "n")
-    )
+DAY_US = 86_400_000_000
+CHANGE = T.StructType(
+    [T.StructField("user_id", T.LongType()), T.StructField("day", T.DateType()), T.StructField("score", T.DoubleType()),
+     T.StructField("delta", T.DoubleType()), T.StructField("n", T.LongType())]
+)
+DAYS = T.StructType(
+    [T.StructField("day", T.ArrayType(T.LongType())), T.StructField("total", T.ArrayType(T.DoubleType())), T.StructField("n", T.ArrayType(T.LongType())),
+     T.StructField("last_day", T.LongType()), T.StructField("last_score", T.DoubleType())]
+)
 
 
-def stale_penalty(age_hours: Column) -> Column:
-    """Late data lowers reliability instead of being dropped."""
-    return F.when(age_hours > 72, 0.35).when(age_hours > 36, 0.15).otherwise(0.0)
+def daily_change(stream: DataFrame, ts: str) -> DataFrame:
+    """Mean value per entity and closed day, and its change against exactly the day before.
+
+    ``stream`` has its watermark. State is the sums of the days that are still open and the last closed
+    day's score; an entity whose last closed day can be no one's yesterday any more is forgotten.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        open_days, last_day, last_score = {}, None, None
+        if state.exists:
+            days, totals, counts, last_day, last_score = state.get
+            open_days = {d: (t, n) for d, t, n in zip(days, totals, counts)}
+        mark, pdf = state.getCurrentWatermarkMs(), _frame(frames)
+        if pdf is not None:
+            per = pdf.groupby(pdf["us"] // DAY_US)["value"].agg(["sum", "count"])
+            for d, t, n in zip(per.index, per["sum"], per["count"]):
+                was = open_days.get(int(d), (0.0, 0))
+                open_days[int(d)] = (was[0] + float(t), was[1] + int(n))
+        out = []
+        for d in sorted(open_days):
+            if (d + 1) * DAY_US // 1000 > mark:
+                break
+            total, n = open_days.pop(d)
+            score = total / n
+            out.append((key[0], (pd.Timestamp(0) + pd.Timedelta(days=d)).date(), score, score - last_score if last_day == d - 1 else None, n))
+            last_day, last_score = d, score
+        if not open_days and (last_day is None or (last_day + 2) * DAY_US // 1000 <= mark):
+            state.remove()
+        else:
+            days = sorted(open_days)
+            state.update((days, [open_days[d][0] for d in days], [open_days[d][1] for d in days], last_day, last_score))
+            until = (days[0] + 1 if days else last_day + 2) * DAY_US // 1000
+            state.setTimeoutTimestamp(max(until, mark + 1))
+        yield pd.DataFrame(out, columns=[f.name for f in CHANGE])
+
+    rows = stream.select("user_id", F.unix_micros(ts).alias("us"), F.col("value").cast("double").alias("value"), ts)
+    return rows.groupBy("user_id").applyInPandasWithState(step, CHANGE, DAYS, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+#: Hours of silence from which on data count as ageing and as stale, and what that takes off.
+AGEING, STALE = (36, 0.15), (72, 0.35)
+HOUR_MS = 3_600_000
+SEEN = T.StructType(
+    [T.StructField("user_id", T.LongType()), T.StructField("us", T.LongType()), T.StructField("penalty", T.DoubleType())]
+)
+LAST = T.StructType([T.StructField("us", T.LongType()), T.StructField("penalty", T.DoubleType())])
 
 
-def current(path: str, spark: SparkSession, keys: list[str], order: list[Column]) -> DataFrame:
-    """Latest row per key of an appended folder."""
-    return keep_last(spark.read.option("recursiveFileLookup", True).parquet(path), keys, order)
+def staleness(stream: DataFrame, ts: str) -> DataFrame:
+    """Last time per entity and what its age takes off, told anew whenever either changes.
+
+    ``stream`` has its watermark, which is the clock. A stale entity is told once and forgotten; its
+    next row starts it anew.
+    """
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        us, told = state.get if state.exists else (None, None)
+        mark, pdf = state.getCurrentWatermarkMs(), _frame(frames)
+        if pdf is not None and (us is None or pdf["us"].max() > us):
+            us, told = int(pdf["us"].max()), None
+        age = mark * 1000 - us
+        now = next((p for h, p in (STALE, AGEING) if age > h * HOUR_MS * 1000), 0.0)
+        out = [(key[0], us, now)] if told is None or now != told else []
+        if now == STALE[1]:
+            state.remove()
+        else:
+            state.update((us, now))
+            hours = AGEING[0] if now == 0.0 else STALE[0]
+            state.setTimeoutTimestamp(max(us // 1000 + hours * HOUR_MS + 1, mark + 1))
+        yield pd.DataFrame(out, columns=[f.name for f in SEEN])
+
+    rows = stream.select("user_id", F.unix_micros(ts).alias("us"), ts)
+    return rows.groupBy("user_id").applyInPandasWithState(step, SEEN, LAST, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def stale_penalty(age_hours: Column) -> Column:
+    """Late data lowers reliability instead of being dropped."""
+    return F.when(age_hours > STALE[0], STALE[1]).when(age_hours > AGEING[0], AGEING[1]).otherwise(0.0)
