@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators import skew
-from driftline.operators.segments import LOCAL_ROWS, split_rounds
+from driftline.operators.segments import LOCAL_ROWS, members, split_rounds
 from driftline.operators.windows import numbered
 from driftline.session import materialize
 
@@ -59,7 +59,7 @@ def _distributed_split(min_size: int, pen: float, key: str):
         gain = nl * (ml - m) * (ml - m) + (n - nl) * (mr - m) * (mr - m)
         inside = (F.col("pos") >= F.col("lo") + min_size) & (F.col("pos") <= F.col("hi") - min_size)
         best = (
-            rows.join(edges, key).where(inside)
+            members(rows, edges, key, "pos", "a1", "a2", "b1", "b2").where(inside)
             .groupBy(key, "lo", "hi", "a1", "a2", "b1", "b2")
             .agg(F.max(F.struct(gain.alias("g"), (-F.col("pos")).alias("np"), "s1", "s2")).alias("p"))
         )
@@ -100,6 +100,6 @@ def binary_segmentation(
         cuts = segment_series(pdf["x"].to_numpy(), min_size, pen)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(cuts), "at": [int(pdf["lo"].iloc[0]) + c for c in cuts]})
 
-    member = x.join(small, key).where((F.col("pos") > F.col("lo")) & (F.col("pos") <= F.col("hi")))
+    member = members(x, small, key, "pos")
     out = member.groupBy(key, "lo").applyInPandas(local, schema)
     return out if found is None else out.unionByName(found)

@@ -4,14 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.functions.series import clip
 from driftline.operators import skew
+from driftline.operators.chains import matched
 from driftline.session import materialize
 
 
@@ -125,45 +123,16 @@ def assign_folds(folds: DataFrame, anchors: DataFrame, ends: DataFrame, holdout_
     )
 
 
-def greedy_pairs(pred: np.ndarray, truth: np.ndarray, tol: int) -> int:
-    """Each prediction in order takes the first free truth within ``tol``."""
-    free = list(truth)
-    hits = 0
-    for p in pred:
-        for j, t in enumerate(free):
-            if abs(p - t) <= tol:
-                free.pop(j)
-                hits += 1
-                break
-    return hits
-
-
 def match_counts(pred: DataFrame, truth: DataFrame, key: str, classes: Sequence[str], i: str, tol: int) -> DataFrame:
-    """True/false positives and false negatives per key by greedy one-to-one matching.
+    """True/false positives and false negatives per key by greedy one-to-one matching within ``classes``.
 
-    Items further apart than ``tol`` cannot interact, so runs of close items are independent. Runs
-    are found with two-level scans; a group holds the runs that start in one block of positions.
+    Equal places of one key, class and kind count once. See ``chains.matched``.
     """
-    both = pred.withColumn("kind", F.lit(0)).unionByName(truth.withColumn("kind", F.lit(1)))
-    # Both scans below read their input twice, so it is written once.
-    both = materialize(both, "match-input")
     group = [key, *classes]
-    rows = both.withColumn("__blk", F.floor(F.col(i) / skew.BLOCK_ROWS))
-    edge = rows.groupBy(*group, "__blk").agg(F.max(i).alias("__e"))
-    carry = edge.select(*group, "__blk", F.lag("__e").over(Window.partitionBy(*group).orderBy("__blk")).alias("__pe"))
-    w = Window.partitionBy(*group, "__blk").orderBy(i, "kind")
-    prev = rows.join(carry, [*group, "__blk"]).withColumn("__prev", F.coalesce(F.lag(i).over(w), F.col("__pe")))
-    start = F.when(F.col("__prev").isNull() | (F.col(i) - F.col("__prev") > tol), F.col(i))
-    marked = prev.select(*group, i, "kind", (F.col(i) + 1).alias("__p"), start.alias("__start"))
-    runs = skew.running(materialize(marked, "match-runs"), group, "__p", F.col("__start"), "__run", how="last")
-    schema = T.StructType([pred.schema[key], T.StructField("tp", T.LongType()), T.StructField("n_pred", T.LongType()), T.StructField("n_truth", T.LongType())])
-
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = np.sort(pdf.loc[pdf["kind"] == 0, i].to_numpy())
-        t = np.sort(pdf.loc[pdf["kind"] == 1, i].to_numpy())
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "tp": [greedy_pairs(p, t, tol)], "n_pred": [len(p)], "n_truth": [len(t)]})
-
-    cell = F.floor(F.col("__run") / skew.BLOCK_ROWS).alias("__cell")
-    per = runs.select(*group, cell, i, "kind").groupBy(*group, "__cell").applyInPandas(match, schema)
-    tot = per.groupBy(key).agg(*[F.sum(c).alias(c) for c in ("tp", "n_pred", "n_truth")])
-    return tot.select(key, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_truth") - F.col("tp")).alias("fn"))
+    # Both are counted and matched.
+    pred, truth = (materialize(d.select(*group, i).distinct(), "match-input") for d in (pred, truth))
+    hits = matched(pred, truth, group, i, tol).groupBy(key).agg(F.sum("tp").alias("tp"))
+    counts = pred.select(key, F.lit(1).alias("p"), F.lit(0).alias("t")).unionByName(truth.select(key, F.lit(0).alias("p"), F.lit(1).alias("t")))
+    tot = counts.groupBy(key).agg(F.sum("p").alias("n_pred"), F.sum("t").alias("n_truth")).join(hits, key, "left")
+    tp = F.coalesce("tp", F.lit(0).cast("bigint"))
+    return tot.select(key, tp.alias("tp"), (F.col("n_pred") - tp).alias("fp"), (F.col("n_truth") - tp).alias("fn"))

@@ -12,11 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from driftline.operators import skew
 from driftline.session import materialize
 
 LOCAL_ROWS = 4096
 
 
+def members(rows: DataFrame, segments: DataFrame, key: str, pos: str, *columns: str) -> DataFrame:
+    """Rows with the segment they are in, ``lo < pos <= hi``, and the segment's ``columns``.
+
+    Segments of a key do not overlap. A segment meets the row it begins with by place, and the rows
+    behind take it over from there, in two levels; no row meets the key's other segments.
+    """
+    begin = segments.select(key, (F.col("lo") + 1).alias(pos), F.struct("lo", "hi", *columns).alias("__begin"))
+    marked = materialize(rows.join(begin, [key, pos], "left"), "segment-rows")
+    carried = skew.running(marked, [key], pos, F.col("__begin"), "__in", how="last").drop("__begin")
+    return carried.where(F.col(pos) <= F.col("__in.hi")).select(*rows.columns, "__in.*")
+
+
 def split_rounds(
     rows: DataFrame,
     segments: DataFrame,

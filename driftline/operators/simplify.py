@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from driftline.operators.segments import LOCAL_ROWS, split_rounds
+from driftline.operators.segments import LOCAL_ROWS, members, split_rounds
 from driftline.session import materialize
 
 
@@ -39,7 +39,7 @@ def _farthest(key: str, pos: str, eps: float):
     def run(rows: DataFrame, seg: DataFrame) -> DataFrame:
         end = lambda side, tag: rows.select(key, F.col(pos).alias(side), F.struct("x", "y", "z").alias(tag))
         edges = seg.join(end("lo", "a"), [key, "lo"]).join(end("hi", "b"), [key, "hi"])
-        j = rows.join(edges, key).where((F.col(pos) > F.col("lo")) & (F.col(pos) < F.col("hi")))
+        j = members(rows, edges, key, pos, "a", "b").where(F.col(pos) < F.col("hi"))
         ax = "xyz"
         dot = lambda u, v: sum((u[c] * v[c] for c in "yz"), u["x"] * v["x"])
         ab = {c: F.col(f"b.{c}") - F.col(f"a.{c}") for c in ax}
@@ -67,7 +67,9 @@ def simplify_tracks(points: DataFrame, key: str, pos: str, eps: float, limit: in
         inner = kept_indices(pdf[["x", "y", "z"]].to_numpy(), eps)
         return pd.DataFrame({key: [pdf[key].iloc[0]] * len(inner), pos: pdf[pos].to_numpy()[inner].astype("int64")})
 
-    member = p.join(small, key).where((F.col(pos) >= F.col("lo")) & (F.col(pos) <= F.col("hi")))
+    # Neighbouring segments share a point: it ends the one and is fetched for the other.
+    first = p.join(small.withColumn(pos, F.col("lo")), [key, pos])
+    member = members(p, small, key, pos).unionByName(first)
     kept = member.groupBy(key, "lo").applyInPandas(local, schema)
     if found is not None:
         kept = kept.unionByName(found.select(key, F.col("at").alias(pos)))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from driftline.functions import series as S
 from driftline.operators import skew
+from driftline.operators.chains import spaced
 from driftline.session import materialize
 
 WINDOW = 20
@@ -280,53 +281,17 @@ def steps(df: DataFrame, key: str, value: str, pos: str = "pos") -> DataFrame:
 
 
 def candidate_peaks(df: DataFrame, key: str, value: str, pos: str = "pos", factor: float = 4.0, min_gap: int = 8) -> DataFrame:
-    """Large steps (``factor`` times the entity's median step), at least ``min_gap`` apart.
+    """Large steps (``factor`` times the entity's median step), at least ``min_gap`` apart, with their class.
 
-    Candidates further apart than the gap never affect each other, so the greedy choice runs
-    inside chains of close candidates, not over a whole series.
+    ``node`` is ``IK`` where the mean of the step and its neighbours is still above the threshold, else ``ID``.
     """
-    # The steps feed the median and the filter; candidates feed two scans. Each is written once.
-    d = materialize(steps(df, key, value, pos).select(key, "i", F.abs("step").alias("d")), "steps")
+    # The steps feed the median and the filter, and are written once.
+    d = steps(df, key, value, pos).select(key, (F.col("i") + 1).alias("pos"), F.abs("step").alias("d"))
+    w = skew.block_window([key]).rowsBetween(-1, 1)
+    d = skew.owned(skew.halo_blocks(d, before=1, after=1).select("*", F.avg("d").over(w).alias("near")))
+    d = materialize(d.select(key, (F.col("pos") - 1).alias("i"), "d", "near"), "steps")
     med = skew.exact_quantiles(d, [key], "d", {"med": 0.5})
     thr = F.greatest(F.col("med") * factor, F.lit(1e-6))
     cand = d.join(med.select(key, "med"), key).where((F.col("i") >= 1) & (F.col("d") >= thr))
-    return _greedy_gap(materialize(cand.select(key, "i"), "candidates"), key, "i", min_gap)
-
-
-def _greedy_gap(cand: DataFrame, key: str, i: str, min_gap: int) -> DataFrame:
-    """Keep candidates greedily, each at least ``min_gap`` after the last kept one."""
-    bucketed = cand.withColumn("__blk", F.floor(F.col(i) / skew.BLOCK_ROWS))
-    last_in_block = bucketed.groupBy(key, "__blk").agg(F.max(i).alias("__li"))
-    prev_blk = Window.partitionBy(key).orderBy("__blk")
-    carry = last_in_block.select(key, "__blk", F.lag("__li").over(prev_blk).alias("__pi"))
-    w = Window.partitionBy(key, "__blk").orderBy(i)
-    marked = bucketed.join(carry, [key, "__blk"]).withColumn(
-        "__prev", F.coalesce(F.lag(i).over(w), F.col("__pi"))
-    )
-    start = F.when(
-        F.col("__prev").isNull() | (F.col(i) - F.col("__prev") >= min_gap), F.col(i)
-    )
-    chains = skew.running(
-        marked.withColumn("__start", start).withColumn("__p", F.col(i) + 1),
-        [key], "__p", F.col("__start"), "__chain", how="last",
-    )
-    kept = chains.groupBy(key, "__chain").agg(
-        F.array_sort(F.collect_list(F.col(i).cast("bigint"))).alias("__c")
-    ).select(
-        key,
-        F.explode(
-            F.aggregate(
-                "__c",
-                F.struct(
-                    F.array().cast("array<bigint>").alias("k"),
-                    F.lit(-(10**9)).cast("bigint").alias("last"),
-                ),
-                lambda a, x: F.struct(
-                    F.when(x - a["last"] >= min_gap, F.concat(a["k"], F.array(x))).otherwise(a["k"]).alias("k"),
-                    F.when(x - a["last"] >= min_gap, x).otherwise(a["last"]).alias("last"),
-                ),
-                lambda a: a["k"],
-            )
-        ).alias(i),
-    )
-    return kept
+    cand = materialize(cand.select(key, "i", F.when(F.col("near") > thr, "IK").otherwise("ID").alias("node")), "candidates")
+    return spaced(cand, [key], "i", min_gap).join(cand, [key, "i"])

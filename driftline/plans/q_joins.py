@@ -136,7 +136,20 @@ def c10(spark, sf):
     return day(20).join(day(19), "user_id", "left_anti")
 
 
-@query("c11_interval_match")
+@query(
+    "c11_interval_match",
+    """WITH RECURSIVE e AS (SELECT user_id, event_id % 2 AS cls, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+    p AS (SELECT user_id, cls, i, row_number() OVER (PARTITION BY user_id, cls ORDER BY i) AS k FROM e WHERE event_type = 'error'),
+    t AS (SELECT user_id, cls, i FROM e WHERE event_type = 'signup'),
+    r AS (SELECT user_id, cls, 0::BIGINT AS k, -1000::BIGINT AS last, 0::BIGINT AS tp FROM p WHERE k = 1
+      UNION ALL SELECT user_id, cls, k, coalesce(hit, last), tp + (hit IS NOT NULL)::INT FROM (
+        SELECT r.user_id, r.cls, p.k, any_value(r.last) AS last, any_value(r.tp) AS tp, min(t.i) AS hit
+        FROM r JOIN p ON p.user_id = r.user_id AND p.cls = r.cls AND p.k = r.k + 1
+          LEFT JOIN t ON t.user_id = r.user_id AND t.cls = r.cls AND t.i > r.last AND t.i BETWEEN p.i - 6 AND p.i + 6 GROUP BY r.user_id, r.cls, p.k)),
+    h AS (SELECT user_id, sum(tp) AS tp FROM (SELECT user_id, cls, max(tp) AS tp FROM r GROUP BY ALL) GROUP BY 1),
+    c AS (SELECT user_id, count_if(event_type = 'error') AS np, count_if(event_type = 'signup') AS nt FROM e WHERE event_type IN ('error', 'signup') GROUP BY 1)
+    SELECT user_id, coalesce(tp, 0)::BIGINT AS tp, (np - coalesce(tp, 0))::BIGINT AS fp, (nt - coalesce(tp, 0))::BIGINT AS fn FROM c LEFT JOIN h USING (user_id)""",
+)
 def c11(spark, sf):
     """Greedy one-to-one match of two event types of a user within six positions."""
     from driftline.operators.windows import numbered

@@ -452,7 +452,7 @@ def v2(spark, sf):
 
 @query("v3_detection_benchmark")
 def v3(spark, sf):
-    """Candidate peaks capped by each object's regime count, matched to labels, pooled F2."""
+    """Candidate peaks capped by each object's regime count, matched to labels of their own class, pooled F2."""
     from driftline.operators.regimes import series_regime_count
     from driftline.session import materialize
 
@@ -461,10 +461,11 @@ def v3(spark, sf):
     peaks = materialize(W.candidate_peaks(rows, "user_id", "value"), "peaks")
     cap = series_regime_count(rows, "user_id", "value", h=3.0).select("user_id", F.greatest(F.lit(1), F.col("changes") + 1).alias("cap"))
     numbered = skew.positions(peaks, ["user_id"], ["i"], F.floor(F.col("i") / 4096), "k")
-    pred = numbered.join(cap, "user_id").where(F.col("k") <= F.col("cap")).select("user_id", "i")
-    truth = rows.where("event_type = 'error' AND event_id % 3 = 0").select("user_id", F.col("pos").alias("i"))
-    pred = materialize(pred, "pred")
-    per = J.match_counts(pred, truth, "user_id", [], "i", 6)
+    # Direction and type of a candidate are constants, so its class is the node.
+    pred = numbered.join(cap, "user_id").where(F.col("k") <= F.col("cap")).select("user_id", "node", "i")
+    node = F.when(F.col("event_id") % 2 == 0, "IK").otherwise("ID")
+    truth = rows.where("event_type = 'error' AND event_id % 3 = 0").select("user_id", node.alias("node"), F.col("pos").alias("i"))
+    per = J.match_counts(materialize(pred, "pred"), truth, "user_id", ["node"], "i", 6)
     t = per.agg(F.count("*").alias("objects"), *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     return t.select("objects", "tp", "fp", "fn", *V.f2_scores(F.col("tp"), F.col("fp"), F.col("fn")))
 

@@ -156,12 +156,13 @@ def ranked(df, value: str):
 
 @query(
     "e12_candidate_peaks",
-    f"""WITH RECURSIVE {EV_SQL}, s AS (SELECT user_id, pos - 2 AS i, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM ev),
+    f"""WITH RECURSIVE {EV_SQL}, s0 AS (SELECT user_id, pos - 2 AS i, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY pos)) AS d FROM ev),
+    s AS (SELECT *, avg(d) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near FROM s0 WHERE d IS NOT NULL),
     m AS (SELECT user_id, greatest(4*median(d), 1e-6) AS thr FROM s WHERE d IS NOT NULL GROUP BY 1),
     c AS (SELECT s.user_id, i FROM s JOIN m USING (user_id) WHERE i >= 1 AND d >= thr),
     r AS (SELECT user_id, min(i) AS i FROM c GROUP BY 1 UNION ALL
       SELECT user_id, (SELECT min(c.i) FROM c WHERE c.user_id = r.user_id AND c.i >= r.i + 8) AS i FROM r WHERE r.i IS NOT NULL)
-    SELECT user_id, i FROM r WHERE i IS NOT NULL""",
+    SELECT user_id, i, CASE WHEN near > thr THEN 'IK' ELSE 'ID' END AS node FROM r JOIN s USING (user_id, i) JOIN m USING (user_id)""",
 )
 def e12(spark, sf):
     rows = W.numbered(events(spark, sf), "user_id", "ts", ["event_id"])

@@ -53,12 +53,71 @@ def test_regime_count_of_whole_series(spark):
         assert got[k] == alarm_count((d - med) / sigma, 0.5, 4.0, 5)
 
 
+def greedy_pairs(pred, truth, tol):
+    free, hits = list(truth), 0
+    for p in pred:
+        for j, t in enumerate(free):
+            if abs(p - t) <= tol:
+                free.pop(j)
+                hits += 1
+                break
+    return hits
+
+
+def greedy_gap(at, gap):
+    out = []
+    for x in at:
+        if not out or x - out[-1] >= gap:
+            out.append(x)
+    return out
+
+
+def test_spaced_candidates_against_greedy(spark):
+    from driftline.operators.chains import spaced
+
+    rng = np.random.default_rng(8)
+    data = {1: np.arange(3000), 2: np.unique(rng.integers(0, 4000, 900)), 3: np.array([5]), 4: np.concatenate([np.arange(40), np.arange(5000, 5050)])}
+    df = spark.createDataFrame([(k, int(x)) for k, v in data.items() for x in v], "k long, i long").repartition(4)
+    got = {k: [] for k in data}
+    for r in spaced(df, ["k"], "i", 8, size=16).collect():
+        got[r["k"]].append(r["i"])
+    assert {k: sorted(v) for k, v in got.items()} == {k: greedy_gap(v.tolist(), 8) for k, v in data.items()}
+
+
+def test_a_million_candidates_in_one_chain(spark):
+    from driftline.operators.chains import spaced
+
+    df = spark.range(1_000_000).select(F.lit(1).alias("k"), F.col("id").alias("i")).where("i % 11 <> 3")
+    got = spaced(df, ["k"], "i", 7).agg(F.count("*").alias("n"), F.sum("i").alias("s")).first()
+    want = greedy_gap([i for i in range(1_000_000) if i % 11 != 3], 7)
+    assert (got["n"], got["s"]) == (len(want), sum(want))
+
+
+def test_matching_by_class_in_long_runs(spark):
+    rng = np.random.default_rng(9)
+    rows = {(c, kind): np.unique(rng.integers(0, 3000, n)) for c, kind, n in (("a", 0, 1500), ("a", 1, 1200), ("b", 0, 300), ("b", 1, 900), ("c", 1, 5))}
+    mk = lambda kind: spark.createDataFrame([(1, c, int(i)) for (c, k), v in rows.items() if k == kind for i in v], "k long, c string, i long")
+    r = J.match_counts(mk(0), mk(1), "k", ["c"], "i", 6).first()
+    hits = sum(greedy_pairs(rows[c, 0], rows[c, 1], 6) for c in "ab")
+    assert (r["tp"], r["fp"], r["fn"]) == (hits, len(rows["a", 0]) + len(rows["b", 0]) - hits, sum(len(rows[c, 1]) for c in "abc") - hits)
+
+
+def test_members_of_many_segments(spark):
+    from driftline.operators.segments import members
+
+    segs = [(1, 0, 5, "x"), (1, 5, 6, "y"), (1, 9, 30, "z"), (2, 3, 4000, "w")]
+    rows = spark.range(1, 4101).select(F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"), F.col("id").alias("pos"))
+    got = members(rows, spark.createDataFrame(segs, "k int, lo long, hi long, n string"), "k", "pos", "n")
+    assert got.count() == 5 + 1 + 21 + 3997
+    assert sorted((r["pos"], r["n"]) for r in got.where("k = 1").collect()) == sorted((p, n) for k, lo, hi, n in segs if k == 1 for p in range(lo + 1, hi + 1))
+
+
 def test_interval_matching(spark):
     rng = np.random.default_rng(4)
     p, t = np.unique(rng.integers(0, 6000, 300)), np.unique(rng.integers(0, 6000, 300))
     mk = lambda a: spark.createDataFrame([(1, int(i)) for i in a], "k long, i long")
     r = J.match_counts(mk(p), mk(t), "k", [], "i", 6).collect()[0]
-    hits = J.greedy_pairs(p, t, 6)
+    hits = greedy_pairs(p, t, 6)
     assert (r["tp"], r["fp"], r["fn"]) == (hits, len(p) - hits, len(t) - hits)
 
 
