@@ -9,6 +9,7 @@ block is joined with itself, then the blocks that still hold different component
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -29,8 +30,10 @@ LEAF = 8
 #: Documents per shingle from which trees are merged first; the size of the components that are merged;
 #: so many of each speak for it, dealt so often at most.
 CROWD, GROWN, SPEAKERS, DEALS = 16, 4, 3, 4
-#: Tasks among which the shingles of one component are dealt.
-ROUTES = 4
+#: Rows of a group that the last pass takes whole; larger ones are cut into blocks of half that.
+CROWDED = 4096
+#: Rows of one family that go to one task, and pairs of nodes that are looked at in one step.
+ROUTE_ROWS, NODE_PAIRS = 8192, 1 << 16
 
 
 class Rule(NamedTuple):
@@ -251,12 +254,17 @@ def _linked(anchors: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
 
 def _blocks_that_may_link(large: DataFrame, rule: Rule) -> DataFrame:
     """Rows of large groups, once per pair of blocks that hold different components of near enough sizes."""
-    # A component with many rows under a shingle gets blocks of its own; the small ones share some.
-    own = large.groupBy("token", "part").agg(F.count("*").alias("k"))
-    half = BLOCK // 2
-    apart = F.xxhash64("part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / half)))
-    large = large.join(own, ["token", "part"]).withColumn("blk", F.when(F.col("k") > half, apart).otherwise(F.pmod(F.xxhash64("part"), F.ceil(F.col("m") / half))))
-    large = materialize(large.drop("k"), "ngram-large")
+    # Blocks are cut along the sizes of the sets: in steps of the least ratio of two that link, so that
+    # only neighbouring steps meet. A component with many rows in a step gets blocks of its own.
+    step = F.floor(F.ln("n") / math.log(100 / min(rule.percent, 99)))
+    large = large.withColumn("step", step)
+    own = large.groupBy("token", "step", "part").agg(F.count("*").alias("k"))
+    sizes = own.groupBy("token", "step").agg(F.sum("k").alias("m_step"))
+    half = CROWDED // 2
+    apart = F.xxhash64("step", "part", F.pmod(F.xxhash64("id"), F.ceil(F.col("k") / half)))
+    mixed = F.xxhash64("step", F.pmod(F.xxhash64("part"), F.ceil(F.col("m_step") / half)))
+    large = large.join(own, ["token", "step", "part"]).join(sizes, ["token", "step"]).withColumn("blk", F.when(F.col("k") > half, apart).otherwise(mixed))
+    large = materialize(large.drop("k", "m_step", "step"), "ngram-large")
     nodes = large.groupBy("token", "blk").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.min("n").alias("low"), F.max("n").alias("high"))
     nodes = materialize(nodes, "ngram-nodes")
     one, two = (nodes.select("token", *(F.col(c).alias(f"{c}_{k}") for c in ("blk", "p", "q", "low", "high"))) for k in ("a", "b"))
@@ -268,38 +276,131 @@ def _blocks_that_may_link(large: DataFrame, rule: Rule) -> DataFrame:
     return large.join(sides, ["token", "blk"]).select("least", "pair", "side", "id", "part", "n")
 
 
-def _across(rows: DataFrame, rule: Rule) -> DataFrame:
-    """Pairs of different components that sizes and bitmaps leave open, per group of (``pair``, ``side``)."""
+class Level(NamedTuple):
+    """Nodes of one height: OR and AND of the bitmaps below, and ranges of sizes, components and thinning."""
+
+    some: np.ndarray
+    all: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    thin_low: np.ndarray
+    thin_high: np.ndarray
+
+
+class Signatures:
+    """Signature tree over the rows of a group in order of set size; ``levels`` go from the rows up to the root."""
+
+    def __init__(self, n: np.ndarray, part: np.ndarray, bits: np.ndarray, height: int):
+        self.order = np.argsort(n, kind="stable")
+        n, part, bits, thin = n[self.order], part[self.order], bits[self.order], _thinned(n[self.order])
+        self.levels = [Level(bits, bits, n, n, part, part, thin, thin)]
+        for _ in range(height):
+            x = self.levels[-1]
+            at = np.arange(0, len(x.low), LEAF)
+            how = (np.bitwise_or, np.bitwise_and, np.minimum, np.maximum, np.minimum, np.maximum, np.minimum, np.maximum)
+            self.levels.append(Level(*(f.reduceat(v, at) for f, v in zip(how, x))))
+
+
+def _may_link(a: Level, b: Level, i: np.ndarray, j: np.ndarray, rule: Rule) -> np.ndarray:
+    """Whether some row below node ``i`` of ``a`` may link with one of another component below ``j`` of ``b``."""
+    keep = ~((a.first[i] == a.last[i]) & (b.first[j] == b.last[j]) & (a.first[i] == b.first[j]))
+    keep &= 100 * np.minimum(a.high[i], b.high[j]) >= rule.percent * np.maximum(a.low[i], b.low[j])
+    at = np.flatnonzero(keep)
+    i, j = i[at], j[at]
+    # Bits that every row on one side has and none on the other are lost to the overlap of any pair.
+    lost_a = np.bitwise_count(a.all[i] & ~b.some[j]).sum(axis=1, dtype=np.int64)
+    lost_b = np.bitwise_count(b.all[j] & ~a.some[i]).sum(axis=1, dtype=np.int64)
+    good = (lost_a <= a.high[i] - rule.overlap(a.high[i] + b.low[j])) & (lost_b <= b.high[j] - rule.overlap(b.high[j] + a.low[i]))
+    alike = (a.thin_low[i] == a.thin_high[i]) & (b.thin_low[j] == b.thin_high[j]) & (a.thin_low[i] == b.thin_low[j])
+    keep[at] = good | ~alike  # bitmaps of different shingles say nothing
+    return keep
+
+
+def _traversed(a: Signatures, b: Signatures, rule: Rule) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places of the rows of ``a`` and ``b`` that may link, from the roots down; with itself every pair once."""
+    out, top = [], len(a.levels) - 1
+    ways = np.arange(LEAF * LEAF)
+    stack = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))]
+    while stack:
+        level, i, j = stack.pop()
+        keep = _may_link(a.levels[level], b.levels[level], i, j, rule)
+        if level == 0 and a is b:
+            keep &= i < j
+        i, j = i[keep], j[keep]
+        if level == 0:
+            out.append((a.order[i], b.order[j]))
+            continue
+        for k in range(0, len(i), NODE_PAIRS // len(ways)):
+            x = (i[k : k + NODE_PAIRS // len(ways), None] * LEAF + ways // LEAF).ravel()
+            y = (j[k : k + NODE_PAIRS // len(ways), None] * LEAF + ways % LEAF).ravel()
+            real = (x < len(a.levels[level - 1].low)) & (y < len(b.levels[level - 1].low))
+            real &= (x <= y) | (a is not b)
+            stack.append((level - 1, x[real], y[real]))
+    return out
+
+
+def _across(rows: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
+    """Pairs of different components that sizes and ``bits`` leave open, per group of (``pair``, ``side``).
+
+    Groups of one leaf are compared row by row, many at a time; larger ones by dual traversal of their
+    signature tree, or of the trees of both sides.
+    """
+
+    def small(key, ids, part, n, bits) -> list[tuple[int, int]]:
+        out, thin = [], _thinned(n)
+        for shift in range(1, LEAF):
+            x = np.arange(max(0, len(key) - shift))
+            y = x + shift
+            keep = (key[x] == key[y]) & (part[x] != part[y]) & (100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y]))
+            x, y = x[keep], y[keep]
+            need = rule.overlap(n[x] + n[y])
+            both = bits[x] & bits[y]
+            lost_x = np.bitwise_count(bits[x] ^ both).sum(axis=1, dtype=np.int64)
+            lost_y = np.bitwise_count(bits[y] ^ both).sum(axis=1, dtype=np.int64)
+            good = (lost_x <= n[x] - need) & (lost_y <= n[y] - need)
+            good |= thin[x] != thin[y]
+            out += zip(np.minimum(ids[x], ids[y])[good].tolist(), np.maximum(ids[x], ids[y])[good].tolist())
+        return out
+
+    def large(side, ids, part, n, bits) -> list[tuple[int, int]]:
+        sides = [np.flatnonzero(side == k) for k in ((2,) if side[0] == 2 else (0, 1))]
+        if not all(map(len, sides)):
+            return []
+        height = max(1, math.ceil(math.log(max(map(len, sides)), LEAF)))
+        trees = [Signatures(n[k], part[k], bits[k], height) for k in sides]
+        out = []
+        for x, y in _traversed(trees[0], trees[-1], rule):
+            x, y = ids[sides[0][x]], ids[sides[-1][y]]
+            out += zip(np.minimum(x, y).tolist(), np.maximum(x, y).tolist())
+        return out
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         told: set[tuple[int, int]] = set()
         for table in _groups(batches, 0, 1_000_000):
             key, side, ids, part, n = (table.column(k).to_numpy() for k in range(5))
             bits = np.frombuffer(b"".join(table.column(5).to_pylist()), np.uint64).reshape(-1, BITMAP)
-            pairs, thin = [], _thinned(n)
-            if len(told) > 500_000:  # remembering saves rows, forgetting loses none
+            if len(told) > 200_000:  # remembering saves rows, forgetting loses none
                 told.clear()
-            longest = max((b - a for a, b in _runs_of(key)), default=0)
-            for shift in range(1, longest):
-                x = np.arange(len(key) - shift)
-                y = x + shift
-                keep = (key[x] == key[y]) & (part[x] != part[y]) & ((side[x] != side[y]) | (side[x] == 2))
-                keep &= 100 * np.minimum(n[x], n[y]) >= rule.percent * np.maximum(n[x], n[y])
-                x, y = x[keep], y[keep]
-                need = rule.overlap(n[x] + n[y])
-                both = bits[x] & bits[y]
-                lost_x = np.bitwise_count(bits[x] ^ both).sum(axis=1, dtype=np.int64)
-                lost_y = np.bitwise_count(bits[y] ^ both).sum(axis=1, dtype=np.int64)
-                good = (lost_x <= n[x] - need) & (lost_y <= n[y] - need)
-                good |= thin[x] != thin[y]  # bitmaps of different shingles say nothing
-                pairs += zip(np.minimum(ids[x], ids[y])[good].tolist(), np.maximum(ids[x], ids[y])[good].tolist())
-            fresh = set(pairs) - told
+            edges = _runs_of(key)
+            few = np.zeros(len(key), bool)
+            pairs: set[tuple[int, int]] = set()
+            for a, z in edges:
+                if z - a <= LEAF and side[a] == 2:
+                    few[a:z] = True
+                else:
+                    pairs.update(large(side[a:z], ids[a:z], part[a:z], n[a:z], bits[a:z]))
+            pairs.update(small(key[few], ids[few], part[few], n[few], bits[few]))
+            fresh = pairs - told
             told |= fresh
             yield _link_batch(list(fresh))
 
-    # Shingles of one family go to one task, which tells a pair once however many of them it shares.
-    route = F.xxhash64("least", F.pmod(F.col("pair"), F.lit(ROUTES)))
-    rows = rows.select("pair", "side", "id", "part", "n", "bits", route.alias("route")).repartition("route").sortWithinPartitions("route", "pair")
+    # Shingles of one family go to few tasks, which tell a pair once however many of them it shares; a
+    # large family is dealt over as many as its rows need.
+    family = materialize(rows.groupBy("least").agg(F.ceil(F.count("*") / ROUTE_ROWS).alias("routes")), "ngram-routes")
+    route = F.xxhash64("least", F.pmod(F.col("pair"), F.col("routes")))
+    rows = rows.join(sized(family), "least").join(bits, "id").select("pair", "side", "id", "part", "n", "bits", route.alias("route")).repartition("route").sortWithinPartitions("route", "pair")
     return rows.mapInArrow(step, LINKS).distinct()
 
 
@@ -360,11 +461,11 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     rows = shared.join(sized(parts), shared.id == parts.node, "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token", "least")
     rows = materialize(rows.join(mixed, "token"), "ngram-rows")
-    # A group of one block meets itself; larger ones are cut, and their blocks are the upper nodes.
-    whole = rows.where(F.col("m") <= BLOCK).select("least", F.xxhash64("token").alias("pair"), F.lit(2).alias("side"), "id", "part", "n")
-    cut_rows = whole.unionByName(_blocks_that_may_link(rows.where(F.col("m") > BLOCK), rule))
+    # A group of one tree meets itself; larger ones are cut, and their blocks are the upper nodes.
+    whole = rows.where(F.col("m") <= CROWDED).select("least", F.xxhash64("token").alias("pair"), F.lit(2).alias("side"), "id", "part", "n")
+    cut_rows = whole.unionByName(_blocks_that_may_link(rows.where(F.col("m") > CROWDED), rule))
     bits = sized(materialize(classes.select("id", "bits"), "ngram-bits"))
-    open_pairs = materialize(_across(cut_rows.join(bits, "id"), rule), "ngram-open")
+    open_pairs = materialize(_across(cut_rows, bits, rule), "ngram-open")
     second = materialize(_checked(open_pairs, plain.where("id is not null"), rule), "ngram-links")
     whole = components(links.union(second))
     # Copies of a class follow its first document.

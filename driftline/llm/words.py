@@ -7,6 +7,7 @@ characters are word bytes, so the cut is the same on bytes as on characters.
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import functools
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
@@ -116,6 +117,15 @@ def blocks(batches: Iterable[pa.RecordBatch], text: int = 1, size: int = 1_000_0
             to = max(at + 1, int(np.searchsorted(sizes, before + size, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that a finished task's texts took goes back to the system, so that waiting workers hold little."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def prefixes(texts: list[str | None], words: Words, sizes: tuple[int, ...]) -> np.ndarray:

@@ -143,3 +143,36 @@ def test_shards_of_one_id(spark, edge, none, tmp_path):
     write(edge, str(tmp_path / "out"), 100)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert back.count() == edge.count() and set(edge.columns) < set(back.columns)
+
+
+def test_dual_traversal_keeps_every_pair_that_links():
+    import numpy as np
+
+    from driftline.llm import ngram_join as J
+
+    rng = np.random.default_rng(4)
+    rule = J.Rule(3, 80)
+    sets, part = [], []
+    for family in range(6):
+        base = rng.integers(0, 2**63, rng.integers(30, 900), dtype=np.uint64)
+        for k in range(40):
+            keep = rng.random(len(base)) > rng.choice([0.0, 0.02, 0.1, 0.3])
+            sets.append(np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, rng.integers(0, 30), dtype=np.uint64)])))
+            part.append(family if k < 10 else 1000 + len(sets))
+
+    def bitmap(s):
+        few = int(J._thinned(len(s)))
+        some = J.mix(s)
+        return J._bitmap(some[some >> np.uint64(64 - few) == 0] if few else some, J.BITMAP)
+
+    n, part, bits = np.array([len(s) for s in sets]), np.array(part), np.array([bitmap(s) for s in sets])
+    links = {(i, j) for i in range(len(sets)) for j in range(i) if part[i] != part[j] and rule.linked(J._common(sets[i], sets[j]), n[i] + n[j])}
+    tree = J.Signatures(n, part, bits, 4)
+    found = {(max(i, j), min(i, j)) for x, y in J._traversed(tree, tree, rule) for i, j in zip(x.tolist(), y.tolist())}
+    assert len(links) > 300 and links <= found and len(found) < len(sets) ** 2 / 4
+    assert all(part[i] != part[j] for i, j in found)
+    half = np.arange(len(sets)) % 2 == 0
+    one, two = (J.Signatures(n[k], part[k], bits[k], 3) for k in (half, ~half))
+    at = [np.flatnonzero(half), np.flatnonzero(~half)]
+    across = {tuple(sorted((int(at[0][i]), int(at[1][j])), reverse=True)) for x, y in J._traversed(one, two, rule) for i, j in zip(x, y)}
+    assert {p for p in links if (p[0] + p[1]) % 2} <= across
