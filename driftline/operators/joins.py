@@ -64,14 +64,14 @@ def merge_pairs(alerts: DataFrame, best: DataFrame) -> DataFrame:
     )
 
 
-def top_peers(pairs: DataFrame, key: str, group: str, score: str, k: int) -> DataFrame:
-    """Up to ``k`` best-scored other members of each member's group.
+def top_peers(pairs: DataFrame, key: str, group: str, score: str, k: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Up to ``k`` best-scored other members of each member's group, with their ``carry`` columns as ``peer_<name>``.
 
     Only the group's top ``k + 1`` can be anyone's peers, so a group of any size is joined with
     ``k + 1`` rows and its pairs are never formed.
     """
     top = skew.latest_rows(pairs, [group], [F.desc(score), F.asc(key)], k + 1).select(
-        group, F.col(key).alias("peer"), F.col(score).alias("peer_score")
+        group, F.col(key).alias("peer"), F.col(score).alias("peer_score"), *[F.col(c).alias(f"peer_{c}") for c in carry]
     )
     j = pairs.join(top, group).where(F.col(key) != F.col("peer"))
     w = Window.partitionBy(key, group).orderBy(F.desc("peer_score"), F.asc("peer"))

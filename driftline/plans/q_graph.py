@@ -27,33 +27,34 @@ def edges(spark, sf):
 EDGE_SQL = f"""{STATUS_SQL}, {CASES_SQL}, al AS (SELECT *, is_anomaly OR is_detection OR status <> 'NOMINAL' AS alerting FROM sb),
   pr AS (SELECT norad_id, asset_norad, pair_risk, row_number() OVER (PARTITION BY asset_norad ORDER BY pair_risk DESC, norad_id) AS r FROM sb WHERE asset_norad IS NOT NULL),
   pe AS (SELECT a.norad_id, o.norad_id AS peer, row_number() OVER (PARTITION BY a.norad_id ORDER BY o.r) AS k FROM pr a JOIN pr o ON a.asset_norad = o.asset_norad AND a.norad_id <> o.norad_id),
-  ow AS (SELECT norad_id, id, row_number() OVER (PARTITION BY norad_id ORDER BY t_peak, id) AS k FROM cases),
+  ow AS (SELECT norad_id, id, strftime(t_peak, '%Y-%m-%d') AS t_peak, type LIKE 'placebo%' AS is_placebo, row_number() OVER (PARTITION BY norad_id ORDER BY t_peak, id) AS k FROM cases),
   pl AS (SELECT norad_id, id, t_peak, row_number() OVER (PARTITION BY t_peak ORDER BY norad_id, id) AS r FROM cases WHERE type LIKE 'placebo%'),
-  sp AS (SELECT c.norad_id, p.id AS pid, row_number() OVER (PARTITION BY c.id, c.norad_id ORDER BY p.r) AS k FROM cases c JOIN pl p ON c.t_peak = p.t_peak AND c.norad_id <> p.norad_id),
-  ed AS (SELECT 'sat:' || norad_id AS src, 'sat:' || asset_norad AS dst, 'threatens' AS type FROM al WHERE asset_norad IS NOT NULL
-   UNION ALL SELECT 'sat:' || norad_id, 'alert:' || norad_id, 'hasAlert' FROM al WHERE alerting UNION ALL SELECT 'alert:' || norad_id, 'sat:' || norad_id, 'source' FROM al WHERE alerting
-   UNION ALL SELECT 'sat:' || norad_id, 'wx:' || norad_id, 'weather' FROM al UNION ALL SELECT 'wx:' || norad_id, 'sat:' || norad_id, 'windowOf' FROM al
-   UNION ALL SELECT 'sat:' || norad_id, 'ev:' || norad_id, 'fusedAs' FROM al WHERE reliable UNION ALL SELECT 'ev:' || norad_id, 'sat:' || norad_id, 'about' FROM al WHERE reliable
-   UNION ALL SELECT 'sat:' || norad_id, 'sat:' || peer, 'sameAsset' FROM pe WHERE k <= 4
-   UNION ALL SELECT 'sat:' || asset_norad, 'sat:' || norad_id, 'threatenedBy' FROM pr WHERE r <= 4 AND asset_norad IN (SELECT norad_id FROM sb WHERE role = 'asset')
-   UNION ALL SELECT 'sat:' || norad_id, 'case:' || id, 'validatedBy' FROM ow WHERE k <= 3
-   UNION ALL SELECT 'sat:' || norad_id, 'case:' || pid, 'samePeak' FROM sp WHERE k <= 3)"""
-
-
-@query("n1_object_edges", f"WITH {EDGE_SQL} SELECT src, dst, type FROM ed")
+  sp AS (SELECT c.norad_id, p.id AS pid, strftime(c.t_peak, '%Y-%m-%d') AS t_peak, row_number() OVER (PARTITION BY c.id, c.norad_id ORDER BY p.r) AS k FROM cases c JOIN pl p ON c.t_peak = p.t_peak AND c.norad_id <> p.norad_id),
+  nm AS (SELECT norad_id, name FROM sb),
+  ed AS (SELECT 'sat:' || norad_id AS src, 'sat:' || asset_norad AS dst, 'threatens' AS type, printf('%s risk %.2f', risk_level, pair_risk) AS label, pair_risk::DOUBLE AS pair_risk, pair_dist::DOUBLE AS distance_km, NULL::VARCHAR AS t_peak, NULL::BOOLEAN AS is_placebo FROM al WHERE asset_norad IS NOT NULL
+   UNION ALL SELECT 'sat:' || norad_id, 'alert:' || norad_id, 'hasAlert', status, NULL, NULL, NULL, NULL FROM al WHERE alerting UNION ALL SELECT 'alert:' || norad_id, 'sat:' || norad_id, 'source', name, NULL, NULL, NULL, NULL FROM al WHERE alerting
+   UNION ALL SELECT 'sat:' || norad_id, 'wx:' || norad_id, 'weather', 'daily index', NULL, NULL, NULL, NULL FROM al UNION ALL SELECT 'wx:' || norad_id, 'sat:' || norad_id, 'windowOf', name, NULL, NULL, NULL, NULL FROM al
+   UNION ALL SELECT 'sat:' || norad_id, 'ev:' || norad_id, 'fusedAs', printf('Bel %.2f', score::DOUBLE), NULL, NULL, NULL, NULL FROM al WHERE reliable UNION ALL SELECT 'ev:' || norad_id, 'sat:' || norad_id, 'about', name, NULL, NULL, NULL, NULL FROM al WHERE reliable
+   UNION ALL SELECT 'sat:' || pe.norad_id, 'sat:' || peer, 'sameAsset', nm.name, o.pair_risk, NULL, NULL, NULL FROM pe JOIN nm ON nm.norad_id = peer JOIN pr o ON o.norad_id = peer WHERE k <= 4
+   UNION ALL SELECT 'sat:' || asset_norad, 'sat:' || pr.norad_id, 'threatenedBy', nm.name, pair_risk, NULL, NULL, NULL FROM pr JOIN nm ON nm.norad_id = pr.norad_id WHERE r <= 4 AND asset_norad IN (SELECT norad_id FROM sb WHERE role = 'asset')
+   UNION ALL SELECT 'sat:' || norad_id, 'case:' || id, 'validatedBy', id, NULL, NULL, t_peak, is_placebo FROM ow WHERE k <= 3
+   UNION ALL SELECT 'sat:' || norad_id, 'case:' || pid, 'samePeak', pid, NULL, NULL, t_peak, true FROM sp WHERE k <= 3)"""
+
+
+@query("n1_object_edges", f"WITH {EDGE_SQL} SELECT src, dst, type, label, pair_risk, distance_km, t_peak, is_placebo FROM ed")
 def n1(spark, sf):
-    return edges(spark, sf)
+    return edges(spark, sf).withColumn("t_peak", F.col("t_peak").cast("string"))
 
 
-NODE_SQL = f"""{EDGE_SQL}, nd AS (SELECT 'sat:' || norad_id AS id, 'satellite' AS kind, name AS label FROM al UNION ALL SELECT 'alert:' || norad_id, 'alert', status FROM al WHERE alerting
-   UNION ALL SELECT 'ev:' || norad_id, 'evidence', 'belief' FROM al WHERE reliable UNION ALL SELECT 'wx:' || norad_id, 'weather', 'daily index' FROM al
-   UNION ALL SELECT DISTINCT 'case:' || id, 'case', id FROM cases
-   UNION ALL SELECT DISTINCT 'doc:' || regexp_replace(lower(s), '[^a-z0-9]', '-', 'g'), 'document', s FROM (SELECT unnest(sources) AS s FROM cases))"""
+NODE_SQL = f"""{EDGE_SQL}, nd AS (SELECT 'sat:' || norad_id AS id, 'satellite' AS kind, name AS label, role, status, score::DOUBLE AS score FROM al UNION ALL SELECT 'alert:' || norad_id, 'alert', status, role, status, attention::DOUBLE FROM al WHERE alerting
+   UNION ALL SELECT 'ev:' || norad_id, 'evidence', 'belief', NULL, NULL, score::DOUBLE FROM al WHERE reliable UNION ALL SELECT 'wx:' || norad_id, 'weather', 'daily index', NULL, NULL, NULL FROM al
+   UNION ALL SELECT DISTINCT 'case:' || id, 'case', id, NULL, type, NULL FROM cases
+   UNION ALL SELECT DISTINCT 'doc:' || regexp_replace(lower(s), '[^a-z0-9]', '-', 'g'), 'document', s, NULL, NULL, NULL FROM (SELECT unnest(sources) AS s FROM cases))"""
 
 
-@query("n1_object_nodes", f"WITH {NODE_SQL} SELECT id, kind, label FROM nd")
+@query("n1_object_nodes", f"WITH {NODE_SQL} SELECT id, kind, label, role, status, round(score, 6) AS score FROM nd")
 def n1n(spark, sf):
-    return G.nodes(graph_board(spark, sf), cases(spark, sf))
+    return G.nodes(graph_board(spark, sf), cases(spark, sf)).withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -74,7 +75,22 @@ def n2(spark, sf):
 def n3(spark, sf):
     """Two hops around every protected asset."""
     starts = graph_board(spark, sf).where("asset_norad IS NOT NULL").select(G.oid("sat", "asset_norad").alias("id")).distinct()
-    return G.neighbourhood(edges(spark, sf), starts, 2).select("start", "id", F.col("hop").cast("bigint").alias("hop"))
+    found, _ = G.neighbourhood(edges(spark, sf), starts, 2)
+    return found.select("start", "id", F.col("hop").cast("bigint").alias("hop"))
+
+
+@query(
+    "n3_traversed_edges",
+    f"""WITH RECURSIVE {EDGE_SQL}, e AS (SELECT DISTINCT src, dst FROM ed), s AS (SELECT DISTINCT 'sat:' || asset_norad AS start FROM sb WHERE asset_norad IS NOT NULL),
+    rc AS (SELECT start, start AS id, 0 AS hop FROM s UNION SELECT start, dst, hop + 1 FROM rc JOIN e ON rc.id = e.src WHERE hop < 2),
+    n AS (SELECT start, id, min(hop) AS hop FROM rc GROUP BY ALL)
+    SELECT DISTINCT start, (hop + 1)::BIGINT AS hop, src, dst, type, label, pair_risk FROM n JOIN ed ON n.id = ed.src WHERE hop < 2""",
+)
+def n3e(spark, sf):
+    """The edges walked on the way, with their properties."""
+    starts = graph_board(spark, sf).where("asset_norad IS NOT NULL").select(G.oid("sat", "asset_norad").alias("id")).distinct()
+    _, walked = G.neighbourhood(edges(spark, sf), starts, 2)
+    return walked.select("start", F.col("hop").cast("bigint").alias("hop"), "src", "dst", "type", "label", "pair_risk").distinct()
 
 
 @query(
@@ -111,9 +127,9 @@ def n5(spark, sf):
 
 @query(
     "n6_star_graph",
-    f"""WITH {EDGE_SQL}, rk AS (SELECT *, row_number() OVER (PARTITION BY src, type ORDER BY dst) AS k FROM ed WHERE src LIKE 'sat:%' AND type IN ('threatens','hasAlert','validatedBy','weather','fusedAs'))
+    f"""WITH {EDGE_SQL}, rk AS (SELECT src, dst, type, row_number() OVER (PARTITION BY src, type ORDER BY dst) AS k FROM ed WHERE src LIKE 'sat:%' AND type IN ('threatens','hasAlert','validatedBy','weather','fusedAs'))
     SELECT src, dst, type FROM rk WHERE k <= CASE type WHEN 'validatedBy' THEN 2 ELSE 1 END""",
 )
 def n6(spark, sf):
     kinds = F.col("src").startswith("sat:") & F.col("type").isin("threatens", "hasAlert", "validatedBy", "weather", "fusedAs")
-    return G.star(edges(spark, sf), kinds, {"validatedBy": 2})
+    return G.star(edges(spark, sf), kinds, {"validatedBy": 2}).select("src", "dst", "type")

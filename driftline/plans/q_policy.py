@@ -406,16 +406,18 @@ TOK = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]{{3,}}'),
 
 @query(
     "h9_keyword_retrieval",
-    f"""WITH {CHUNK_SQL}, q AS (SELECT list_distinct({TOK('text')}) AS q FROM benchmark WHERE item_id = (SELECT min(item_id) FROM benchmark)),
-    s AS (SELECT path, chunk_no, part, len(list_intersect(list_distinct({TOK("heading || ' ' || body[part*1800 + 1 : part*1800 + 1800]")}), q)) AS ov, len(list_intersect(list_distinct({TOK('heading')}), q)) > 0 AS hh
-      FROM (SELECT *, unnest(range(0, (length(body) - 1) // 1800 + 1)) AS part FROM ch WHERE length(body) >= 40), q)
-    SELECT path, chunk_no, part, ov + CASE WHEN hh THEN 2 ELSE 0 END AS score FROM s WHERE ov > 0 ORDER BY score DESC, path, chunk_no, part LIMIT 20""",
+    f"""WITH {CHUNK_SQL}, q AS (SELECT DISTINCT item_id, unnest({TOK('text')}) AS t FROM benchmark),
+    c AS (SELECT path, chunk_no, part, list_distinct({TOK("heading || ' ' || body[part*1800 + 1 : part*1800 + 1800]")}) AS ts, list_distinct({TOK('heading')}) AS hs
+      FROM (SELECT *, unnest(range(0, (length(body) - 1) // 1800 + 1)) AS part FROM ch WHERE length(body) >= 40)),
+    e AS (SELECT path, chunk_no, part, t, list_contains(hs, t) AS h FROM (SELECT *, unnest(ts) AS t FROM c)),
+    s AS (SELECT item_id, path, chunk_no, part, count(*) + CASE WHEN bool_or(h) THEN 2 ELSE 0 END AS score FROM e JOIN q USING (t) GROUP BY ALL)
+    SELECT item_id, path, chunk_no, part, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, path, chunk_no, part) AS rank FROM s) WHERE rank <= 20""",
 )
 def h9(spark, sf):
-    b = table(spark, sf, "benchmark")
-    q = b.agg(F.min_by("text", "item_id").alias("t")).select(F.array_distinct(X.tokens(F.col("t")))).scalar()
-    hits = TX.retrieve(TX.markdown_chunks(marked_documents(spark, sf), "path", "text"), q, "path", "heading", "text")
-    return hits.orderBy(F.desc("score"), "path", "chunk_no", "part").limit(20).select("path", "chunk_no", "part", F.col("score").cast("bigint").alias("score"))
+    """The twenty best text sections of every benchmark item."""
+    chunks = TX.markdown_chunks(marked_documents(spark, sf), "path", "text")
+    hits = TX.retrieve_all(chunks, table(spark, sf, "benchmark"), "item_id", "text", ["path", "chunk_no", "part"], "heading", "text", 20)
+    return hits.select("item_id", "path", "chunk_no", "part", F.col("score").cast("bigint").alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 @query(

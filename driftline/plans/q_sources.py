@@ -409,8 +409,8 @@ def a20(spark, sf):
 
 
 def event_docs(spark, sf):
-    """Event-case JSON: one case per customer of the first user range, dated in the data's month."""
-    c = table(spark, sf, "customer").where("c_custkey % 10 = 4")
+    """Event-case JSON: one case per customer, dated in the data's month."""
+    c = table(spark, sf, "customer")
     day = lambda d: F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), d), "yyyy-MM-dd")
     k = F.col("c_custkey")
     ev = F.struct(
@@ -419,7 +419,7 @@ def event_docs(spark, sf):
         day((k % 3 + 12).cast("int")).alias("t_start"), day((k % 4 + 20).cast("int")).alias("t_peak"),
         day(F.lit(27)).alias("t_end"),
         F.when(k % 20 == 4, "placebo_quiet").otherwise("shadowing").alias("type"),
-        F.when(k % 20 == 4, "control").otherwise(F.when(k % 30 == 14, "geo").otherwise("core")).alias("panel"),
+        F.when(k % 20 == 4, "control").otherwise(F.when(k % 6 == 2, "geo").otherwise("core")).alias("panel"),
         F.array(F.concat(F.lit("Report "), F.col("c_nationkey").cast("string")), F.lit("Open press")).alias("sources"),
         F.col("c_mktsegment").alias("notes"),
     )
@@ -435,8 +435,8 @@ def event_cases(spark, sf):
 CASES_SQL = """cases AS (SELECT 'case_' || c_custkey AS id, unnest([c_custkey, c_custkey + 1]) AS norad_id,
     DATE '2024-01-01' + (c_custkey % 3 + 12)::INT AS t_start, DATE '2024-01-01' + (c_custkey % 4 + 20)::INT AS t_peak,
     DATE '2024-01-28' AS t_end, CASE WHEN c_custkey % 20 = 4 THEN 'placebo_quiet' ELSE 'shadowing' END AS type,
-    CASE WHEN c_custkey % 20 = 4 THEN 'control' WHEN c_custkey % 30 = 14 THEN 'geo' ELSE 'core' END AS panel,
-    ['Report ' || c_nationkey, 'Open press'] AS sources FROM customer WHERE c_custkey % 10 = 4)"""
+    CASE WHEN c_custkey % 20 = 4 THEN 'control' WHEN c_custkey % 6 = 2 THEN 'geo' ELSE 'core' END AS panel,
+    ['Report ' || c_nationkey, 'Open press'] AS sources FROM customer)"""
 
 
 @query(

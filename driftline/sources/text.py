@@ -133,3 +133,20 @@ def retrieve(chunks: DataFrame, query_tokens: Column, key: str, heading: str, te
     return chunks.withColumn("overlap", hits).where("overlap > 0").withColumn(
         "score", F.col("overlap") + F.when(head, 2).otherwise(0)
     )
+
+
+def retrieve_all(chunks: DataFrame, queries: DataFrame, query_id: str, query_text: str, keys: list[str], heading: str, text: str, k: int) -> DataFrame:
+    """The ``k`` best chunks of every query: ``query_id``, ``keys``, ``score`` and ``rank``, ties by ``keys``.
+
+    As :func:`retrieve`, for any number of queries. Chunks and queries meet on tokens, so only pairs with
+    an overlap are formed; they are counted before they move, and each task keeps ``k`` chunks a query.
+    """
+    from driftline.functions.scalars import tokens
+
+    head = F.array_distinct(tokens(F.col(heading)))
+    mine = chunks.select(*keys, head.alias("__h"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", heading, text)))).alias("__t"))
+    mine = mine.select(*keys, "__t", F.array_contains("__h", F.col("__t")).alias("__in"))
+    asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("__t"))
+    pairs = mine.join(asked, "__t").groupBy(query_id, *keys).agg((F.count("*") + F.when(F.max("__in"), 2).otherwise(0)).alias("score"))
+    w = Window.partitionBy(query_id).orderBy(F.desc("score"), *keys)
+    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
