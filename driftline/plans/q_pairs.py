@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftline.operators import pairs as P
 from driftline.plans.inputs import elements, events
 from driftline.plans.registry import query
-from driftline.session import table
+from driftline.session import materialize, table
 
 # Protected assets: the users whose id is a nation key. The nation table has a fixed 25 rows, so
 # the asset list does not grow with the data.
@@ -276,9 +276,20 @@ def pair_scores(spark, sf):
 
 @query("j7_pairs_report")
 def j7(spark, sf):
-    """Top three assets per suspect, highest risk first."""
-    top = P.top_pairs(pair_scores(spark, sf), "suspect_id", "pair_risk", "distance_km", "asset_id")
-    return top.orderBy(F.desc("pair_risk"), "distance_km", "suspect_id", "asset_id")
+    """Top three assets per suspect, highest risk first, with each suspect's best pair and the report's counters."""
+    return pairs_report(pair_scores(spark, sf))
+
+
+def pairs_report(scored):
+    scored = materialize(scored, "pair-scores")
+    hot = F.col("risk_level").isin("CRITICAL", "ELEVATED")
+    totals = scored.agg(
+        F.count("*").alias("n_pairs_scored"), F.countDistinct("suspect_id").alias("n_suspects"), F.countDistinct("asset_id").alias("n_assets"),
+        F.count_if(hot).alias("n_elevated"), F.count_if(F.col("risk_level") == "CRITICAL").alias("n_critical"),
+    )
+    top = P.top_pairs(scored, "suspect_id", "pair_risk", "distance_km", "asset_id")
+    top = top.withColumn("is_best", F.col("rank") == 1).withColumn("t", totals.select(F.struct(*totals.columns)).scalar())
+    return top.select(*[c for c in top.columns if c != "t"], "t.*").orderBy(F.desc("pair_risk"), "distance_km", "suspect_id", "asset_id")
 
 
 DCCA_SQL = f"""WITH s AS (SELECT user_id AS suspect_id, ts, event_id, value FROM events

@@ -100,8 +100,19 @@ def f8(spark, sf):
     return search(table(spark, sf, "customer"), "c_custkey", "c_name", "12").select("c_custkey", F.col("rank").cast("bigint").alias("rank"))
 
 
-def search(df, key: str, name: str, text: str, n: int = 8):
-    """Exact id, id prefix, name contains, then name subsequence (letters in order)."""
+@query(
+    "f8_name_search",
+    """WITH s AS (SELECT p_partkey, CASE WHEN contains(upper(p_name), 'RE') THEN 2 WHEN regexp_matches(upper(p_name), 'R.*E') THEN 3 END AS rank FROM part)
+    SELECT p_partkey, rank::BIGINT AS rank FROM s WHERE rank IS NOT NULL ORDER BY rank DESC, p_partkey LIMIT 40""",
+)
+def f8_name(spark, sf):
+    """Search by letters: names that hold the text, or its letters in order; the loosest hits are shown."""
+    hits = ranked_hits(table(spark, sf, "part"), "p_partkey", "p_name", "re")
+    return hits.orderBy(F.desc("rank"), "p_partkey").limit(40).select("p_partkey", F.col("rank").cast("bigint").alias("rank"))
+
+
+def ranked_hits(df, key: str, name: str, text: str):
+    """Exact id, id prefix, name contains, then name subsequence (letters in order): ``rank`` 0 to 3."""
     import re
 
     q = text.strip().upper()
@@ -110,7 +121,11 @@ def search(df, key: str, name: str, text: str, n: int = 8):
     rank = F.when(F.lit(q.isdigit()) & (ident == q), 0).when(F.lit(q.isdigit()) & ident.startswith(q), 1).when(up.contains(q), 2)
     if not q.isdigit():
         rank = rank.when(up.rlike(".*".join(re.escape(c) for c in q)), 3)
-    return df.withColumn("rank", rank).where("rank IS NOT NULL").orderBy("rank", key).limit(n)
+    return df.withColumn("rank", rank).where("rank IS NOT NULL")
+
+
+def search(df, key: str, name: str, text: str, n: int = 8):
+    return ranked_hits(df, key, name, text).orderBy("rank", key).limit(n)
 
 
 # --- distributions and calibration ------------------------------------------------------

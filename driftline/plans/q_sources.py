@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftline.operators.skew import keep_last, positions
-from driftline.plans.inputs import events, micros
+from driftline.plans.inputs import STATUS_SQL, events, micros
 from driftline.plans.registry import query
 from driftline.session import scratch_path, table
 from driftline.sources import catalogs as C
@@ -587,6 +587,36 @@ def check_contract(df, rules):
     return df.withColumn("violations", F.array_compact(F.array(*[F.when(c, k) for k, c in rules.items()])))
 
 
+@query(
+    "a26_declared_contracts",
+    f"""WITH {STATUS_SQL}, rw AS (SELECT norad_id, CASE WHEN norad_id % 7 = 0 THEN 'pending' ELSE role END AS role, score + CASE WHEN norad_id % 11 = 0 THEN 1 ELSE 0 END AS anomaly_score,
+       CASE WHEN norad_id % 13 <> 0 THEN attention END AS attention_score, CASE WHEN norad_id % 17 = 0 THEN 'HIGH' ELSE risk_level END AS risk_level, orbit_class, status, name,
+       CASE WHEN norad_id % 19 = 0 THEN 'DEEP' ELSE orbit_class END AS orbit, CASE WHEN norad_id % 23 = 0 THEN 'HOT' ELSE status END AS state FROM sb),
+    v AS (SELECT 'risk_row' AS contract, norad_id, concat_ws(';', CASE WHEN role NOT IN ('asset','suspect','baseline','unknown') THEN 'invalid role ' || role END, CASE WHEN anomaly_score < 0 THEN 'anomaly_score below 0' END,
+        CASE WHEN anomaly_score > 1 THEN 'anomaly_score above 1' END, CASE WHEN attention_score IS NULL THEN 'missing attention_score' END, CASE WHEN attention_score < 0 THEN 'attention_score below 0' END, CASE WHEN attention_score > 1 THEN 'attention_score above 1' END,
+        CASE WHEN risk_level NOT IN ('LOW','WATCH','ELEVATED','CRITICAL') THEN 'invalid risk_level ' || risk_level END) AS violations FROM rw
+      UNION ALL SELECT 'satellite', norad_id, concat_ws(';', CASE WHEN role = 'pending' THEN 'invalid role pending' END, CASE WHEN orbit = 'DEEP' THEN 'invalid orbit_class DEEP' END, CASE WHEN state = 'HOT' THEN 'invalid status HOT' END) FROM rw
+      UNION ALL SELECT 'investigation', norad_id, concat_ws(';', CASE WHEN norad_id % 29 = 0 THEN 'malformed id' END, CASE WHEN norad_id % 31 = 0 THEN 'invalid kind planet' END, CASE WHEN anomaly_score < 0 THEN 'score below 0' END, CASE WHEN anomaly_score > 1 THEN 'score above 1' END) FROM rw)
+    SELECT contract, norad_id, violations FROM v WHERE violations <> ''""",
+)
+def a26_declared(spark, sf):
+    """Every broken row of the board under the three declared contracts; some rows are broken by fixed formulas."""
+    from driftline.plans.inputs import status_board
+    from driftline.sources import contracts as CT
+
+    k = F.col("norad_id")
+    b = status_board(spark, sf).withColumn("role", F.when(k % 7 == 0, "pending").otherwise(F.col("role"))).withColumn("anomaly_score", F.col("score") + F.when(k % 11 == 0, 1).otherwise(0))
+    b = b.withColumn("attention_score", F.when(k % 13 != 0, F.col("attention"))).withColumn("risk_level", F.when(k % 17 == 0, "HIGH").otherwise(F.col("risk_level")))
+    satellite = b.withColumn("orbit_class", F.when(k % 19 == 0, "DEEP").otherwise(F.col("orbit_class"))).withColumn("status", F.when(k % 23 == 0, "HOT").otherwise(F.col("status")))
+    thing = b.select(
+        "norad_id", F.concat(F.when(k % 29 == 0, "SAT ").otherwise("sat:"), k.cast("string")).alias("id"), F.when(k % 31 == 0, "planet").otherwise("satellite").alias("kind"), F.lit("Entity").alias("category"),
+        F.col("name").alias("label"), F.col("anomaly_score").alias("score"),
+    )
+    parts = (("risk_row", b, CT.RISK_ROW), ("satellite", satellite, CT.SATELLITE), ("investigation", thing, CT.INVESTIGATION_OBJECT))
+    found = [CT.quarantine(df, c)[1].select(F.lit(n).alias("contract"), "norad_id", F.concat_ws(";", "violations").alias("violations")) for n, df, c in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 @query("a27_feature_sink")
 def a27(spark, sf):
     """Feature matrix written with id, window end and role, read back by role."""

@@ -201,3 +201,55 @@ def test_no_cross_joins(spark, sf):
     for name in ("c4_theta_pairs", "j1_ring_distance", "c7_peers_on_asset", "c8_fold_assignment"):
         text = plan(QUERIES[name](spark, sf))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+
+
+def test_split_falls_back_with_its_reason(spark):
+    from driftline.operators.training import split_with_fallback
+
+    rows = [(i, f"2024-01-{1 + i // 8:02d} {i % 8:02d}:00:00", int(i % 4 == 0)) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, t string, y int").withColumn("ts", F.col("t").cast("timestamp"))
+    ok = split_with_fallback(df, "ts", "y", ["id"], 0.2, 3)
+    assert {r["reason"] for r in ok.collect()} == {"temporal_purge_3d"} and ok.where("part = 'test'").count() == 40
+    late = df.withColumn("y", (F.col("id") >= 170).cast("int"))  # label 1 is never in the training part
+    got = split_with_fallback(late, "ts", "y", ["id"], 0.2, 3)
+    assert {r["reason"] for r in got.collect()} == {"random_fallback_class"}
+    per = {(r["y"], r["part"]): r["count"] for r in got.groupBy("y", "part").count().collect()}
+    assert per == {(0, "test"): 34, (0, "train"): 136, (1, "test"): 6, (1, "train"): 24}
+    again = split_with_fallback(late.repartition(7), "ts", "y", ["id"], 0.2, 3)
+    assert sorted(map(str, got.select("id", "part").collect())) == sorted(map(str, again.select("id", "part").collect()))
+    few = split_with_fallback(df.where("id < 24"), "ts", "y", ["id"], 0.2, 3)
+    assert {r["reason"] for r in few.collect()} == {"random_fallback_small"} and few.where("part = 'test'").count() in (4, 5, 6)
+
+
+def test_macro_f1_over_the_classes_that_occur(spark):
+    from driftline.plans.q_models import classifier_metrics
+
+    rows = [(0.0, 0.0), (0.0, 0.0), (0.0, 2.0), (2.0, 2.0), (2.0, 0.0), (1.0, 0.0)]
+    p = spark.createDataFrame([(y, z, [0.4, 0.1, 0.4, 0.1], "x") for y, z in rows], "label double, prediction double, proba array<double>, reason string")
+    got = {r["class"]: r for r in classifier_metrics(p).collect()}
+    assert got["NORMAL"]["f1"] == pytest.approx(4 / 7) and got["SUSPECT"]["f1"] == 0.5 and got["ANOMALOUS"]["f1"] == got["HOSTILE"]["f1"] == 0.0
+    assert got["NORMAL"]["macro_f1"] == pytest.approx((4 / 7 + 0.5 + 0.0) / 3) and got["NORMAL"]["accuracy"] == 0.5
+
+
+def test_contracts_name_every_broken_rule(spark):
+    from driftline.sources import contracts as CT
+
+    rows = [(1, "asset", 0.5, 0.5, None), (None, "boss", -0.1, None, 2.0), (3, None, float("nan"), 1.0, 0.0)]
+    df = spark.createDataFrame(rows, "norad_id long, role string, anomaly_score double, attention_score double, kelly_allocation double")
+    good, bad = CT.quarantine(df, CT.RISK_ROW)
+    assert [r["norad_id"] for r in good.collect()] == [1] and "violations" not in good.columns
+    assert {r["norad_id"]: r["violations"] for r in bad.collect()} == {
+        None: ["missing norad_id", "invalid role boss", "anomaly_score below 0", "missing attention_score", "kelly_allocation above 1"],
+        3: ["anomaly_score above 1"],
+    }
+    assert CT.check(df.drop("attention_score"), CT.RISK_ROW).where("norad_id = 1").first()["violations"] == ["missing attention_score"]
+
+
+def test_neighbourhood_returns_walked_edges(spark):
+    from driftline.operators.graph import neighbourhood
+
+    edges = spark.createDataFrame([("a", "b", "x", "1"), ("b", "c", "x", "2"), ("c", "d", "x", "3"), ("b", "a", "y", "4"), ("e", "a", "x", "5"), ("a", "b", "z", "6")], "src string, dst string, type string, label string")
+    nodes, walked = neighbourhood(edges, spark.createDataFrame([("a",), ("c",)], "id string"), 2)
+    assert {(r["start"], r["id"], r["hop"]) for r in nodes.collect()} == {("a", "a", 0), ("a", "b", 1), ("a", "c", 2), ("c", "c", 0), ("c", "d", 1)}
+    got = {(r["start"], r["hop"], r["src"], r["dst"], r["label"]) for r in walked.collect()}
+    assert got == {("a", 1, "a", "b", "1"), ("a", 1, "a", "b", "6"), ("a", 2, "b", "c", "2"), ("a", 2, "b", "a", "4"), ("c", 1, "c", "d", "3")}
