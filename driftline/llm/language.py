@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftline.llm.toxicity import remainder
-from driftline.llm.words import blocks
+from driftline.llm.words import blocks, mix
 
 UNKNOWN = "und"
 #: A block ends a phrase, so that one very long text is parsed like many short ones.
@@ -28,62 +28,103 @@ NO_LETTER = re.compile(r"[\W\d_]+")
 
 
 class Model(NamedTuple):
-    """One transition table of all languages' automata: ``table[state, symbol]``, -1 for none."""
+    """The automata of all languages side by side. Transitions stand in a hash table of keys
+    ``state * width + symbol``; ``slots`` holds the keys, -1 where free, ``targets`` the next states."""
 
     languages: list[str]
     symbols: np.ndarray
-    table: np.ndarray
+    slots: np.ndarray
+    targets: np.ndarray
     roots: np.ndarray
     bits: np.ndarray
 
+    @property
+    def width(self) -> int:
+        return len(self.symbols) + 1
+
+    def step(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """Next states, -1 where there is no transition."""
+        key = state * self.width + symbol
+        out = np.full(key.shape, -1, np.int64)
+        at, left = _slot(key.ravel(), len(self.slots)), np.arange(key.size)
+        flat, keys = out.ravel(), key.ravel()
+        while len(left):
+            found = self.slots[at]
+            hit = found == keys[left]
+            flat[left[hit]] = self.targets[at[hit]]
+            more = ~hit & (found >= 0)
+            left, at = left[more], (at[more] + 1) & (len(self.slots) - 1)
+        return flat.reshape(key.shape)
+
+
+def _slot(keys: np.ndarray, size: int) -> np.ndarray:
+    return (mix(keys.astype(np.uint64)) & np.uint64(size - 1)).astype(np.int64)
+
+
+def hashed(keys: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash table with linear probing of distinct keys, a quarter full at most."""
+    size = 1 << max(4, int(4 * len(keys)).bit_length())
+    slots, values = np.full(size, -1, np.int64), np.full(size, -1, np.int64)
+    at, left = _slot(keys, size), np.arange(len(keys))
+    while len(left):
+        free = slots[at] < 0
+        place, first = np.unique(np.where(free, at, -1), return_index=True)
+        first = first[place >= 0]  # one key per free slot
+        slots[at[first]], values[at[first]] = keys[left[first]], targets[left[first]]
+        rest = np.ones(len(left), bool)
+        rest[first] = False
+        left, at = left[rest], (at[rest] + 1) & (size - 1)
+    return slots, values
+
 
 def plain(text: str | None) -> str:
     """Lower case, with one space for everything between letters."""
     return NO_LETTER.sub(" ", (text or "").lower()).strip()
 
 
-def suffix_automaton(symbols: list[int], width: int) -> np.ndarray:
+def suffix_automaton(symbols: list[int]) -> list[dict[int, int]]:
     """Transitions of the smallest automaton that accepts every substring; state 0 is the root."""
-    size = 2 * len(symbols) + 2
-    table = np.full((size, width), -1, np.int32)
-    link, length = [-1] * size, [0] * size
-    states, last = 1, 0
+    steps: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for s in symbols:
-        new = states
-        states += 1
-        length[new] = length[last] + 1
+        new = len(steps)
+        steps.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and table[p, s] < 0:
-            table[p, s] = new
+        while p >= 0 and s not in steps[p]:
+            steps[p][s] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(table[p, s])
+        if p >= 0:
+            q = steps[p][s]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = states
-                states += 1
-                length[copy], link[copy] = length[p] + 1, link[q]
-                table[copy] = table[q]
-                while p >= 0 and table[p, s] == q:
-                    table[p, s] = copy
+                copy = len(steps)
+                steps.append(dict(steps[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and steps[p].get(s) == q:
+                    steps[p][s] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    return table[:states]
+    return steps
 
 
 def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", texts: int = 120, piece: int = 120, sample: F.Column | None = None) -> Model:
     """Automata of at most ``texts`` pieces of ``piece`` characters per language.
 
-    The pieces come from the labelled rows whose text has the lowest hashes; copies count once.
-    ``sample`` limits the rows to learn from. Rows without a language or text teach nothing.
+    The pieces come from the labelled rows whose text has the lowest hashes; copies count once. A piece
+    is cut from a text at a place that its hash chooses, so what many texts begin with does not teach
+    instead of them. Every symbol of the pieces counts, however many a language has. ``sample`` limits
+    the rows to learn from. Rows without a language or text teach nothing.
     """
     known = docs.where(F.col(lang_column).isNotNull() & F.col(text_column).rlike(r"\p{L}"))
     known = known if sample is None else known.where(sample)
-    known = known.select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(text_column).alias("h"), F.substring(text_column, 1, 4 * piece).alias("piece"))
+    known = known.select(F.col(lang_column).cast("string").alias("lang"), F.xxhash64(text_column).alias("h"), F.col(text_column).cast("string").alias("t"))
+    room = F.greatest(F.char_length("t") - piece, F.lit(0)) + 1
+    known = known.select("lang", "h", F.substring(F.col("t"), F.pmod(F.xxhash64("h"), room).cast("int") + 1, F.lit(4 * piece)).alias("piece"))
     # A share of the hash space that holds a few times the texts wanted; copies fall away before they move.
     sizes = known.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
     share = known.join(F.broadcast(sizes), "lang").where((F.col("h").cast("double") / 2.0**63 + 1) / 2 < 4.0 * texts / F.col("n") + 1e-9)
@@ -95,23 +136,25 @@ def fit(docs: DataFrame, text_column: str = "text", lang_column: str = "lang", t
         joined.setdefault(lang, []).append(plain(text)[:piece])
     languages = sorted(joined)
     if not languages:
-        return Model([], np.zeros(0, np.int32), np.zeros((0, 1), np.int32), np.zeros(0, np.int64), np.zeros(0))
+        none = np.zeros(0, np.int64)
+        return Model([], np.zeros(0, np.int32), *hashed(none, none), none, np.zeros(0))
     corpora = {k: np.frombuffer((" ".join(v) + " ").encode("utf-32-le"), np.int32) for k, v in joined.items()}
-    symbols, counts = np.unique(np.concatenate(list(corpora.values())), return_counts=True)
-    symbols = np.sort(symbols[np.argsort(-counts, kind="stable")][:255])
-    parts, roots, at = [], [], 0
+    symbols = np.unique(np.concatenate(list(corpora.values())))
+    keys, targets, roots, at = [], [], [], 0
     for k in languages:
-        codes = _codes(corpora[k], symbols)
-        part = suffix_automaton(codes[codes > 0].tolist(), len(symbols) + 1)
-        part[part >= 0] += at
+        steps = suffix_automaton(_codes(corpora[k], symbols).tolist())
+        for state, out in enumerate(steps, at):
+            keys += [state * (len(symbols) + 1) + s for s in out]
+            targets += [at + t for t in out.values()]
         roots.append(at)
-        parts.append(part)
-        at += len(part)
+        at += len(steps)
     bits = np.array([math.log2(max(2, len(corpora[k]))) for k in languages])
-    return Model(languages, symbols, np.vstack(parts), np.array(roots), bits)
+    return Model(languages, symbols, *hashed(np.array(keys, np.int64), np.array(targets, np.int64)), np.array(roots), bits)
 
 
 def _codes(points: np.ndarray, symbols: np.ndarray) -> np.ndarray:
+    if not len(symbols):
+        return np.zeros(len(points), np.int64)
     at = np.minimum(np.searchsorted(symbols, points), len(symbols) - 1)
     return np.where(symbols[at] == points, at + 1, 0)
 
@@ -133,19 +176,21 @@ def phrases(model: Model, texts: list[str]) -> np.ndarray:
     grid[filled] = codes
     order = np.argsort(-length, kind="stable")
     grid, length, owner = np.ascontiguousarray(grid[order].T), length[order], owner[order]
-    width, flat = model.table.shape[1], model.table.ravel()
+    # From the roots, all symbols at once; code 0 is a symbol never seen.
+    begin = model.step(np.repeat(model.roots[:, None], model.width, axis=1), np.broadcast_to(np.arange(model.width), (len(model.roots), model.width)))
     roots = np.broadcast_to(model.roots[:, None], (len(model.roots), len(owner)))
     state, count = roots.copy(), np.zeros(roots.shape, np.int32)
     live = np.searchsorted(-length, -np.arange(BLOCK), "left")  # blocks longer than each place
     for k in range(int(length.max())):
         m = live[k]
         symbol = grid[k, :m][None, :]
-        step = flat[state[:, :m] * width + symbol]
+        step = model.step(state[:, :m], symbol)
         stuck = step < 0
         # A phrase begins at the root, or with the symbol that the one before could not take. A symbol
-        # never seen in training is a phrase, too, and leads back to the root.
-        again = flat[roots[:, :m] * width + symbol]
-        count[:, :m] += stuck | (state[:, :m] == roots[:, :m])
+        # that a language never had leads back to the root and counts twice, as it has to be spelled
+        # out besides; or else it would cost no more than a known one that stands alone.
+        again = begin[:, grid[k, :m]]
+        count[:, :m] += (stuck | (state[:, :m] == roots[:, :m])).astype(np.int32) + (stuck & (again < 0))
         state[:, :m] = np.where(stuck, np.where(again < 0, roots[:, :m], again), step)
     for j in range(len(model.languages)):
         out[:, j] = np.bincount(owner, count[j], minlength=len(texts)).astype(np.int64)

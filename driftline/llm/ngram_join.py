@@ -78,6 +78,18 @@ def _thinned(n):
     return np.ceil(np.log2(np.maximum(n, 256) / 256)).astype(np.int64)
 
 
+def _fine(s: np.ndarray) -> bytes:
+    """Bitmap of all shingles of a set, two to four bits each: a power of two of 64-bit words."""
+    return _bitmap(mix(s), max(1, 1 << (max(0, 2 * len(s) - 1)).bit_length() >> 6)).tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap that the same shingles have at fewer words."""
+    while len(bits) > words:
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    return bits
+
+
 def _frequencies(docs: DataFrame, rule: Rule) -> np.ndarray:
     """How many shingles of the corpus fall in each of a fixed number of hash buckets."""
 
@@ -106,7 +118,7 @@ def _described(docs: DataFrame, rule: Rule) -> DataFrame:
             rows = []
             for s in shingles(block.column(1).to_pylist(), rule.words):
                 if not len(s):
-                    rows.append((0, 0, 0, [], bytes(8 * BITMAP)))
+                    rows.append((0, 0, 0, [], bytes(8 * BITMAP), b""))
                     continue
                 # Rare buckets first; any order will do if it is the same for all documents.
                 order = (frequency[s >> np.uint64(64 - BUCKET_BITS)] << np.uint64(34)) | (s & np.uint64((1 << 34) - 1))
@@ -115,14 +127,14 @@ def _described(docs: DataFrame, rule: Rule) -> DataFrame:
                 marks = np.array([s.sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).view(np.int64)
                 some, few = mix(s), int(_thinned(len(s)))
                 some = some[some >> np.uint64(64 - few) == 0] if few else some
-                rows.append((len(s), *marks.tolist(), rare.view(np.int64), _bitmap(some, BITMAP).tobytes()))
-            n, f1, f2, rare, bits = zip(*rows) if rows else ([],) * 5
+                rows.append((len(s), *marks.tolist(), rare.view(np.int64), _bitmap(some, BITMAP).tobytes(), _fine(s)))
+            n, f1, f2, rare, bits, fine = zip(*rows) if rows else ([],) * 6
             yield pa.record_batch(
-                [block.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(list(rare), pa.list_(pa.int64())), pa.array(list(bits), pa.binary())],
-                names=["id", "n", "f1", "f2", "rare", "bits"],
+                [block.column(0), pa.array(n, pa.int64()), pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(list(rare), pa.list_(pa.int64())), pa.array(list(bits), pa.binary()), pa.array(list(fine), pa.binary())],
+                names=["id", "n", "f1", "f2", "rare", "bits", "fine"],
             )
 
-    return materialize(docs.mapInArrow(step, "id long, n long, f1 long, f2 long, rare array<long>, bits binary"), "ngram-sets")
+    return materialize(docs.mapInArrow(step, "id long, n long, f1 long, f2 long, rare array<long>, bits binary, fine binary"), "ngram-sets")
 
 
 class Tree:
@@ -404,6 +416,29 @@ def _across(rows: DataFrame, bits: DataFrame, rule: Rule) -> DataFrame:
     return rows.mapInArrow(step, LINKS).distinct()
 
 
+def _refined(pairs: DataFrame, classes: DataFrame, rule: Rule) -> DataFrame:
+    """The open pairs that bitmaps of all shingles leave open, so that few whole texts have to move.
+
+    A bit that only one of two sets has stands for a shingle that only that set has.
+    """
+    side = lambda k: classes.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("fine").alias(f"f{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, 4):
+            good = []
+            for na, nb, fa, fb in zip(block.column(2).to_pylist(), block.column(3).to_pylist(), block.column(4).to_pylist(), block.column(5).to_pylist()):
+                x, y = np.frombuffer(fa, np.uint64), np.frombuffer(fb, np.uint64)
+                words = min(len(x), len(y))
+                x, y = _folded(x, words), _folded(y, words)
+                need = rule.overlap(na + nb)
+                good.append(int(np.bitwise_count(x & ~y).sum()) <= na - need and int(np.bitwise_count(y & ~x).sum()) <= nb - need)
+            keep = pa.array(good, pa.bool_())
+            yield pa.record_batch([block.column(0).filter(keep), block.column(1).filter(keep)], names=["a", "b"])
+
+    return both.mapInArrow(step, LINKS)
+
+
 def _checked(pairs: DataFrame, docs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs that link, told by their whole texts."""
     wanted = sized(materialize(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "ngram-wanted"))
@@ -430,7 +465,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     plain = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
     described = _described(plain, rule)
     usable = described.where("n > 0 and id is not null")
-    classes = materialize(usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("bits").alias("bits")), "ngram-classes")
+    classes = materialize(usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("bits").alias("bits"), F.first("fine").alias("fine")), "ngram-classes")
     tokens = classes.select("id", "n", F.explode("rare").alias("token"))
     shared = tokens.groupBy("token").agg(F.count("*").alias("m")).where("m > 1")
     shared = materialize(tokens.join(shared, "token"), "ngram-tokens")
@@ -466,6 +501,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     cut_rows = whole.unionByName(_blocks_that_may_link(rows.where(F.col("m") > CROWDED), rule))
     bits = sized(materialize(classes.select("id", "bits"), "ngram-bits"))
     open_pairs = materialize(_across(cut_rows, bits, rule), "ngram-open")
+    open_pairs = materialize(_refined(open_pairs, classes, rule), "ngram-refined")
     second = materialize(_checked(open_pairs, plain.where("id is not null"), rule), "ngram-links")
     whole = components(links.union(second))
     # Copies of a class follow its first document.

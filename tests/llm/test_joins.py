@@ -176,3 +176,23 @@ def test_dual_traversal_keeps_every_pair_that_links():
     at = [np.flatnonzero(half), np.flatnonzero(~half)]
     across = {tuple(sorted((int(at[0][i]), int(at[1][j])), reverse=True)) for x, y in J._traversed(one, two, rule) for i, j in zip(x, y)}
     assert {p for p in links if (p[0] + p[1]) % 2} <= across
+
+
+def test_fine_bitmaps_lose_no_link(spark):
+    import numpy as np
+
+    from driftline.llm import ngram_join as J
+
+    rng = np.random.default_rng(6)
+    rule, rows, pairs, want = J.Rule(3, 90), [], [], set()
+    for k in range(300):
+        base = rng.integers(0, 2**63, rng.integers(1, 1200), dtype=np.uint64)
+        keep = rng.random(len(base)) > rng.choice([0.0, 0.01, 0.05, 0.2])
+        x, y = np.unique(base), np.unique(np.concatenate([base[keep], rng.integers(0, 2**63, rng.integers(0, 20), dtype=np.uint64)]))
+        rows += [(2 * k, len(x), J._fine(x)), (2 * k + 1, len(y), J._fine(y))]
+        pairs.append((2 * k, 2 * k + 1))
+        if len(y) and rule.linked(J._common(x, y), len(x) + len(y)):
+            want.add((2 * k, 2 * k + 1))
+    assert len(rows[0][2]) * 8 >= 2 * rows[0][1] and all(len(f) % 8 == 0 and len(f) >= 8 for _, _, f in rows)
+    got = {tuple(r) for r in J._refined(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(rows, "id long, n long, fine binary"), rule).collect()}
+    assert want <= got and len(want) > 50 and len(got) < len(want) + 60
