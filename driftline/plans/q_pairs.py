@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from driftline.operators import pairs as P
@@ -233,19 +235,48 @@ def attach_conjunction(pairs, now):
     xa AS (SELECT suspect_id, asset_id, i, sma*cos(ph)*cos(radians(raan)) - sma*sin(ph)*cos(radians(inc))*sin(radians(raan)) AS x,
       sma*cos(ph)*sin(radians(raan)) + sma*sin(ph)*cos(radians(inc))*cos(radians(raan)) AS y, sma*sin(ph)*sin(radians(inc)) AS z FROM q, ph),
     xb AS (SELECT suspect_id, i AS j, a_sma*cos(ph)*cos(radians(a_raan)) - a_sma*sin(ph)*cos(radians(a_inc))*sin(radians(a_raan)) AS x,
-      a_sma*cos(ph)*sin(radians(a_raan)) + a_sma*sin(ph)*cos(radians(a_inc))*cos(radians(a_raan)) AS y, a_sma*sin(ph)*sin(radians(a_inc)) AS z FROM q, ph)
-    SELECT suspect_id, asset_id, round(sqrt(min((xa.x-xb.x)**2+(xa.y-xb.y)**2+(xa.z-xb.z)**2)), 3) AS range_km
-    FROM xa JOIN xb USING (suspect_id) GROUP BY ALL""",
+      a_sma*cos(ph)*sin(radians(a_raan)) + a_sma*sin(ph)*cos(radians(a_inc))*cos(radians(a_raan)) AS y, a_sma*sin(ph)*sin(radians(a_inc)) AS z FROM q, ph),
+    dx AS (SELECT suspect_id, asset_id, xa.i, xb.j, (xa.x-xb.x)**2+(xa.y-xb.y)**2+(xa.z-xb.z)**2 AS d2, xa.x AS ax, xa.y AS ay, xa.z AS az, xb.x AS bx, xb.y AS by, xb.z AS bz FROM xa JOIN xb USING (suspect_id)),
+    g AS (SELECT suspect_id, asset_id, min(d2) AS d2, min_by(ax, d2) AS ax, min_by(ay, d2) AS ay, min_by(az, d2) AS az, min_by(bx, d2) AS bx, min_by(by, d2) AS by, min_by(bz, d2) AS bz FROM dx GROUP BY ALL),
+    k AS (SELECT unnest(range(0, 541)) AS k),
+    tt AS (SELECT q.*, k, 2*pi()*mm*((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts))/1e6 + k*20)/86400 AS pa, 2*pi()*a_mm*((epoch_us(TIMESTAMP '{NOW}') - epoch_us(a_ts))/1e6 + k*20)/86400 AS pb FROM q, k),
+    td AS (SELECT suspect_id, k, sqrt((sma*cos(pa)*cos(radians(raan)) - sma*sin(pa)*cos(radians(inc))*sin(radians(raan)) - a_sma*cos(pb)*cos(radians(a_raan)) + a_sma*sin(pb)*cos(radians(a_inc))*sin(radians(a_raan)))**2
+      + (sma*cos(pa)*sin(radians(raan)) + sma*sin(pa)*cos(radians(inc))*cos(radians(raan)) - a_sma*cos(pb)*sin(radians(a_raan)) - a_sma*sin(pb)*cos(radians(a_inc))*cos(radians(a_raan)))**2
+      + (sma*sin(pa)*sin(radians(inc)) - a_sma*sin(pb)*sin(radians(a_inc)))**2) AS d FROM tt),
+    tm AS (SELECT suspect_id, min(d) AS d, min_by(k, d)*20 AS s FROM td GROUP BY 1)
+    SELECT suspect_id, asset_id, round(sqrt(d2), 3) AS range_km, round(ax, 2) AS ax, round(ay, 2) AS ay, round(az, 2) AS az, round(bx, 2) AS bx, round(by, 2) AS by, round(bz, 2) AS bz,
+      round(d, 3) AS temporal_km, s::BIGINT AS temporal_s FROM g JOIN tm USING (suspect_id)""",
 )
 def j5(spark, sf):
-    s, a = element_pairs(spark, sf)
-    p = P.with_assets(s, a, "suspect_id", A_COLS)
-    d = p.select("*", P.asset_distance(ME(), IT(), 2000.0).alias("__d"))
-    best = d.groupBy("suspect_id").agg(
-        F.min_by(F.struct(*[c for c in p.columns if c != "suspect_id"]), F.struct("__d", "asset_id")).alias("b")
-    ).select("suspect_id", "b.*")
+    """Where the rings of every suspect and its nearest asset come closest, and when the two do within three hours."""
+    best = nearest_pairs(spark, sf)
     c = P.closest_on_rings(ME(), IT(), 120)
-    return best.select("suspect_id", "asset_id", F.round(c["range_km"], 3).alias("range_km"))
+    phase = lambda n: F.col(f"c.{n}") * (2 * math.pi / 120)
+    geo = best.withColumn("c", c)
+    geo = geo.select("suspect_id", "asset_id", "c.range_km", P.on_ring(ME(), phase("i")).alias("p"), P.on_ring(IT(), phase("j")).alias("q"))
+    when = P.temporal_closest(best, ["suspect_id"], ME(), IT(), F.lit(NOW).cast("timestamp"))
+    points = [F.round(f"{s}.{x}", 2).alias(f"{n}{x}") for s, n in (("p", "a"), ("q", "b")) for x in "xyz"]
+    return geo.join(when.select("suspect_id", "grid_km", "grid_s"), "suspect_id").select(
+        "suspect_id", "asset_id", F.round("range_km", 3).alias("range_km"), *points, F.round("grid_km", 3).alias("temporal_km"), F.col("grid_s").cast("bigint").alias("temporal_s")
+    )
+
+
+def nearest_pairs(spark, sf):
+    """Every suspect's latest elements with those of its nearest asset, however far."""
+    s, a = element_pairs(spark, sf)
+    s, a = materialize(s, "suspects"), materialize(a, "assets")
+    near = P.near_assets(s, a, ["suspect_id"], 2000.0)
+    at = P.asset_distance({"a": F.col("sma"), "inc": F.col("inc"), "raan": F.col("raan")}, IT(), 2000.0)
+    best = near.groupBy("suspect_id").agg(F.min_by("asset_id", F.struct(at, "asset_id")).alias("asset_id"))
+    return materialize(s.join(best, "suspect_id").join(a, "asset_id"), "nearest-pairs")
+
+
+@query("j5_temporal_refined")
+def j5_refined(spark, sf):
+    """Moment and places of the closest approach of every suspect and its nearest asset, between the steps."""
+    t = P.temporal_closest(nearest_pairs(spark, sf), ["suspect_id", "asset_id"], ME(), IT(), F.lit(NOW).cast("timestamp"))
+    points = [F.round(f"point_{n}.{x}", 3).alias(f"{n}{x}") for n in "ab" for x in "xyz"]
+    return t.select("suspect_id", "asset_id", F.round("range_km", 3).alias("range_km"), F.round("tca_s", 1).alias("tca_s"), *points)
 
 
 @query("j6_pair_score")
