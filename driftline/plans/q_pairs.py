@@ -236,15 +236,15 @@ def attach_conjunction(pairs, now):
       sma*cos(ph)*sin(radians(raan)) + sma*sin(ph)*cos(radians(inc))*cos(radians(raan)) AS y, sma*sin(ph)*sin(radians(inc)) AS z FROM q, ph),
     xb AS (SELECT suspect_id, i AS j, a_sma*cos(ph)*cos(radians(a_raan)) - a_sma*sin(ph)*cos(radians(a_inc))*sin(radians(a_raan)) AS x,
       a_sma*cos(ph)*sin(radians(a_raan)) + a_sma*sin(ph)*cos(radians(a_inc))*cos(radians(a_raan)) AS y, a_sma*sin(ph)*sin(radians(a_inc)) AS z FROM q, ph),
-    dx AS (SELECT suspect_id, asset_id, xa.i, xb.j, (xa.x-xb.x)**2+(xa.y-xb.y)**2+(xa.z-xb.z)**2 AS d2, xa.x AS ax, xa.y AS ay, xa.z AS az, xb.x AS bx, xb.y AS by, xb.z AS bz FROM xa JOIN xb USING (suspect_id)),
-    g AS (SELECT suspect_id, asset_id, min(d2) AS d2, min_by(ax, d2) AS ax, min_by(ay, d2) AS ay, min_by(az, d2) AS az, min_by(bx, d2) AS bx, min_by(by, d2) AS by, min_by(bz, d2) AS bz FROM dx GROUP BY ALL),
+    dx AS (SELECT suspect_id, asset_id, xa.i, xb.j, (xa.x-xb.x)**2+(xa.y-xb.y)**2+(xa.z-xb.z)**2 AS d2, xa.x AS pax, xa.y AS pay, xa.z AS paz, xb.x AS pbx, xb.y AS pby, xb.z AS pbz FROM xa JOIN xb USING (suspect_id)),
+    g AS (SELECT suspect_id, asset_id, min(d2) AS d2, min_by(pax, d2) AS pax, min_by(pay, d2) AS pay, min_by(paz, d2) AS paz, min_by(pbx, d2) AS pbx, min_by(pby, d2) AS pby, min_by(pbz, d2) AS pbz FROM dx GROUP BY ALL),
     k AS (SELECT unnest(range(0, 541)) AS k),
     tt AS (SELECT q.*, k, 2*pi()*mm*((epoch_us(TIMESTAMP '{NOW}') - epoch_us(ts))/1e6 + k*20)/86400 AS pa, 2*pi()*a_mm*((epoch_us(TIMESTAMP '{NOW}') - epoch_us(a_ts))/1e6 + k*20)/86400 AS pb FROM q, k),
     td AS (SELECT suspect_id, k, sqrt((sma*cos(pa)*cos(radians(raan)) - sma*sin(pa)*cos(radians(inc))*sin(radians(raan)) - a_sma*cos(pb)*cos(radians(a_raan)) + a_sma*sin(pb)*cos(radians(a_inc))*sin(radians(a_raan)))**2
       + (sma*cos(pa)*sin(radians(raan)) + sma*sin(pa)*cos(radians(inc))*cos(radians(raan)) - a_sma*cos(pb)*sin(radians(a_raan)) - a_sma*sin(pb)*cos(radians(a_inc))*cos(radians(a_raan)))**2
       + (sma*sin(pa)*sin(radians(inc)) - a_sma*sin(pb)*sin(radians(a_inc)))**2) AS d FROM tt),
     tm AS (SELECT suspect_id, min(d) AS d, min_by(k, d)*20 AS s FROM td GROUP BY 1)
-    SELECT suspect_id, asset_id, round(sqrt(d2), 3) AS range_km, round(ax, 2) AS ax, round(ay, 2) AS ay, round(az, 2) AS az, round(bx, 2) AS bx, round(by, 2) AS by, round(bz, 2) AS bz,
+    SELECT suspect_id, asset_id, round(sqrt(d2), 3) AS range_km, round(CASE WHEN pax < 0 THEN -pax ELSE pax END, 2) AS pax, round(CASE WHEN pax < 0 THEN -pay ELSE pay END, 2) AS pay, round(CASE WHEN pax < 0 THEN -paz ELSE paz END, 2) AS paz, round(CASE WHEN pax < 0 THEN -pbx ELSE pbx END, 2) AS pbx, round(CASE WHEN pax < 0 THEN -pby ELSE pby END, 2) AS pby, round(CASE WHEN pax < 0 THEN -pbz ELSE pbz END, 2) AS pbz,
       round(d, 3) AS temporal_km, s::BIGINT AS temporal_s FROM g JOIN tm USING (suspect_id)""",
 )
 def j5(spark, sf):
@@ -255,7 +255,9 @@ def j5(spark, sf):
     geo = best.withColumn("c", c)
     geo = geo.select("suspect_id", "asset_id", "c.range_km", P.on_ring(ME(), phase("i")).alias("p"), P.on_ring(IT(), phase("j")).alias("q"))
     when = P.temporal_closest(best, ["suspect_id"], ME(), IT(), F.lit(NOW).cast("timestamp"))
-    points = [F.round(f"{s}.{x}", 2).alias(f"{n}{x}") for s, n in (("p", "a"), ("q", "b")) for x in "xyz"]
+    # Rings about one centre come as close on the far side; the side of positive x is told.
+    sign = F.when(F.col("p.x") < 0, -1.0).otherwise(1.0)
+    points = [F.round(F.col(f"{s}.{x}") * sign, 2).alias(f"p{n}{x}") for s, n in (("p", "a"), ("q", "b")) for x in "xyz"]
     return geo.join(when.select("suspect_id", "grid_km", "grid_s"), "suspect_id").select(
         "suspect_id", "asset_id", F.round("range_km", 3).alias("range_km"), *points, F.round("grid_km", 3).alias("temporal_km"), F.col("grid_s").cast("bigint").alias("temporal_s")
     )
