@@ -30,10 +30,11 @@ PURPOSE_SEVERITY = {
 }
 
 # English stop words left out of keyword retrieval.
-STOP_WORDS = (
-    "the a an of to and or for in on at is are was be this that with from by as it "
-    "not no we you our their if then than into over under its"
-).split()
+STOP_WORDS = [
+    "the", "a", "an", "of", "to", "and", "or", "for", "in", "on", "at", "is", "are", "was", "be", "this",
+    "that", "with", "from", "by", "as", "it", "not", "no", "we", "you", "our", "their", "if", "then", "than",
+    "into", "over", "under", "its",
+]
 
 # Name prefixes of the weather group.
 WEATHER_PREFIXES = [
@@ -168,6 +169,7 @@ def weak_label(f: dict[str, Column]) -> Column:
     changes, shannon, score = f["changes"], f["shannon"], f["score"]
     drag = (f["storm"] >= 0.5) | (f["ap"] >= 30.0) | (f["f107"] >= 180.0)
     lim = lambda stormy, calm: F.when(drag, stormy).otherwise(calm)
+    # The cut-points of the rules, in their order.
     close_active = (dist < 25.0) & (
         (delta > lim(3.0, 2.0)) | (dfa > 0.6) | (coint < 0.05) | (score > 0.55)
     )
