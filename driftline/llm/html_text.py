@@ -24,21 +24,37 @@ PIECES = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textare
 MARKS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 NAME = re.compile(r"[a-z]+")
 CONTENT = {"article", "main"}
-CONTAINERS = set("body div section nav aside header footer article main form ul ol dl table figure details dialog fieldset menu blockquote".split())
-BLOCKS = CONTAINERS | set("p h1 h2 h3 h4 h5 h6 li dt dd tr td th pre figcaption caption address hr summary legend option select button label head html thead tbody tfoot hgroup search".split())
+CONTAINERS = {
+    "body", "div", "section", "nav", "aside", "header", "footer", "article", "main", "form", "ul", "ol",
+    "dl", "table", "figure", "details", "dialog", "fieldset", "menu", "blockquote",
+}
+BLOCKS = CONTAINERS | {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "tr", "td", "th", "pre", "figcaption",
+    "caption", "address", "hr", "summary", "legend", "option", "select", "button", "label", "head", "html",
+    "thead", "tbody", "tfoot", "hgroup", "search",
+}
 SIDE_TAGS = {"nav", "aside", "footer", "form", "menu", "dialog", "select", "button", "head", "search"}
 #: Parts of class names, ids and roles that tell of something beside the article.
-SIDE_NAMES = set(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr banner notice alert sidebar side menu nav navbar navigation "
-    "breadcrumb breadcrumbs footer masthead comment comments disqus respond reply replies share sharing social related recommended newsletter subscribe subscription popup modal "
-    "overlay widget pagination pager login signup search toolbar complementary contentinfo dialog form".split()
-)
+SIDE_NAMES = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "sponsor", "sponsored", "promo",
+    "promotion", "cookie", "cookies", "consent", "gdpr", "banner", "notice", "alert", "sidebar", "side",
+    "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "footer", "masthead", "comment",
+    "comments", "disqus", "respond", "reply", "replies", "share", "sharing", "social", "related",
+    "recommended", "newsletter", "subscribe", "subscription", "popup", "modal", "overlay", "widget",
+    "pagination", "pager", "login", "signup", "search", "toolbar", "complementary", "contentinfo", "dialog",
+    "form",
+}
 #: What stands before a side name when it tells of the layout of the whole: has-sidebar, with-nav, no-ads.
 LAYOUT = {"has", "with", "without", "no"}
 #: Other tags whose marks are read; a mark lasts to the end of its tag, where that is optional to the next such block.
-MARKED = set("p li dt dd tr td th h1 h2 h3 h4 h5 h6 span tbody thead tfoot figcaption caption address".split())
+MARKED = {
+    "p", "li", "dt", "dd", "tr", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "span", "tbody", "thead",
+    "tfoot", "figcaption", "caption", "address",
+}
 #: Tags that may be left open: a block that starts ends them.
-OPEN_ENDED = set("p li dt dd tr td th".split())
+OPEN_ENDED = {
+    "p", "li", "dt", "dd", "tr", "td", "th",
+}
 LIMIT = 5.0
 
 
