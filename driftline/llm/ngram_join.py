@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from driftline.llm.components import components
 from driftline.llm.joins import sized
+from driftline.llm.tables import forget
 from driftline.llm.words import NOT_SPACE, blocks, cut, mix, runs, small_batches
 from driftline.session import materialize
 
@@ -474,6 +475,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     anchor = materialize(anchor, "ngram-anchors")
     links = _linked(anchor, plain, rule)
     parts = materialize(components(links), "ngram-parts")
+    forget(docs.sparkSession)
     # Blocks and trees are merged by a few documents of each of their components, dealt anew.
     large, before = shared.where(F.col("m") > CROWD), None
     for deal in range(DEALS):
@@ -492,6 +494,7 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
             break
         before, links = n, materialize(links.union(_linked(speakers, plain, rule)), "ngram-links")
         parts = materialize(components(links), "ngram-parts")
+        forget(docs.sparkSession)
     # Then, per rare shingle, the blocks that hold more than one component.
     rows = shared.join(sized(parts), shared.id == parts.node, "left").select("token", "m", "id", "n", F.coalesce("component", "id").alias("part"))
     mixed = rows.groupBy("token").agg(F.min("part").alias("least"), F.max("part").alias("most")).where("least <> most").select("token", "least")
@@ -501,9 +504,12 @@ def near_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     cut_rows = whole.unionByName(_blocks_that_may_link(rows.where(F.col("m") > CROWDED), rule))
     bits = sized(materialize(classes.select("id", "bits"), "ngram-bits"))
     open_pairs = materialize(_across(cut_rows, bits, rule), "ngram-open")
+    forget(docs.sparkSession)
     open_pairs = materialize(_refined(open_pairs, classes, rule), "ngram-refined")
     second = materialize(_checked(open_pairs, plain.where("id is not null"), rule), "ngram-links")
+    forget(docs.sparkSession)
     whole = components(links.union(second))
+    forget(docs.sparkSession)
     # Copies of a class follow its first document.
     named = classes.join(whole, classes.id == whole.node, "left").select("f1", "f2", "n", F.coalesce("component", "id").alias("component"))
     out = described.join(named, ["f1", "f2", "n"], "left")

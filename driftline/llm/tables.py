@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import math
 from collections.abc import Callable, Iterator
 
@@ -9,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from driftline.llm.words import give_back
 from driftline.session import scratch_path
 
 
@@ -25,6 +27,16 @@ def drop(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def forget(spark: SparkSession) -> None:
+    """Frees what finished jobs left on the driver: their plans and broadcasts, and Python's buffers.
+
+    Plans are held by Python's objects, and broadcasts are cleaned once the JVM has collected theirs.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+    give_back()
+
+
 def totals(rows: DataFrame, partial: Callable[[Iterator[pa.RecordBatch]], np.ndarray], size: int, kind: type = np.float64) -> np.ndarray:
     """Sum over all tasks of the array of ``size`` numbers that ``partial`` makes of a task's batches.
 
