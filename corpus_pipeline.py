@@ -9,6 +9,7 @@ from driftline.llm.decontamination import decontaminate
 from driftline.llm.line_dedup import dedup_lines
 from driftline.llm.ngram_join import Rule, keep_first
 from driftline.llm.packing import pack
+from driftline.llm.tables import forget
 from driftline.llm.toxicity import keep_clean
 from driftline.llm.words import batches_of
 from driftline.session import materialize, table
@@ -62,4 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     with batches_of(spark):
         for name, stage in STAGES:
             docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+            forget(spark)
     return docs
