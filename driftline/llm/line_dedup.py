@@ -32,21 +32,27 @@ def _segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
     return i * size + F.greatest(F.lit(0), F.lit(i) - short), size + (F.lit(i) >= short).cast("int")
 
 
-def _key(line: Column, length: Column, i: int, start: Column, size: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(line, start + 1, size))
+def _key(line: Column, plain: Column, length: Column, i: int, start: Column, size: Column) -> Column:
+    """Hash of a substring with the length and number of its segment.
+
+    In a ``plain`` line characters are bytes, which are cut at once; elsewhere they have to be counted.
+    Equal substrings have equal bytes, and so equal hashes, either way.
+    """
+    piece = F.when(plain, F.substring(line.cast("binary"), start + 1, size)).otherwise(F.substring(line, start + 1, size).cast("binary"))
+    return F.xxhash64(length, F.lit(i), piece)
 
 
-def index_keys(line: Column, n: Column) -> Column:
+def index_keys(line: Column, n: Column, plain: Column) -> Column:
     """Hashes of the segments of a line, with its length and their number."""
     keys = []
     for edits in range(1, EDITS + 1):
         for i in range(edits + 1):
             start, size = _segment(n, edits, i)
-            keys.append(F.when(allowed(n) == edits, _key(line, n, i, start, size)))
+            keys.append(F.when(allowed(n) == edits, _key(line, plain, n, i, start, size)))
     return F.array_compact(F.array(*keys))
 
 
-def probe_keys(line: Column, n: Column) -> Column:
+def probe_keys(line: Column, n: Column, plain: Column) -> Column:
     """Hashes of the substrings that may be a segment of a line as long or up to ``EDITS`` shorter."""
     keys = []
     for edits in range(1, EDITS + 1):
@@ -58,7 +64,7 @@ def probe_keys(line: Column, n: Column) -> Column:
                 for shift in range(max(-i, less - (edits - i)), min(i, less + edits - i) + 1):
                     at = start + shift
                     fits = (allowed(other) == edits) & (at >= 0) & (at + size <= n)
-                    keys.append(F.when(fits, _key(line, other, i, at, size)))
+                    keys.append(F.when(fits, _key(line, plain, other, i, at, size)))
     return F.array_compact(F.array(*keys))
 
 
@@ -100,21 +106,22 @@ def _crowd_pairs(index: DataFrame, probe: DataFrame, lines: DataFrame) -> DataFr
 
 
 def _index(lines: DataFrame) -> DataFrame:
-    return lines.select(F.explode(index_keys(F.col("line"), F.col("n"))).alias("key"), "h")
+    return lines.select(F.explode(index_keys(F.col("line"), F.col("n"), F.col("plain"))).alias("key"), "h")
 
 
 def _probe(lines: DataFrame) -> DataFrame:
-    return lines.select(F.explode(probe_keys(F.col("line"), F.col("n"))).alias("key"), "h")
+    return lines.select(F.explode(probe_keys(F.col("line"), F.col("n"), F.col("plain"))).alias("key"), "h")
 
 
 def near_pairs(lines: DataFrame) -> DataFrame:
-    """Pairs of distinct lines (``h``, ``line``) that share a segment where it may stand.
+    """Pairs of distinct lines (``h``, ``line``, ``n``, ``plain``; a written table) that share a segment where it may stand.
 
     Lines of a segment that many have are parted further by their letters, so that a common phrase
     doesn't bring all its lines together; no pair within the edits is lost by it.
     """
-    lines = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= CHARS_PER_EDIT)
-    index, probe = _index(lines), _probe(lines).withColumnRenamed("h", "b")
+    lines = lines.where(F.col("n") >= CHARS_PER_EDIT)
+    # Segments are counted, joined and parted again, so they are written once.
+    index, probe = materialize(_index(lines), "line-segments"), _probe(lines).withColumnRenamed("h", "b")
     common = index.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > COMMON).select("key")
     common = materialize(common, "line-common")
     keys = sized(common)
@@ -139,7 +146,9 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     firsts = lines.groupBy("h", "h2").agg(F.min("place").alias("first"), F.count("*").alias("n"))
     copied = sized(materialize(firsts.where("n > 1").select("h", "h2", "first"), "line-copies"))
     single = lines.join(copied, ["h", "h2"], "left").where("first is null or first = place").drop("first")
-    pairs = materialize(near_pairs(single.select("h", "line")), "line-pairs")
+    n = F.char_length("line")
+    single = materialize(single.select("h", "h2", "line", "place", n.alias("n"), (F.octet_length("line") == n).alias("plain")), "line-single")
+    pairs = materialize(near_pairs(single.select("h", "line", "n", "plain")), "line-pairs")
     wanted = sized(materialize(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "line-wanted"))
     texts = materialize(single.join(wanted, "h").select("h", "h2", "line", "place"), "line-texts")
     one, two = (texts.select(F.col("h").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("h2", "line", "place"))) for k in ("a", "b"))
