@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from driftline.functions import scalars as X
 from driftline.functions import series as S
 from driftline.operators import windows as W
-from driftline.plans.inputs import BOARD_SQL, EL_SQL, STATUS_SQL, board, elements, events, micros, status_board
+from driftline.plans.inputs import BOARD_SQL, EL_SQL, STATUS_SQL, board, elements, events, status_board
 from driftline.plans.q_sources import CAT_SQL, CHUNK_SQL, marked_documents, watchlist
 from driftline.plans.registry import query
 from driftline.session import table
