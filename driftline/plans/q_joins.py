@@ -165,8 +165,7 @@ def c11(spark, sf):
     SELECT id, norad_id, round(min_by(score, (abs(d - t_peak), d)), 6) AS score_at_peak FROM j GROUP BY ALL""",
 )
 def c12(spark, sf):
-    c = event_cases(spark, sf).select("id", F.explode("norad_ids").alias("user_id"), "t_start", "t_peak", "t_end")
-    j = c.join(day_scores(spark, sf), "user_id").where(F.col("day").between(F.col("t_start"), F.col("t_end")))
+    j = J.daily_folds(event_cases(spark, sf), day_scores(spark, sf), "user_id", "day")
     near = F.struct(F.abs(F.datediff("day", "t_peak")), F.col("day"))
     return j.groupBy("id", F.col("user_id").alias("norad_id")).agg(F.round(F.min_by("score", near), 6).alias("score_at_peak"))
 

@@ -290,9 +290,9 @@ FOLD_SQL = f"""{CASES_SQL}, {DAY_SCORES_SQL}, f AS (SELECT id, norad_id, panel,
 
 def case_folds(spark, sf):
     """Daily as-of scores of every case target inside its window."""
-    folds = J.explode_folds(event_cases(spark, sf), 1).select("id", "norad_id", "panel", "type", "t_peak", "asof")
     s = day_scores(spark, sf).select(F.col("user_id").alias("norad_id"), F.col("day").alias("asof"), "score")
-    return folds.join(s, ["norad_id", "asof"]).withColumn("is_hit", F.col("score") >= THR)
+    f = J.daily_folds(event_cases(spark, sf), s, "norad_id", "asof")
+    return f.select("id", "norad_id", "panel", "type", "t_peak", "asof", "score", (F.col("score") >= THR).alias("is_hit"))
 
 
 G10_SQL = f"""{FOLD_SQL}, m AS (SELECT id, norad_id, panel, type, t_peak, count(*) AS n_folds, avg(score) AS score_mean, max(score) AS score_max,
@@ -332,8 +332,11 @@ def g11(spark, sf):
 
 
 def panel_metrics(spark, sf):
-    f = case_folds(spark, sf)
-    return V.target_metrics(f, THR, HIT_DAYS).join(V.pre_peak_noise(f, THR), ["id", "norad_id"], "left")
+    """Metrics of every target, written once: panels and their quantiles read them several times."""
+    from driftline.session import materialize
+
+    f = materialize(case_folds(spark, sf), "case-folds")
+    return materialize(V.target_panels(f, THR, HIT_DAYS), "target-metrics")
 
 
 PANEL_SQL = f"""{G10_SQL}, {G11_SQL}, pm AS (SELECT * FROM mm LEFT JOIN pq USING (id, norad_id)),
@@ -397,10 +400,12 @@ def g15(spark, sf):
       round(avg(CASE WHEN as_of < t_peak THEN score END) OVER w, 8) AS pre_mean, as_of < t_peak AS shaded FROM f WINDOW w AS (PARTITION BY id, norad_id)""",
 )
 def g16(spark, sf):
-    f = case_folds(spark, sf)
+    from pyspark.sql import Window
+
     pre = F.col("asof") < F.col("t_peak")
-    per = f.groupBy("id", "norad_id").agg(F.max("score").alias("mx"), F.avg(F.when(pre, F.col("score"))).alias("pm"))
-    return f.join(per, ["id", "norad_id"]).select(
+    w = Window.partitionBy("id", "norad_id")  # the days of one case
+    f = case_folds(spark, sf).withColumn("mx", F.max("score").over(w)).withColumn("pm", F.avg(F.when(pre, F.col("score"))).over(w))
+    return f.select(
         "id", "norad_id", F.col("asof").cast("string").alias("asof"), F.round("score", 8).alias("score"), F.round("mx", 8).alias("max_score"), F.round("pm", 8).alias("pre_mean"), pre.alias("shaded")
     )
 
@@ -448,7 +453,10 @@ def v1(spark, sf):
 @query("v1_mann_whitney_p")
 def v1p(spark, sf):
     """Interest against control: maxima of the case targets, with the one-sided p-value."""
-    m = V.target_metrics(case_folds(spark, sf), THR, HIT_DAYS)
+    from driftline.session import materialize
+
+    # Ranks read the maxima twice.
+    m = materialize(V.target_metrics(case_folds(spark, sf), THR, HIT_DAYS).select("score_max", "is_placebo"), "target-maxima")
     u = CAL.mann_whitney_u(m.select(F.col("score_max").alias("v"), (~F.col("is_placebo")).alias("g")), "g", "v")
     return CAL.with_p_value(u).select("n_a", "n_b", "u", F.round("p_value", 8).alias("p_value"))
 
@@ -460,7 +468,7 @@ def v2(spark, sf):
     from driftline.session import materialize
 
     f = materialize(fold_scores(spark, sf).select("id", "norad_id", "panel", "type", "t_peak", "asof", "score", "is_hit"), "walk-forward")
-    m = V.target_metrics(f, 0.5, 45).join(V.pre_peak_noise(f, 0.5), ["id", "norad_id"], "left")
+    m = materialize(V.target_panels(f, 0.5, 45), "target-metrics")
     return V.panel_summary(m).select("panel", "n_targets", "n_unique", *[F.round(c, 6).alias(c) for c in PANEL_COLS])
 
 
