@@ -19,3 +19,7 @@ def test_case_targets_are_not_broadcast(spark, sf):
     folds = case_folds(spark, sf)
     for df in (folds, V.target_panels(folds, 0.3, 5), entry.QUERIES["g16_case_series"](spark, sf), entry.QUERIES["c12_nearest_fold"](spark, sf)):
         assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
+
+
+def test_nearest_rows_read_no_frame_twice(spark, sf):
+    assert "unboundedfollowing" not in plan(entry.QUERIES["c2_asof_nearest"](spark, sf))
