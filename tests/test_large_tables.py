@@ -21,5 +21,26 @@ def test_case_targets_are_not_broadcast(spark, sf):
         assert "BroadcastHashJoin" not in plan(df) and "SortMergeJoin" in plan(df)
 
 
+def test_mirrored_ring_points_are_told_as_a_plain_search_tells_them(spark):
+    """Rings of one inclination are equally close at mirrored places; rounding decides as it does in SQL."""
+    import numpy as np
+    from driftline.operators import pairs as P
+
+    rows = [(1, 7350.2824, 65.01412, 172.0, 7100.2824, 65.01412, 232.0), (2, 7350.2824, 65.01412, 292.0, 7100.2824, 65.01412, 232.0), (3, 7001.5, 51.25, 10.0, 7100.0, 80.5, 190.0)]
+    df = spark.createDataFrame(rows, "id long, sma double, inc double, raan double, a_sma double, a_inc double, a_raan double")
+    me, it = ({c: F.col(p + n) for c, n in (("a", "sma"), ("inc", "inc"), ("raan", "raan"))} for p in ("", "a_"))
+    got = {r["id"]: r for r in P.crossing(df, ["id"], me, it).collect()}
+    ph = np.arange(120) * 2 * np.pi / 120
+
+    def ring(a, i, o):
+        i, o = np.radians(i), np.radians(o)
+        return np.stack([a * np.cos(ph) * np.cos(o) - a * np.sin(ph) * np.cos(i) * np.sin(o), a * np.cos(ph) * np.sin(o) + a * np.sin(ph) * np.cos(i) * np.cos(o), a * np.sin(ph) * np.sin(i)])
+
+    for key, *e in rows:
+        d2 = ((ring(*e[:3])[:, :, None] - ring(*e[3:])[:, None, :]) ** 2).sum(axis=0)
+        assert abs(got[key]["range_km"] - np.sqrt(d2.min())) < 1e-9
+        assert d2[got[key]["i"], got[key]["j"]] - d2.min() < 1e-11
+
+
 def test_nearest_rows_read_no_frame_twice(spark, sf):
     assert "unboundedfollowing" not in plan(entry.QUERIES["c2_asof_nearest"](spark, sf))
