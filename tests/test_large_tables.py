@@ -42,5 +42,16 @@ def test_mirrored_ring_points_are_told_as_a_plain_search_tells_them(spark):
         assert d2[got[key]["i"], got[key]["j"]] - d2.min() < 1e-11
 
 
+def test_closest_approach_in_time_is_hashed(spark, sf):
+    """Its grid was sorted before the least distance was taken, a task's memory with it."""
+    from driftline.operators import pairs as P
+
+    e = "id long, sma double, inc double, raan double, mm double, ts timestamp"
+    df = spark.createDataFrame([], e + ", " + e.split(", ", 1)[1].replace(", ", ", a_").replace("sma", "a_sma", 1))
+    from driftline.plans.q_pairs import IT, ME
+
+    assert "SortAggregate" not in plan(P.temporal_closest(df, ["id"], ME(), IT(), F.lit("2024-01-31").cast("timestamp")))
+
+
 def test_nearest_rows_read_no_frame_twice(spark, sf):
     assert "unboundedfollowing" not in plan(entry.QUERIES["c2_asof_nearest"](spark, sf))
