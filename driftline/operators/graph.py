@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from driftline.functions import scalars as X
 from driftline.functions.scalars import slug
 from driftline.operators import joins as J
 from driftline.operators import skew
@@ -39,7 +40,7 @@ def object_edges(board: DataFrame) -> DataFrame:
     me, name = oid("sat", "norad_id"), F.col("name")
     alert, weather, evidence = (oid(k, "norad_id") for k in ("alert", "wx", "ev"))
     has_ev = F.col("belief").isNotNull()
-    pair = F.format_string("%s risk %.2f", "risk_level", F.col("pair_risk").cast("double"))
+    pair = F.concat("risk_level", F.lit(" risk "), X.two_places(F.col("pair_risk").cast("double")))
     links = F.array_compact(
         F.array(
             F.when(
@@ -50,7 +51,7 @@ def object_edges(board: DataFrame) -> DataFrame:
             F.when(_alerting(), edge(alert, me, "source", label=name)),
             edge(me, weather, "weather", label=F.lit("daily index")),
             edge(weather, me, "windowOf", label=name),
-            F.when(has_ev, edge(me, evidence, "fusedAs", label=F.format_string("Bel %.2f", F.col("belief").cast("double")))),
+            F.when(has_ev, edge(me, evidence, "fusedAs", label=F.concat(F.lit("Bel "), X.two_places(F.col("belief").cast("double"))))),
             F.when(has_ev, edge(evidence, me, "about", label=name)),
         )
     )

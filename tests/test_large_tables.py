@@ -55,3 +55,11 @@ def test_closest_approach_in_time_is_hashed(spark, sf):
 
 def test_nearest_rows_read_no_frame_twice(spark, sf):
     assert "unboundedfollowing" not in plan(entry.QUERIES["c2_asof_nearest"](spark, sf))
+
+
+def test_two_places_are_those_of_c(spark):
+    from driftline.functions.scalars import two_places
+
+    values = [k / 200 for k in range(0, 401)] + [0.1250000001, 0.12499999, 1234567.885, -0.575, -0.125, -0.001, 999.995]
+    df = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_places(F.col("v")).alias("t"))
+    assert [(r["v"], r["t"]) for r in df.collect() if r["t"] != f"{r['v']:.2f}"] == []
