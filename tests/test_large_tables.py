@@ -63,3 +63,17 @@ def test_two_places_are_those_of_c(spark):
     values = [k / 200 for k in range(0, 401)] + [0.1250000001, 0.12499999, 1234567.885, -0.575, -0.125, -0.001, 999.995]
     df = spark.createDataFrame([(v,) for v in values], "v double").select("v", two_places(F.col("v")).alias("t"))
     assert [(r["v"], r["t"]) for r in df.collect() if r["t"] != f"{r['v']:.2f}"] == []
+
+
+def test_rows_of_few_groups_are_counted_where_they_are(spark):
+    """A class of an exact quantile was sorted into one task to meet its bracket."""
+    df = spark.range(1000).select((F.col("id") % 3).cast("string").alias("k"), F.col("id").cast("double").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        q = skew.exact_quantiles(df, ["k"], "v", {"p": 0.5}, few=True)
+        assert "SortMergeJoin" not in plan(q)
+        assert {r["k"]: r["p"] for r in q.collect()} == {"0": 499.5, "1": 499.0, "2": 500.0}
+        # What is left merges the classes' statistics.
+        assert plan(CAL.calibration_table(df, "k", "v")).count("SortMergeJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
