@@ -77,3 +77,21 @@ def test_rows_of_few_groups_are_counted_where_they_are(spark):
         assert plan(CAL.calibration_table(df, "k", "v")).count("SortMergeJoin") == 1
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_objects_are_dealt_over_tasks(spark):
+    """Folders of objects were written by as few tasks as their rows fill, here one."""
+    import glob
+    import os
+
+    from driftline.session import scratch_path, shared_dir
+
+    sf = scratch_path(spark, "objects")
+    ts = F.lit("2024-01-01").cast("timestamp_ntz")
+    spark.range(300).select(F.col("id").alias("user_id"), ts.alias("ts"), F.col("id").alias("event_id"), F.lit(1.0).alias("value")).write.parquet(f"{sf}/events.parquet")
+    root = shared_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/driftline-corpus-*"))
+    assert entry.QUERIES["a24_object_csv_corpus"](spark, sf).count() == 300
+    (made,) = set(glob.glob(f"{root}/driftline-corpus-*")) - before
+    files = glob.glob(f"{made}/ephemeris/user_id=*/*.csv")
+    assert len(files) == 300 and len({os.path.basename(f)[:10] for f in files}) == 3
