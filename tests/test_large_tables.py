@@ -95,3 +95,12 @@ def test_objects_are_dealt_over_tasks(spark):
     (made,) = set(glob.glob(f"{root}/driftline-corpus-*")) - before
     files = glob.glob(f"{made}/ephemeris/user_id=*/*.csv")
     assert len(files) == 300 and len({os.path.basename(f)[:10] for f in files}) == 3
+
+
+def test_fold_targets_are_not_broadcast(spark, sf):
+    from driftline.operators import joins as J
+    from driftline.plans.inputs import events
+    from driftline.plans.q_models import fold_table
+
+    ends = events(spark, sf).select(F.col("user_id").alias("norad_id"), "ts", F.col("event_id").alias("pos"))
+    assert "BroadcastHashJoin [norad_id" not in plan(J.assign_folds(fold_table(spark, sf), ends, ends, 1))
