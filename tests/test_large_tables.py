@@ -104,3 +104,21 @@ def test_fold_targets_are_not_broadcast(spark, sf):
 
     ends = events(spark, sf).select(F.col("user_id").alias("norad_id"), "ts", F.col("event_id").alias("pos"))
     assert "BroadcastHashJoin [norad_id" not in plan(J.assign_folds(fold_table(spark, sf), ends, ends, 1))
+
+
+def test_typicality_shuffles_no_vectors(spark, monkeypatch):
+    """Every block of vectors was shuffled once for every block of the other side."""
+    import numpy as np
+
+    from driftline.operators import typicality as T
+
+    monkeypatch.setattr(T, "BLOCK", 16)
+    z = spark.range(100).repartition(3).select(F.col("id").alias("__row"), F.col("id").cast("double").alias("v"))
+    z = z.mapInPandas(lambda ps: (p.assign(z=[np.array([v, 0.0]).tobytes() for v in p["v"]])[["__row", "z"]] for p in ps), "__row long, z binary")
+    blocks = T._blocks(z, 100, "blocks")
+    pairs = T._Pairs(blocks, blocks, 2)
+    assert "CartesianProduct" in plan(pairs.pairs) and "Exchange" not in plan(pairs.pairs)
+    # Of distances 1 to 99, both ways, as every pair of blocks is looked at once.
+    assert pairs.total(lambda g: np.array([(g > 0).sum(), g.sum()]), 2).tolist() == [9900, sum(2 * (100 - k) * k * k for k in range(100))]
+    near = {r["__row"]: r["k"] for r in pairs.sums(lambda a, b: (np.abs(a.z[:, :1] - b.z[:, 0]) <= 1).sum(axis=1).astype(float), "k", "double").collect()}
+    assert near == {i: 2.0 if i in (0, 99) else 3.0 for i in range(100)}
