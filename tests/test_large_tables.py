@@ -1,6 +1,7 @@
 """Plans and figures that must hold on larger tables."""
 
 import __spark_entry__ as entry
+import pytest
 from pyspark.sql import functions as F
 
 from driftline.operators import calibration as CAL
@@ -122,3 +123,59 @@ def test_typicality_shuffles_no_vectors(spark, monkeypatch):
     assert pairs.total(lambda g: np.array([(g > 0).sum(), g.sum()]), 2).tolist() == [9900, sum(2 * (100 - k) * k * k for k in range(100))]
     near = {r["__row"]: r["k"] for r in pairs.sums(lambda a, b: (np.abs(a.z[:, :1] - b.z[:, 0]) <= 1).sum(axis=1).astype(float), "k", "double").collect()}
     assert near == {i: 2.0 if i in (0, 99) else 3.0 for i in range(100)}
+
+
+def test_window_and_pair_statistics_take_whole_batches():
+    """Rings, position clouds, parses and alignments were worked out one row at a time."""
+    import numpy as np
+    import pandas as pd
+
+    from driftline.functions import arrow as A
+
+    rng = np.random.default_rng(5)
+    e = [rng.uniform(6900, 7400, 40), rng.uniform(0, 90, 40), rng.uniform(0, 360, 40)]
+    f = [rng.uniform(6900, 7400, 40), rng.uniform(0, 90, 40), rng.uniform(0, 360, 40)]
+
+    def ring(a, inc, raan, n):
+        ph, i, o = 2 * np.pi * np.arange(n) / n, np.radians(inc), np.radians(raan)
+        c, s = np.cos(ph), np.sin(ph)
+        return a * np.stack([c * np.cos(o) - s * np.cos(i) * np.sin(o), c * np.sin(o) + s * np.cos(i) * np.cos(o), s * np.sin(i)], axis=1)
+
+    want = [np.sqrt(((ring(*p, 36)[:, None] - ring(*q, 18)[None]) ** 2).sum(axis=2)).min() for p, q in zip(zip(*e), zip(*f))]
+    assert np.allclose(A.ring_ranges(*e, *f, 36, 18), want, atol=1e-5)
+    assert np.isnan(A.ring_ranges(np.array([np.nan]), *[c[:1] for c in e[1:]], *[c[:1] for c in f], 36, 18)).all()
+
+    a, inc, raan, ecc = rng.uniform(6900, 7400, 20), rng.uniform(0, 90, 20), rng.uniform(0, 360, 20), np.where(np.arange(20) % 2, 0.0, 0.1)
+    ph, i, o = 2 * np.pi * np.arange(20) / 19, np.radians(inc), np.radians(raan)
+    r = a * (1 - ecc**2) / (1 + ecc * np.cos(ph))
+    c, s = r * np.cos(ph), r * np.sin(ph)
+    p = np.stack([c * np.cos(o) - s * np.cos(i) * np.sin(o), c * np.sin(o) + s * np.cos(i) * np.cos(o), s * np.sin(i)], axis=1)
+    p -= p.mean(axis=0)
+    d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(axis=2))[np.triu_indices(20, 1)] / np.sqrt((p**2).sum(axis=1)).mean()
+    h0, h1 = A.cloud_spread(*[x[None] for x in (a, inc, raan, ecc)])
+    q = np.quantile(d, [0.1, 0.25, 0.75])
+    assert h0[0] == pytest.approx(q[0]) and h1[0] == pytest.approx(q[2] - q[1])
+
+    def phrases(s):
+        at = n = 0
+        while at < len(s):
+            size = 1
+            while at + size <= len(s) and s.find(s[at : at + size], 0, at + size - 1) >= 0:
+                size += 1
+            at, n = at + size, n + 1
+        return n
+
+    tokens = rng.integers(0, 3, (50, 19))
+    assert A.parse_counts(tokens).tolist() == [phrases("".join(map(str, r))) for r in tokens]
+
+    hour = 3600 * 10**6
+    # Times so far apart that row and time do not fit one number.
+    for spread in (1, 10**6):
+        ta = [np.sort(rng.integers(0, 400, n)) * hour * spread for n in (0, 3, 30, 30)]
+        tb = [t[::2] + hour for t in ta[:3]] + [ta[3][:0]]
+        va, vb = [rng.normal(size=len(t)) for t in ta], [rng.normal(size=len(t)) for t in tb]
+        at, to, n = A._matches(np.concatenate(ta), np.array([len(t) for t in ta]), np.concatenate(tb), np.array([len(t) for t in tb]), 10)
+        old = A.align_nearest.func(*[pd.Series(c) for c in (ta, va, tb, vb)], pd.Series([10] * 4))
+        ends = np.cumsum(n)[:-1]
+        for flat, by in ((np.concatenate(va)[at], old["sa"]), (np.concatenate(vb)[to], old["sb"])):
+            assert [p.tolist() for p in np.split(flat, ends)] == [list(p) for p in by]
