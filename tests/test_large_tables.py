@@ -179,3 +179,9 @@ def test_window_and_pair_statistics_take_whole_batches():
         ends = np.cumsum(n)[:-1]
         for flat, by in ((np.concatenate(va)[at], old["sa"]), (np.concatenate(vb)[to], old["sb"])):
             assert [p.tolist() for p in np.split(flat, ends)] == [list(p) for p in by]
+
+
+def test_aligned_series_do_not_leave_their_batch(spark, sf):
+    """Aligned arrays went through pandas twice, in batches of 10,000 pairs."""
+    for name in ("i17_cross_correlation", "j6_pair_score"):
+        assert "align_nearest" not in plan(entry.QUERIES[name](spark, sf))
