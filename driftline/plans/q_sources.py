@@ -534,11 +534,9 @@ def a24(spark, sf):
 
 
 def marked_documents(spark, sf):
-    """Documents with lines starting in A-E turned into headings."""
-    d = table(spark, sf, "documents").select("doc_id", "text")
-    return d.select(
-        F.col("doc_id").cast("string").alias("path"), F.regexp_replace("text", r"(?m)^([A-E])", "# $1").alias("text")
-    )
+    """Documents with lines starting in A-E turned into headings, dealt by ``path``: a file of few row groups is few tasks."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), "text").repartition("path")
+    return d.select("path", F.regexp_replace("text", r"(?m)^([A-E])", "# $1").alias("text"))
 
 
 CHUNK_SQL = """doc AS (SELECT doc_id::VARCHAR AS path, unnest(regexp_split_to_array('# ' || doc_id || chr(10) ||

@@ -112,15 +112,17 @@ def markdown_chunks(df: DataFrame, path: str, text: str, min_chars: int = 40, ca
     A body longer than ``cap`` becomes consecutive parts of that length, numbered from 0 in ``part``.
     """
     parts = F.split(F.concat(F.lit("# "), F.col(path), F.lit("\n"), F.col(text)), r"(?m)^[ \t]*#{1,4}[ \t]+(?=\S)")
-    secs = df.select(path, F.posexplode(parts).alias("chunk_no", "s")).where("chunk_no > 0")
+    # Outer, and filtered by what they give: Spark works a plain explode's array out again to ask whether it is empty.
+    secs = df.select(path, F.posexplode_outer(parts).alias("chunk_no", "s")).where("chunk_no > 0")
     body = F.regexp_replace(F.regexp_replace("s", r"^[^\n]*\n?", ""), r"^\s+|\s+$", "")
     out = secs.select(
         path, F.col("chunk_no").cast("bigint").alias("chunk_no"),
         F.trim(F.substring_index("s", "\n", 1)).alias("heading"), body.alias("body"),
     )
-    return out.where(F.length("body") >= min_chars).select(
-        path, "chunk_no", "heading", "body", F.explode(F.sequence(F.lit(0), F.floor((F.length("body") - 1) / cap).cast("int"))).alias("part")
-    ).select(path, "chunk_no", "part", "heading", F.substring(F.col("body"), F.col("part") * cap + 1, F.lit(cap)).alias("text"))
+    numbers = F.when(F.length("body") >= min_chars, F.sequence(F.lit(0), F.floor((F.length("body") - 1) / cap).cast("int")))
+    return out.select(path, "chunk_no", "heading", "body", F.explode_outer(numbers).alias("part")).where("part IS NOT NULL").select(
+        path, "chunk_no", "part", "heading", F.substring(F.col("body"), F.col("part") * cap + 1, F.lit(cap)).alias("text")
+    )
 
 
 def retrieve(chunks: DataFrame, query_tokens: Column, key: str, heading: str, text: str) -> DataFrame:
@@ -139,13 +141,16 @@ def retrieve_all(chunks: DataFrame, queries: DataFrame, query_id: str, query_tex
     """The ``k`` best chunks of every query: ``query_id``, ``keys``, ``score`` and ``rank``, ties by ``keys``.
 
     As :func:`retrieve`, for any number of queries. Chunks and queries meet on tokens, so only pairs with
-    an overlap are formed; they are counted before they move, and each task keeps ``k`` chunks a query.
+    an overlap are formed. Where the chunks are dealt by one of ``keys`` and the queries are few enough for a
+    broadcast, pairs are counted where they are, and each task sends ``k`` chunks a query.
     """
     from driftline.functions.scalars import tokens
 
-    head = F.array_distinct(tokens(F.col(heading)))
-    mine = chunks.select(*keys, head.alias("__h"), F.explode(F.array_distinct(tokens(F.concat_ws(" ", heading, text)))).alias("__t"))
-    mine = mine.select(*keys, "__t", F.array_contains("__h", F.col("__t")).alias("__in"))
+    # Outer generators hand on what they were given, so each text is cut into words once, not once for each of its words.
+    words = lambda c: F.coalesce(F.array_distinct(tokens(F.col(c))), F.array().cast("array<string>"))
+    cut = chunks.select(*keys, F.inline_outer(F.array(F.struct(words(heading).alias("__h"), words(text).alias("__b")))))
+    kinds = F.array(F.struct(F.lit(True).alias("__in"), F.col("__h").alias("__ts")), F.struct(F.lit(False).alias("__in"), F.array_except("__b", "__h").alias("__ts")))
+    mine = cut.select(*keys, F.inline_outer(kinds)).select(*keys, "__in", F.explode_outer("__ts").alias("__t"))
     asked = queries.select(query_id, F.explode(F.array_distinct(tokens(F.col(query_text)))).alias("__t"))
     pairs = mine.join(asked, "__t").groupBy(query_id, *keys).agg((F.count("*") + F.when(F.max("__in"), 2).otherwise(0)).alias("score"))
     w = Window.partitionBy(query_id).orderBy(F.desc("score"), *keys)

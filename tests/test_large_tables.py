@@ -185,3 +185,25 @@ def test_aligned_series_do_not_leave_their_batch(spark, sf):
     """Aligned arrays went through pandas twice, in batches of 10,000 pairs."""
     for name in ("i17_cross_correlation", "j6_pair_score"):
         assert "align_nearest" not in plan(entry.QUERIES[name](spark, sf))
+
+
+def test_retrieval_cuts_words_once_and_counts_pairs_in_place(spark, sf):
+    """Headings were cut into words for every word of their text, and pairs of sections and items were shuffled to be counted."""
+    import re
+
+    from driftline.functions.scalars import STOP_WORDS
+    from driftline.sources import text as TX
+
+    p = plan(entry.QUERIES["h9_keyword_retrieval"](spark, sf)).split("Initial Plan")[-1]
+    assert "hashpartitioning(path" in p and not re.search(r"hashpartitioning\(item_id#\d+L?, path", p)
+    assert p.count("regexp_extract_all(") == 3 and p.count("split(concat(") == 1  # headings, texts, items; sections
+
+    chunks = [("a", 0, "Red fox red", "the fox and a bird"), ("a", 1, "", "red red bird"), ("b", 0, "lone", "owl"), ("b", 1, "bird", "")]
+    asked = [(1, "Red BIRD the"), (2, "owl fox"), (3, "the of")]
+    words = lambda t: {w for w in re.findall("[a-z0-9]{3,}", t.lower()) if w not in STOP_WORDS}
+    want = set()
+    for i, q in asked:
+        scored = [(-len(words(h + " " + t) & words(q)) - 2 * bool(words(h) & words(q)), p, n) for p, n, h, t in chunks if words(h + " " + t) & words(q)]
+        want |= {(i, p, n, -s, r) for r, (s, p, n) in enumerate(sorted(scored)[:2], 1)}
+    c, q = spark.createDataFrame(chunks, "path string, n int, heading string, text string"), spark.createDataFrame(asked, "id int, text string")
+    assert {tuple(r) for r in TX.retrieve_all(c, q, "id", "text", ["path", "n"], "heading", "text", 2).select("id", "path", "n", "score", "rank").collect()} == want
