@@ -189,3 +189,61 @@ def test_upsert_keeps_last_and_replay_changes_nothing(spark, tmp_path):
         save(batches[i], i)
         assert rows() == want
     assert "day" in jobs.history(spark, path).columns and "batch" not in jobs.history(spark, path).columns
+
+
+def test_window_statistics_of_many_windows_are_those_of_each():
+    """Windows were priced one call each, in a loop over their values."""
+    def plain(v):
+        d = np.diff(v)
+        base = d[:-1]
+        med = np.median(base)
+        core = 1.4826 * np.median(np.abs(base - med))
+        z = (d - med) / max(core if core >= 1e-12 else max(base.std(), 1e-9), 0.05)
+        up = down = top = e = top_e = 0.0
+        for x in z:
+            up, down, e = max(0.0, up + x - 0.5), max(0.0, down - x - 0.5), 0.2 * x + 0.8 * e
+            top, top_e = max(top, up, down), max(top_e, abs(e))
+        return min(1.0, top / 4.0), min(1.0, top_e / (3.0 * np.sqrt(0.2 / 1.8)))
+
+    rng = np.random.default_rng(3)
+    w = np.concatenate([rng.normal(size=(50, 20)), np.ones((1, 20)), np.eye(20) * 0.1, np.full((1, 20), np.nan)])
+    cusum, ewma = jobs._window_stats(w)
+    assert list(zip(cusum, ewma)) == [pytest.approx(plain(v)) for v in w]
+
+
+def test_entities_share_calls_and_rows_without_one_stay_apart(spark, tmp_path, monkeypatch):
+    """Every entity was a call of its own, of milliseconds whatever its rows."""
+    monkeypatch.setattr(jobs, "GROUPS", 2)
+    monkeypatch.setattr(jobs, "SLICE", 7)
+    rows = made(users=9, rows=30, seed=8)
+    rows += [(None, 50_000 + i, START + dt.timedelta(hours=i), float(i % 7), "OPEN") for i in range(25)]
+    (tmp_path / "in").mkdir()
+
+    class Whole(Folder):
+        def add(self, rows):
+            self.n += 1
+            table = pd.DataFrame(rows, columns=SCHEMA.replace(",", "").split()[::2])
+            table["user_id"] = table["user_id"].astype("Int64")  # whole numbers beside nulls
+            table["ts"] = table["ts"].astype("datetime64[us]")
+            table.to_parquet(f"{self.path}/part-{self.n}.parquet", index=False)
+            time.sleep(0.02)
+
+    folder = Whole(spark, tmp_path / "in")
+    three_batches(rows, folder)
+    mark = jobs.ClosingMark(spark, "ts", "2030-01-01")
+    out = str(tmp_path / "out")
+    writer = jobs.rolling_detectors(mark.behind(folder.stream(), "8 hours"), "ts").writeStream.format("parquet").option("path", out).outputMode("append")
+    q = writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 3
+    mark.write()
+    writer.option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
+    got = {r["event_id"]: (r["user_id"], r["cusum"], r["ewma"]) for r in spark.read.schema(jobs.ROLLING).parquet(out).collect()}
+    want = {}
+    for u in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[1]))
+        for i in range(19, len(mine)):
+            want[mine[i][1]] = (u, *jobs._window_stats(np.array([r[3] for r in mine[i - 19 : i + 1]])))
+    assert got.keys() == want.keys()
+    for k, (u, *x) in want.items():
+        assert got[k][0] == u and got[k][1:] == pytest.approx(tuple(x))
