@@ -247,3 +247,37 @@ def test_entities_share_calls_and_rows_without_one_stay_apart(spark, tmp_path, m
     assert got.keys() == want.keys()
     for k, (u, *x) in want.items():
         assert got[k][0] == u and got[k][1:] == pytest.approx(tuple(x))
+
+
+def test_states_and_days_of_entities_that_share_a_call(spark, tmp_path, monkeypatch):
+    """Alert states and daily means, too, were a call for every entity."""
+    monkeypatch.setattr(jobs, "GROUPS", 2)
+    rows = made(users=9, rows=60, seed=9)
+    (tmp_path / "in").mkdir()
+    folder = Folder(spark, tmp_path / "in")
+    three_batches(rows, folder)
+    calls = {}
+    for name, build in (("audit", lambda s: jobs.lifecycle_stream(s, "ts", "want")), ("days", lambda s: jobs.daily_change(s, "ts"))):
+        mark = jobs.ClosingMark(spark, "ts", "2030-01-01")
+        writer = build(mark.behind(folder.stream(), "8 hours")).writeStream.format("parquet").option("path", str(tmp_path / name)).outputMode("append")
+        for closed in (False, True):
+            if closed:
+                mark.write()
+            q = writer.option("checkpointLocation", str(tmp_path / f"{name}-progress")).trigger(availableNow=True).start()
+            q.awaitTermination()
+            calls[name, closed] = q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"]
+    assert calls == {("audit", False): 2, ("audit", True): 2, ("days", False): 2, ("days", True): 0}
+    audit = {r["event_id"]: tuple(r) for r in spark.read.schema(jobs.AUDIT).parquet(str(tmp_path / "audit")).collect()}
+    days = {(r["user_id"], r["day"]): (r["score"], r["delta"], r["n"]) for r in spark.read.schema(jobs.CHANGE).parquet(str(tmp_path / "days")).collect()}
+    assert len(audit) == len(rows)
+    for u in range(9):
+        now, mine = "OPEN", sorted((r for r in rows if r[0] == u), key=lambda r: (r[2], r[1]))
+        for r in mine:
+            ok = r[4] == now or r[4] in jobs.TRANSITIONS[now]
+            assert audit[r[1]] == (u, r[1], now, r[4] if ok else now, ok, jobs.ACTION_FOR_STATUS[r[4]] if ok else None)
+            now = r[4] if ok else now
+        table = pd.DataFrame({"day": [r[2].date() for r in mine], "v": [r[3] for r in mine]}).groupby("day")["v"].agg(["mean", "count"])
+        assert {d for v, d in days if v == u} == set(table.index)
+        for d, (mean, n) in table.iterrows():
+            before = table["mean"].get(d - dt.timedelta(days=1))
+            assert days[u, d] == (pytest.approx(mean), None if before is None else pytest.approx(mean - before), n)
