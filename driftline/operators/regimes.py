@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from driftline.operators import skew
 from driftline.operators.windows import steps
@@ -14,7 +12,7 @@ from driftline.session import materialize
 
 
 def alarm_count(z: np.ndarray, k: float, h: float, refractory: int) -> int:
-    """Alarms of the two-sided chart with reset, from a quiet start."""
+    """Alarms of the two-sided chart with reset, from a quiet start; the rule that :func:`series_regime_count` follows."""
     p = n = 0.0
     count, last = 0, -refractory
     for i, v in enumerate(z):
@@ -57,16 +55,24 @@ def series_regime_count(rows: DataFrame, key: str, value: str, k: float = 0.5, h
     start = F.when((F.col("pos") == 1) | (F.col("calm") == refractory), F.col("pos"))
     cuts = materialize(cuts.withColumn("start", start), "cuts")
     pieces = materialize(skew.running(cuts, [key], "pos", F.col("start"), "piece", "last"), "pieces")
-    schema = T.StructType([rows.schema[key], T.StructField("c", T.LongType())])
-    # Quiet pieces without any alarm-sized sum are dropped before Python sees them.
+    # Quiet pieces without any alarm-sized sum are dropped before any is gathered.
     peak = pieces.groupBy(key, "piece").agg(
         F.greatest(F.max(F.col("up_s") - F.least(F.lit(0.0), F.col("up_m"))), F.max(F.col("dn_s") - F.least(F.lit(0.0), F.col("dn_m")))).alias("peak")
     ).where(F.col("peak") >= h - 1e-9)
     live = pieces.select(key, "piece", "pos", "z").join(peak.select(key, "piece"), [key, "piece"])
 
-    def count(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        return pd.DataFrame({key: [pdf[key].iloc[0]], "c": [alarm_count(pdf["z"].to_numpy(), k, h, refractory)]})
+    # One array a piece; a missing value leaves the chart at zero, as in alarm_count.
+    known = F.when(~F.isnan("z"), F.col("z"))
+    listed = live.groupBy(key, "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", known.alias("z")))), lambda x: x["z"]).alias("zs"))
 
-    per = live.groupBy(key, "piece").applyInPandas(count, schema).groupBy(key).agg(F.sum("c").alias("changes"))
+    def alarms(a, x):
+        p, n = (F.greatest(F.lit(0.0), side - k) for side in (a["p"] + x, a["n"] - x))
+        hit = ((p >= h) | (n >= h)) & (a["since"] >= refractory)
+        return F.struct(
+            F.when(hit, 0.0).otherwise(p).alias("p"), F.when(hit, 0.0).otherwise(n).alias("n"),
+            (a["c"] + hit.cast("bigint")).alias("c"), (F.when(hit, 0).otherwise(a["since"]) + 1).alias("since"),
+        )
+
+    zero = F.struct(F.lit(0.0).alias("p"), F.lit(0.0).alias("n"), F.lit(0).cast("bigint").alias("c"), F.lit(refractory).alias("since"))
+    per = listed.groupBy(key).agg(F.sum(F.aggregate("zs", zero, alarms)["c"]).alias("changes"))
     return rows.select(key).distinct().join(per, key, "left").select(key, F.coalesce("changes", F.lit(0).cast("bigint")).alias("changes"))

@@ -207,3 +207,13 @@ def test_retrieval_cuts_words_once_and_counts_pairs_in_place(spark, sf):
         want |= {(i, p, n, -s, r) for r, (s, p, n) in enumerate(sorted(scored)[:2], 1)}
     c, q = spark.createDataFrame(chunks, "path string, n int, heading string, text string"), spark.createDataFrame(asked, "id int, text string")
     assert {tuple(r) for r in TX.retrieve_all(c, q, "id", "text", ["path", "n"], "heading", "text", 2).select("id", "path", "n", "score", "rank").collect()} == want
+
+
+def test_regime_alarms_are_counted_without_a_call_for_every_piece(spark):
+    """Every piece of a series was a pandas group of its own."""
+    from driftline.operators.regimes import series_regime_count
+
+    df = spark.range(200).select((F.col("id") % 2).alias("k"), (F.floor(F.col("id") / 2) + 1).alias("pos"), (F.col("id") % 13 + F.when(F.col("id") > 100, 60).otherwise(0)).cast("double").alias("v"))
+    got = series_regime_count(df, "k", "v")
+    assert "InPandas" not in plan(got)
+    assert {r["k"] for r in got.collect()} == {0, 1}
