@@ -30,3 +30,9 @@ def test_training_set_has_every_window(spark, long_series):
     assert n[3] > 20 + 5 * 40
     got = {(r["norad_id"], r["pos"]) for r in entry.QUERIES["m5_training_set"](spark, long_series).select("norad_id", "pos").collect()}
     assert got == {(u, p) for u, c in n.items() for p in range(20, c + 1)}
+
+
+def test_class_probabilities_are_of_every_window(spark, sf):
+    """The classifier saw every fifth window only, so no window between was ever scored."""
+    p = entry.QUERIES["m8_class_probabilities"](spark, sf).select("pos").distinct().collect()
+    assert {(r["pos"] - 20) % 5 for r in p} == set(range(5))
