@@ -36,3 +36,9 @@ def test_class_probabilities_are_of_every_window(spark, sf):
     """The classifier saw every fifth window only, so no window between was ever scored."""
     p = entry.QUERIES["m8_class_probabilities"](spark, sf).select("pos").distinct().collect()
     assert {(r["pos"] - 20) % 5 for r in p} == set(range(5))
+
+
+def test_fold_scores_set_every_asset_against_their_targets(spark, sf):
+    """Only the first four assets were partners of a fold's target."""
+    got = {r["pair_asset"] for r in entry.QUERIES["m4_fold_scores"](spark, sf).where("pair_asset IS NOT NULL").select("pair_asset").distinct().collect()}
+    assert max(got) > 3
