@@ -142,3 +142,39 @@ def test_exact_rank_p_values():
 
     assert upper_p(5, 7, 35, 0) == pytest.approx(1 / math.comb(12, 5))
     assert upper_p(11, 7, 64, 0) == pytest.approx(325 / math.comb(18, 7))
+
+
+def test_lag_order_from_one_triangle_is_that_of_single_fits():
+    """Every lag's design was factored anew."""
+    rng = np.random.default_rng(9)
+    calls = []
+    for constant in (False, True):
+        for n in (21, 40, 66):
+            x = rng.normal(size=(20, n)).cumsum(axis=1)
+            got, extra = A.unit_root_stat(x, constant), int(constant)
+            most = min(n // 2 - extra - 1, int(np.ceil(12.0 * (n / 100.0) ** 0.25)))
+            for row, stat in zip(x, got):
+                d = np.diff(row)
+
+                def fit(lag, start):
+                    at = np.arange(start, len(d))
+                    m = np.stack([row[at], *[d[at - j] for j in range(1, lag + 1)], *([np.ones(len(at))] if constant else [])], axis=1)
+                    b, *_ = np.linalg.lstsq(m, d[at], rcond=None)
+                    return m, b, ((d[at] - m @ b) ** 2).sum()
+
+                aic = [(len(d) - most) * np.log(fit(k, most)[2]) + 2 * k for k in range(most + 1)]
+                m, b, ssr = fit(int(np.argmin(aic)), int(np.argmin(aic)))
+                assert stat == pytest.approx(b[0] / np.sqrt(np.linalg.inv(m.T @ m)[0, 0] * ssr / (len(m) - m.shape[1])), rel=1e-6)
+            calls.append(_factored(x, constant))
+    assert max(calls) == 2  # one for all lags, one for the chosen lag
+
+
+def _factored(x, constant):
+    """Factorings that one row takes."""
+    real, seen = np.linalg.qr, []
+    np.linalg.qr = lambda m, *a, **k: seen.append(len(m)) or real(m, *a, **k)
+    try:
+        A.unit_root_stat(x[:1], constant)
+    finally:
+        np.linalg.qr = real
+    return len(seen)
