@@ -30,3 +30,18 @@ def test_rows_against_another_reference(spark, monkeypatch):
     assert [got[i][0] for i in range(85)] == pytest.approx(t.tolist(), abs=1.01 / 151)
     assert min(got[i][0] for i in range(80, 85)) > 0.99
     assert T.typicality(mk(x), "b", "x", 3, mk(ref).select("x").limit(2)).agg({"typicality": "max"}).first()[0] == 0.5
+
+
+@pytest.mark.parametrize("margin", [0.03, 1e-9])
+def test_median_is_bracketed_by_a_sample_and_exact(spark, monkeypatch, margin):
+    """All distances were told apart in three passes; a bracket that misses falls back to them."""
+    monkeypatch.setattr(T, "BLOCK", 100)
+    monkeypatch.setattr(T, "SAMPLE_ROWS", 150)
+    monkeypatch.setattr(T, "MARGIN", margin)
+    x = np.random.default_rng(6).normal(size=(600, 4))
+    x[:5] = x[0]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>").repartition(3)
+    got = {r["id"]: (r["typicality"], r["mmd_stat"]) for r in T.typicality(df, "id", "x", 4).collect()}
+    t, s = T._Reference(x).score(x)
+    assert [got[i][1] for i in range(600)] == pytest.approx(s.tolist(), abs=1e-8)
+    assert [got[i][0] for i in range(600)] == pytest.approx(t.tolist(), abs=1.01 / 601)
